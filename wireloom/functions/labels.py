@@ -12,9 +12,8 @@ TO_BOTNET = r"to[-_]?botnet"
 ANY_BOTNET = r"botnet"
 MALICIOUS_WORDS = r"\b(bot|botnet|cnc|c&c|malware|infected|attack|spam|ddos|trojan|worm|zombie|backdoor)\b"
 
-# Spark reads '1d' as a number and overflows '1e400' to infinity; neither counts as numeric here.
-NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z"
-INFINITY_TEXT = r"(?i)^\s*[+-]?inf(inity)?\s*\z"
+# Spark would also read '1d' or 'NaN' as numbers.
+NUMBER_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*\z"
 
 
 def has_text(label: Column, pattern: str) -> Column:
@@ -29,9 +28,9 @@ def cnc_label(label: Column) -> Column:
 
 def binary_label(label: Column) -> Column:
     """1 for malicious: a number of at least 0.5, or text holding a malicious word."""
-    number = F.when(label.rlike(NUMBER_TEXT), F.trim(F.regexp_replace(label, r"\s", "")).try_cast("double"))
-    finite = F.when(F.abs(number) < float("inf"), number)
-    by_number = (finite >= 0.5).cast("int")
-    by_infinity = F.when(label.rlike(INFINITY_TEXT), (~label.contains("-")).cast("int"))
+    number = F.when(label.rlike(NUMBER_TEXT), label.try_cast("double"))
+    # A number too large for a double is no number: only a spelled-out infinity is infinite.
+    overflow = (F.abs(number) == float("inf")) & ~F.lower(label).contains("inf")
+    by_number = F.when(~overflow, (number >= 0.5).cast("int"))
     by_word = label.rlike("(?iU)" + MALICIOUS_WORDS).cast("int")
-    return F.coalesce(by_number, by_infinity, by_word, F.lit(0))
+    return F.coalesce(by_number, by_word, F.lit(0))

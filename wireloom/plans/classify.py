@@ -39,20 +39,26 @@ def model_rows(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def fit_model(
-    train: DataFrame, names: list[str], model: str, bases: dict[str, Estimator] | None, fallback: bool
+    train: DataFrame,
+    names: list[str],
+    model: str,
+    bases: dict[str, Estimator] | None,
+    forest: Estimator | None,
+    fallback: bool,
 ) -> Model:
+    forest = forest or stacking.fallback_forest()
     ready = sample.with_class_weight(features.assemble(train, names))
     folded = ready.withColumn("fold", F.pmod(F.xxhash64("draw"), F.lit(2)).cast("int"))
     fitting = store(folded.select("Label", "features", "weight", "fold"), "training").table
     if model == "rf":
-        return stacking.ForestModel(stacking.fallback_forest().fit(fitting))
+        return stacking.ForestModel(forest.fit(fitting))
     try:
         return stacking.StackedClassifier(bases).fit(fitting)
     except Exception:
         if not fallback:
             raise
         log.exception("stacking failed, fitting a single forest")
-        return stacking.ForestModel(stacking.fallback_forest().fit(fitting))
+        return stacking.ForestModel(forest.fit(fitting))
 
 
 def classify(
@@ -60,6 +66,7 @@ def classify(
     names: list[str] = FEATURES,
     model: str = "stack",
     bases: dict[str, Estimator] | None = None,
+    forest: Estimator | None = None,
     max_rows: int | None = None,
     fallback: bool = False,
 ) -> Classified:
@@ -73,7 +80,7 @@ def classify(
     split = sample.split_rows(used)
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
     scaler = features.Standardizer.fit(train, names)
-    fitted = fit_model(scaler.transform(train), names, model, bases, fallback)
+    fitted = fit_model(scaler.transform(train), names, model, bases, forest, fallback)
 
     def score(rows: DataFrame) -> DataFrame:
         scaled = features.assemble(scaler.transform(rows), names)
@@ -82,8 +89,9 @@ def classify(
     held_out = store(score(test).select("Label", "PredictedProb"), "hold-out").table
     curve = store(evaluate.roc_curve(held_out, "Label", "PredictedProb"), "roc").table
     threshold = evaluate.best_threshold(curve).first()["threshold"]
+    auc = evaluate.roc_auc(curve).first()["roc_auc"]
     quality = evaluate.class_metrics(held_out, "Label", "PredictedProb", threshold)
-    metrics = quality.join(evaluate.roc_auc(curve)).withColumn("threshold", F.lit(threshold))
+    metrics = quality.withColumns({"roc_auc": F.lit(auc).cast("double"), "threshold": F.lit(threshold)})
     scored = score(whole.table).drop(*names, "draw")
     labelled = scored.withColumn("PredictedLabel", (F.col("PredictedProb") >= threshold).cast("int"))
     return Classified(labelled, threshold, metrics, fitted)

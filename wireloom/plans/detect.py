@@ -31,8 +31,8 @@ class Detection:
 
 
 def prepare(flows: DataFrame, sensors: list[int] | None = None) -> DataFrame:
-    """Valid, labelled, complete flows. Labels come before the binary label replaces the text."""
-    return clean.drop_incomplete(clean.label_flows(clean.valid_flows(flows, sensors)))
+    """Valid, complete, labelled flows. Filters come first, so that they reach the scan."""
+    return clean.label_flows(clean.drop_incomplete(clean.valid_flows(flows, sensors)))
 
 
 def prepare_plain(flows: DataFrame) -> DataFrame:

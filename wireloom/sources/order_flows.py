@@ -53,5 +53,6 @@ def order_flows(spark: SparkSession, folder: str) -> DataFrame:
     """The 18 flow columns, one flow per line item."""
     items = spark.read.parquet(f"{folder}/lineitem.parquet")
     orders = spark.read.parquet(f"{folder}/orders.parquet")
-    joined = items.join(orders, items.l_orderkey == orders.o_orderkey)
+    # Both tables grow with the data, so neither side is one to broadcast.
+    joined = items.join(orders.hint("merge"), items.l_orderkey == orders.o_orderkey)
     return joined.selectExpr(*[f"{text} AS {name}" for name, text in COLUMNS.items()])
