@@ -76,7 +76,7 @@ def classify(
     detector this follows. There is no row cap unless ``max_rows`` sets one.
     """
     whole = sample.with_draw(model_rows(feature_rows(flows, "EdgeWeight" in names), names))
-    used = whole if max_rows is None else Stored(sample.sample_rows(whole, max_rows), max_rows)
+    used = whole if max_rows is None else Stored(sample.sample_rows(whole, max_rows))
     split = sample.split_rows(used)
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
     scaler = features.Standardizer.fit(train, names)

@@ -190,11 +190,11 @@ def _sql(final: str, extra: dict[str, str] | None = None) -> str:
     return f"WITH {ctes}\n{final}"
 
 
-def _means(columns: list[str], source: str, prefix: str = "") -> str:
-    averaged = ", ".join(f"coalesce(avg({c}), 0) AS {prefix}{c}" for c in columns)
+def _means(columns: list[str], source: str) -> str:
+    averaged = ", ".join(f"coalesce(avg(a.{c}), 0) AS {c}" for c in columns)
     return (
         f"SELECT h.SensorId, h.node, {averaged} FROM hosts h LEFT JOIN ("
-        f"SELECT e.SensorId, e.DstAddr, s.* EXCLUDE (SensorId) FROM edges e JOIN {source} s"
+        f"SELECT e.SensorId, e.DstAddr, s.* EXCLUDE (SensorId, node) FROM edges e JOIN {source} s"
         " ON e.SensorId = s.SensorId AND e.SrcAddr = s.node) a"
         " ON h.SensorId = a.SensorId AND h.node = a.DstAddr GROUP BY 1, 2"
     )

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
 
@@ -48,21 +46,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/wireloom/{run}/{name}-{uuid.uuid4().hex}"
 
 
-@dataclass(frozen=True)
 class Stored:
-    """A table written to the shared folder, with the number of rows the write counted."""
+    """A table whose row count may be asked for: counted once, from file metadata where it is a file."""
 
-    table: DataFrame
-    rows: int
+    def __init__(self, table: DataFrame, rows: int | None = None):
+        self.table = table
+        self._rows = rows
 
+    @property
+    def rows(self) -> int:
+        if self._rows is None:
+            self._rows = self.table.count()
+        return self._rows
 
-def store(frame: DataFrame, name: str) -> Stored:
-    """Write ``frame`` once and read it back: later plans start here and survive lost executors.
 
-    A retried stage can only raise the observed count, so ``rows`` is a safe upper bound.
-    """
+def store(frame: DataFrame, name: str) -> Stored:
+    """Write ``frame`` once and read it back: later plans start here and survive lost executors."""
     spark = frame.sparkSession
     path = scratch_path(spark, name)
-    seen = Observation()
-    frame.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return Stored(spark.read.schema(frame.schema).parquet(path), int(seen.get["n"]))
+    frame.write.parquet(path)
+    return Stored(spark.read.schema(frame.schema).parquet(path))
