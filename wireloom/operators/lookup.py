@@ -18,23 +18,24 @@ def attach(
     size: str | None,
     how: str = "left",
     sizes: DataFrame | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
+    heavy_keys: int | None = None,
 ) -> DataFrame:
     """Join ``lookup``, one row per key, onto ``rows`` without moving heavy keys.
 
     A lookup of at most ``broadcast_rows`` counted rows is broadcast. A larger one is split: the
-    ``HEAVY_KEYS`` keys with the largest ``size`` are joined by broadcast where the rows lie, so
-    every key left to shuffle holds less than a thousandth of the rows. ``size`` counts the rows
+    ``heavy_keys`` keys with the largest ``size`` are joined by broadcast where the rows lie, so
+    every key left to shuffle holds less than a thousandth of the rows by default. ``size`` counts the rows
     of a key; it is read from ``sizes`` where the lookup covers only part of the keys, and is
     ``None`` where ``rows`` are unique by key as well, so that no key is heavy.
     """
     table = lookup.table
-    if lookup.rows <= broadcast_rows:
+    if lookup.rows <= (BROADCAST_ROWS if broadcast_rows is None else broadcast_rows):
         return rows.join(F.broadcast(table), keys, how)
     if size is None:
         return rows.join(table, keys, how)
     ranked = table if sizes is None else sizes
-    heavy = ranked.orderBy(F.desc(size), *keys).limit(HEAVY_KEYS).select(keys)
+    heavy = ranked.orderBy(F.desc(size), *keys).limit(heavy_keys or HEAVY_KEYS).select(keys)
     heavy_values = table.join(F.broadcast(heavy), keys, "left_semi")
     in_place = rows.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(heavy_values), keys, how)
     shuffled = rows.join(F.broadcast(heavy), keys, "left_anti").join(table, keys, how)

@@ -57,8 +57,7 @@ def raw_text(spark: SparkSession, folder: str) -> DataFrame:
 def raw_file(spark: SparkSession, folder: str) -> str:
     """The text flows as a CSV dataset with header, padded arrows and all."""
     path = scratch_path(spark, "raw")
-    writer = raw_text(spark, folder).write.option("header", True)
-    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    raw_text(spark, folder).write.options(**files.CSV_TEXT).csv(path)
     return path
 
 

@@ -48,8 +48,11 @@ def fit_model(
 ) -> Model:
     forest = forest or stacking.fallback_forest()
     ready = sample.with_class_weight(features.assemble(train, names))
-    folded = ready.withColumn("fold", F.pmod(F.xxhash64("draw"), F.lit(2)).cast("int"))
-    fitting = store(folded.select("Label", "features", "weight", "fold"), "training").table
+    mixed = F.xxhash64("draw")
+    marked = ready.withColumns(
+        {"fold": F.pmod(mixed, F.lit(2)).cast("int"), "validation": F.pmod(F.floor(mixed / 2), F.lit(10)) == 0}
+    )
+    fitting = store(marked.select("Label", "features", "weight", "fold", "validation"), "training").table
     if model == "rf":
         return stacking.ForestModel(forest.fit(fitting))
     try:

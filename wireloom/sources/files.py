@@ -14,6 +14,12 @@ TYPE_NAMES = {
     "float": "DOUBLE", "bigint": "BIGINT", "int": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN",
 }
 
+# Keeps padded arrows and microseconds, both of which the CSV writer would cut.
+CSV_TEXT = {
+    "header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
+
 
 def read_flows(
     spark: SparkSession, path: str, fmt: str = "csv", columns: list[str] | None = None
@@ -46,7 +52,7 @@ def convert_flows(spark: SparkSession, source: str, target: str, fmt: str = "par
     typed = to_flow_types(drop_repeated_headers(read_raw(spark, source)))
     writer = typed.write.format(fmt)
     if fmt == "csv":
-        writer.option("header", True).save(target)
+        writer.options(**CSV_TEXT).save(target)
     else:
         writer.partitionBy("SensorId").save(target)
     return read_flows(spark, target, fmt, FLOW.names)
