@@ -18,9 +18,11 @@ log = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class Classified:
-    """``flows`` with PredictedProb and PredictedLabel, the cut-off and the hold-out metrics."""
+    """``flows`` with PredictedProb and PredictedLabel, the ``split`` of labels and features into
+    training and test rows, the cut-off and the hold-out metrics."""
 
     flows: DataFrame
+    split: DataFrame
     threshold: float
     metrics: DataFrame
     model: Model
@@ -97,4 +99,4 @@ def classify(
     metrics = quality.withColumns({"roc_auc": F.lit(auc).cast("double"), "threshold": F.lit(threshold)})
     scored = score(whole.table).drop(*names, "draw")
     labelled = scored.withColumn("PredictedLabel", (F.col("PredictedProb") >= threshold).cast("int"))
-    return Classified(labelled, threshold, metrics, fitted)
+    return Classified(labelled, split.select("Label", *names, "split"), threshold, metrics, fitted)

@@ -25,10 +25,11 @@ def run(
     bases: dict[str, Estimator] | None = None,
     run_id: str | None = None,
 ) -> Detection:
-    """Train on the flows, score them, flag nodes and write node scores and metrics."""
+    """Train on the flows, score them, flag nodes and write the split, node scores and metrics."""
     run_id = run_id or sinks.new_run_id()
     flows = require_rows(prepare(files.read_flows(spark, source, fmt), sensors))
     classified = classify(flows, bases=bases)
+    sinks.write_split(classified.split, output, run_id)
     found = detect(classified.flows, "PredictedProb")
     sinks.write_node_scores(found.nodes, output, run_id)
     sinks.append_metrics(classified.metrics, "stack", f"{output}/metrics")
