@@ -27,14 +27,15 @@ def running_totals(rows: DataFrame, groups: list[str], order: Column, sums: list
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*by, "_slice")
-        .agg(F.count("*").alias("_rows"), *[F.sum(s).alias(s) for s in sums])
+        .agg(*[F.sum(s).alias(s) for s in sums])
         .select(
-            *by, "_slice", "_rows",
+            *by, "_slice",
             *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_{s}_before") for s in sums],
         )
     )
     inside = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = attach(sliced, store(offsets, "slice-offsets"), [*by, "_slice"], "_rows", how="inner")
+    # The join and the window below hash on the same columns: a slice moves once.
+    placed = sliced.join(offsets, [*by, "_slice"])
     totals = {f"{s}_upto": F.col(f"_{s}_before") + F.sum(s).over(inside) for s in sums}
     return placed.withColumns(totals).select(*rows.columns, *totals)
 

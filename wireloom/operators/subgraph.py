@@ -96,7 +96,7 @@ def flag_subgraph(
     shown = attach(nodes.select(*NODE, "cnc_score", "flagged"), members, NODE, None, how="inner")
     shown = store(attach(degrees, Stored(shown, members.rows), NODE, None, how="inner"), "shown-nodes")
     leaders = top_k(shown.table.filter("flagged"), "SensorId", [F.desc("cnc_score"), F.col("node")], TOP_NODES)
-    tiers = attach(shown.table, store(leaders.select(*NODE, "rank"), "leaders"), NODE, None)
+    tiers = shown.table.join(leaders.select(*NODE, "rank"), NODE, "left")
     tier = F.when(F.col("rank").isNotNull(), "top").when(F.col("flagged"), "candidate").otherwise("normal")
     return Subgraph(
         tiers.select(*NODE, tier.alias("tier"), "graph_degree", "cnc_score"),
@@ -112,11 +112,11 @@ def _kept_neighbours(touching, flagged, degrees, max_nodes, random_seed):
     if random_seed is not None:
         draw = F.xxhash64(*NODE, F.lit(random_seed))
         return top_k(around, "SensorId", [draw, F.col("node")], max_nodes).select(*NODE)
-    taken = store(flagged.table.groupBy("SensorId").agg(F.count("*").alias("taken")), "taken")
+    taken = flagged.table.groupBy("SensorId").agg(F.count("*").alias("taken"))
     ranked = top_k(
         around.join(degrees, NODE), "SensorId", [F.desc("graph_degree"), F.col("node")], max_nodes
     )
-    placed = attach(ranked, taken, ["SensorId"], "taken", how="inner")
+    placed = ranked.join(taken, "SensorId")  # at most max_nodes rows per sensor
     return placed.filter(F.col("rank") + F.col("taken") <= max_nodes).select(*NODE)
 
 

@@ -51,10 +51,11 @@ def weighted_pairs(pairs: DataFrame) -> DataFrame:
     return with_both.select(*PAIR, "EdgeWeight", "SrcTotalWeight", "DstTotalWeight")
 
 
+def stored_pairs(flows: DataFrame) -> Stored:
+    return store(weighted_pairs(store(pair_weights(flows), "pairs").table), "weighted-pairs")
+
+
 def flow_weights(flows: DataFrame, pairs: Stored | None = None) -> DataFrame:
     """Flows with ``EdgeWeight``, ``SrcTotalWeight`` and ``DstTotalWeight``."""
-    if pairs is None:
-        counted = store(pair_weights(flows), "pairs").table
-        pairs = store(weighted_pairs(counted), "weighted-pairs")
-    joined = attach(flows, pairs, PAIR, "EdgeWeight")
+    joined = attach(flows, pairs or stored_pairs(flows), PAIR, "EdgeWeight")
     return joined.fillna({"EdgeWeight": 1, "SrcTotalWeight": 0, "DstTotalWeight": 0})

@@ -38,6 +38,11 @@ def prepared(spark: SparkSession, folder: str) -> DataFrame:
     return prepare(order_flows(spark, folder)).withColumn("prob", F.expr(STAND_IN_PROB))
 
 
+def stored_flows(spark: SparkSession, folder: str) -> DataFrame:
+    """The scanned columns of the prepared flows written once, for operators that read them repeatedly."""
+    return store(prepared(spark, folder).select(*SCAN_COLUMNS, "LabelCNC", "prob"), "flows").table
+
+
 def edges_of(spark: SparkSession, folder: str) -> Stored:
     return store(weights.sensor_edges(prepared(spark, folder), "prob"), "edges")
 
@@ -182,13 +187,13 @@ def ratio_features(spark, folder):
 
 @query
 def matrix_clean(spark, folder):
-    rows = classify.feature_rows(prepared(spark, folder))
+    rows = classify.feature_rows(stored_flows(spark, folder))
     return classify.model_rows(rows, FEATURES)
 
 
 @query
 def scaled_features(spark, folder):
-    rows = features.clean_matrix(features.flow_features(prepared(spark, folder)), EXACT)
+    rows = features.clean_matrix(features.flow_features(stored_flows(spark, folder)), EXACT)
     kept = store(rows.select(EXACT), "unscaled").table
     return features.Standardizer.fit(kept, EXACT).transform(kept).select(*six(*EXACT))
 
@@ -203,7 +208,7 @@ def edge_weights(spark, folder):
 
 @query
 def flow_weights(spark, folder):
-    return weights.flow_weights(prepared(spark, folder)).select(
+    return weights.flow_weights(stored_flows(spark, folder)).select(
         *EDGE, "TotBytes", "EdgeWeight", "SrcTotalWeight", "DstTotalWeight"
     )
 
@@ -371,7 +376,7 @@ def random_subgraph(spark, folder):
 
 
 def _host_graph(spark, folder):
-    flows = prepared(spark, folder)
+    flows = stored_flows(spark, folder)
     edges = store(by_host.feature_edges(flows), "feature-edges")
     totals = weights.weighted_pairs(store(by_host.pairs_of(edges.table), "pairs").table)
     found = store(hosts.node_features(edges.table, totals, HOST_COLUMNS), "node-features")
@@ -407,7 +412,7 @@ def two_hop_mean(spark, folder):
 
 @query
 def score_join_back(spark, folder):
-    flows = prepared(spark, folder)
+    flows = stored_flows(spark, folder)
     edges = store(weights.sensor_edges(flows, "prob"), "edges")
     degrees = store(subgraph.graph_degree(edges.table), "degrees").table
     stats = nodes.node_stats(edges.table)
@@ -419,13 +424,13 @@ def score_join_back(spark, folder):
 
 @query
 def node_classifier(spark, folder):
-    graph = by_host.host_graph(prepared(spark, folder))
+    graph = by_host.host_graph(stored_flows(spark, folder))
     return by_host.node_scores(graph, kind="mlp", rounds=20)
 
 
 @query
 def detect_by_host(spark, folder):
-    return by_host.detect_by_host(prepared(spark, folder), kind="logistic").summary()
+    return by_host.detect_by_host(stored_flows(spark, folder), kind="logistic").summary()
 
 
 # Split, classes and evaluation
@@ -444,7 +449,7 @@ def split_counts(spark, folder):
 
 @query
 def split(spark, folder):
-    drawn = sample.with_draw(classify.model_rows(classify.feature_rows(prepared(spark, folder)), FEATURES))
+    drawn = sample.with_draw(classify.model_rows(classify.feature_rows(stored_flows(spark, folder)), FEATURES))
     return sample.split_rows(drawn).drop("draw")
 
 
@@ -525,19 +530,19 @@ def small_bases():
 
 @query
 def stack_predict(spark, folder):
-    found = classify.classify(prepared(spark, folder).drop("prob"), bases=small_bases())
+    found = classify.classify(stored_flows(spark, folder).drop("prob"), bases=small_bases())
     return found.flows
 
 
 @query
 def forest_predict(spark, folder):
     found = classify.classify(
-        prepared(spark, folder).drop("prob"), names=EXACT, model="rf", forest=stacking.fallback_forest(10, 6)
+        stored_flows(spark, folder).drop("prob"), names=EXACT, model="rf", forest=stacking.fallback_forest(10, 6)
     )
     return found.flows
 
 
 @query
 def stacked_detection(spark, folder):
-    found = classify.classify(prepared(spark, folder).drop("prob"), bases=small_bases())
+    found = classify.classify(stored_flows(spark, folder).drop("prob"), bases=small_bases())
     return detect(found.flows, "PredictedProb").summary()

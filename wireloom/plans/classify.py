@@ -29,9 +29,15 @@ class Classified:
 
 
 def feature_rows(flows: DataFrame, with_weights: bool = True) -> DataFrame:
-    """Prepared flows with every model feature as a finite double."""
-    rows = features.flow_features(weights.flow_weights(flows) if with_weights else flows)
-    return rows
+    """Prepared flows with every model feature.
+
+    Codes and pair weights are both taken from the flows as they come, and meet in the one join
+    that moves flows.
+    """
+    rows = features.flow_features(flows)
+    if not with_weights:
+        return rows
+    return weights.flow_weights(rows, weights.stored_pairs(flows))
 
 
 def model_rows(rows: DataFrame, names: list[str]) -> DataFrame:
