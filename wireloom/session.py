@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
+_local_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def build_session(app: str = "wireloom", **conf: str) -> SparkSession:
@@ -27,7 +27,7 @@ def build_session(app: str = "wireloom", **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may do without the setting; it then gets a temporary folder.
+    Only a local master may do without the setting; it then gets a temporary folder for the process.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -36,8 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="wireloom-")
-    return _local_folders[context.applicationId]
+        _local_folders[context.applicationId] = tempfile.TemporaryDirectory(prefix="wireloom-")
+    return _local_folders[context.applicationId].name
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
