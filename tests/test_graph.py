@@ -26,10 +26,10 @@ def flows(seed=1, n=400):
     ]
 
 
-@pytest.fixture(params=[lookup.BROADCAST_ROWS, 0], ids=["broadcast", "split"])
+@pytest.fixture(params=[lookup.BROADCAST_CELLS, 0], ids=["broadcast", "split"])
 def both_joins(request, monkeypatch):
     """Every lookup join once by broadcast and once split by heavy keys."""
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", request.param)
+    monkeypatch.setattr(lookup, "BROADCAST_CELLS", request.param)
     monkeypatch.setattr(lookup, "HEAVY_KEYS", 2)
 
 

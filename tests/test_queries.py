@@ -21,7 +21,7 @@ def test_every_sql_has_a_query():
     rows_only = set(catalog.queries()) - set(SQL)
     assert rows_only == {
         "random_subgraph", "node_classifier", "detect_by_host", "split", "sample_rows",
-        "stack_predict", "forest_predict", "stacked_detection",
+        "base_predict", "stack_predict", "forest_predict", "stacked_detection",
     }
 
 

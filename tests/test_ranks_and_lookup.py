@@ -21,7 +21,7 @@ def test_split_join_equals_plain_join(spark, how):
     lookup = Stored(table)
     plain = sorted(rows.join(table, ["k"], how).collect(), key=lambda r: r["i"])
     for heavy in (1, 3, 1000):
-        split = attach(rows, lookup, ["k"], "n", how, broadcast_rows=0, heavy_keys=heavy)
+        split = attach(rows, lookup, ["k"], "n", how, broadcast_cells=0, heavy_keys=heavy)
         assert sorted(split.collect(), key=lambda r: r["i"]) == plain
     small = attach(rows, lookup, ["k"], "n", how)
     assert sorted(small.collect(), key=lambda r: r["i"]) == plain
@@ -31,14 +31,14 @@ def test_heavy_keys_absent_from_the_lookup(spark):
     rows = spark.createDataFrame([("hot", i) for i in range(50)] + [("a", 1), ("b", 2)], "k string, i int")
     sizes = spark.createDataFrame([("hot", 50), ("a", 1), ("b", 1)], "k string, n long")
     table = Stored(spark.createDataFrame([("a", 7)], "k string, v int"))
-    found = attach(rows, table, ["k"], "n", sizes=sizes, broadcast_rows=0, heavy_keys=1)
+    found = attach(rows, table, ["k"], "n", sizes=sizes, broadcast_cells=0, heavy_keys=1)
     assert Counter((r["k"], r["v"]) for r in found.collect()) == {("hot", None): 50, ("a", 7): 1, ("b", None): 1}
 
 
 def test_heavy_rows_are_not_shuffled(spark):
     rows = spark.range(10).select(F.col("id").alias("k"))
     lookup = Stored(spark.range(5).select(F.col("id").alias("k"), F.lit(1).alias("n")))
-    split = attach(rows, lookup, ["k"], "n", broadcast_rows=0)
+    split = attach(rows, lookup, ["k"], "n", broadcast_cells=0)
     plan = split._jdf.queryExecution().executedPlan().toString()
     assert "Union" in plan and "LeftAnti" in plan and "CartesianProduct" not in plan
 

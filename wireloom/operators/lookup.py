@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from wireloom.session import Stored
 
-BROADCAST_ROWS = 100_000
+# Rows times columns; with short addresses and numbers this is a few tens of megabytes at most.
+BROADCAST_CELLS = 1_000_000
 HEAVY_KEYS = 1_000
 
 
@@ -18,19 +19,20 @@ def attach(
     size: str | None,
     how: str = "left",
     sizes: DataFrame | None = None,
-    broadcast_rows: int | None = None,
+    broadcast_cells: int | None = None,
     heavy_keys: int | None = None,
 ) -> DataFrame:
     """Join ``lookup``, one row per key, onto ``rows`` without moving heavy keys.
 
-    A lookup of at most ``broadcast_rows`` counted rows is broadcast. A larger one is split: the
+    A lookup of at most ``broadcast_cells`` counted cells is broadcast. A larger one is split: the
     ``heavy_keys`` keys with the largest ``size`` are joined by broadcast where the rows lie, so
     every key left to shuffle holds less than a thousandth of the rows by default. ``size`` counts the rows
     of a key; it is read from ``sizes`` where the lookup covers only part of the keys, and is
     ``None`` where ``rows`` are unique by key as well, so that no key is heavy.
     """
     table = lookup.table
-    if lookup.rows <= (BROADCAST_ROWS if broadcast_rows is None else broadcast_rows):
+    bound = BROADCAST_CELLS if broadcast_cells is None else broadcast_cells
+    if lookup.rows * len(table.columns) <= bound:
         return rows.join(F.broadcast(table), keys, how)
     if size is None:
         return rows.join(table, keys, how)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,6 +192,14 @@ def matrix_clean(spark, folder):
     return classify.model_rows(rows, FEATURES)
 
 
+@query
+def feature_vector(spark, folder):
+    """Count and maximum at every position of the assembled vector."""
+    rows = classify.model_rows(classify.feature_rows(stored_flows(spark, folder)), FEATURES)
+    vectors = features.assemble(rows, FEATURES).select(F.posexplode(vector_to_array("features")).alias("pos", "value"))
+    return vectors.groupBy("pos").agg(F.count("*").alias("flows"), F.max("value").alias("max_value"))
+
+
 @query
 def scaled_features(spark, folder):
     rows = features.clean_matrix(features.flow_features(stored_flows(spark, folder)), EXACT)
@@ -447,6 +456,13 @@ def split_counts(spark, folder):
     return sample.split_rows(drawn).groupBy("Label", "split").agg(F.count("*").alias("flows"))
 
 
+@query
+def split_export(spark, folder):
+    drawn = sample.with_draw(prepared(spark, folder).select("Label", "TotBytes"))
+    path = sinks.write_split(sample.split_rows(drawn), scratch_path(spark, "export"), sinks.new_run_id(), "parquet")
+    return spark.read.parquet(path).groupBy("Label", "split").agg(F.count("*").alias("flows"))
+
+
 @query
 def split(spark, folder):
     drawn = sample.with_draw(classify.model_rows(classify.feature_rows(stored_flows(spark, folder)), FEATURES))
@@ -528,6 +544,17 @@ def small_bases():
     return stacking.base_learners(trees=10, depth=6, extra_depth=8, rounds=10, boost_depth=4)
 
 
+@query
+def base_predict(spark, folder):
+    """The probability each base learner gives every flow."""
+    rows = classify.model_rows(classify.feature_rows(stored_flows(spark, folder)), FEATURES)
+    drawn = sample.with_draw(rows)
+    train = classify.training_rows(sample.split_rows(drawn).filter("split = 'train'"), FEATURES)
+    fitted = {n: e.fit(train) for n, e in stacking.StackedClassifier(small_bases()).bases.items()}
+    scored = stacking.base_probabilities(features.assemble(drawn.table, FEATURES), fitted)
+    return scored.select(*EDGE, "Label", "rf_prob", "et_prob", "hgb_prob")
+
+
 @query
 def stack_predict(spark, folder):
     found = classify.classify(stored_flows(spark, folder).drop("prob"), bases=small_bases())

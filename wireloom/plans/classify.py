@@ -46,6 +46,18 @@ def model_rows(rows: DataFrame, names: list[str]) -> DataFrame:
     return features.clean_matrix(rows, names).select(*keep, *names)
 
 
+def training_rows(train: DataFrame, names: list[str]) -> DataFrame:
+    """Vectors with class weight, stack fold and early-stop marker, stored and spread over all cores."""
+    ready = sample.with_class_weight(features.assemble(train, names))
+    mixed = F.xxhash64("draw")
+    marked = ready.withColumns(
+        {"fold": F.pmod(mixed, F.lit(2)).cast("int"), "validation": F.pmod(F.floor(mixed / 2), F.lit(10)) == 0}
+    )
+    fitting = store(marked.select("Label", "features", "weight", "fold", "validation"), "training").table
+    cores = fitting.sparkSession.sparkContext.defaultParallelism
+    return fitting.repartition(cores) if fitting.rdd.getNumPartitions() < cores else fitting
+
+
 def fit_model(
     train: DataFrame,
     names: list[str],
@@ -55,12 +67,7 @@ def fit_model(
     fallback: bool,
 ) -> Model:
     forest = forest or stacking.fallback_forest()
-    ready = sample.with_class_weight(features.assemble(train, names))
-    mixed = F.xxhash64("draw")
-    marked = ready.withColumns(
-        {"fold": F.pmod(mixed, F.lit(2)).cast("int"), "validation": F.pmod(F.floor(mixed / 2), F.lit(10)) == 0}
-    )
-    fitting = store(marked.select("Label", "features", "weight", "fold", "validation"), "training").table
+    fitting = training_rows(train, names)
     if model == "rf":
         return stacking.ForestModel(forest.fit(fitting))
     try:

@@ -327,6 +327,10 @@ def oracle_sql() -> dict[str, str]:
         " CROSS JOIN (VALUES ('first'), ('second')) v(Model)",
         "node_export": "SELECT SensorId, node, in_ct, out_ct, round(cnc_score, 6) AS cnc_score FROM nodes",
     }
+    found["split_export"] = found["split_counts"]
+    found["feature_vector"] = " UNION ALL ".join(
+        f"SELECT {i} AS pos, count(*) AS flows, max({f}) AS max_value FROM matrix" for i, f in enumerate(FEATURES)
+    )
     result = {name: _sql(text) for name, text in found.items()}
     result["schema_table"] = (
         'SELECT column_name AS "Column", column_type AS "Type" FROM (DESCRIBE ' + TABLES["flows"] + ")"
