@@ -27,12 +27,22 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def difference(frame, con, sql: str) -> str | None:
     """What differs between a DataFrame and a SQL result, or None."""
     names = sorted(frame.columns)
     found = con.sql(sql)
     if sorted(found.columns) != names:
         return f"columns {names} / {sorted(found.columns)}"
+    kinds = {n: TYPES[t] for n, t in frame.dtypes}
+    found_kinds = {n: str(t) for n, t in zip(found.columns, found.types)}
+    if kinds != found_kinds:
+        return f"types {[(n, kinds[n], found_kinds[n]) for n in names if kinds[n] != found_kinds[n]]}"
     picked = ", ".join(f'"{n}"' for n in names)
     left = Counter(tuple(r) for r in frame.select(names).collect())
     right = Counter(con.sql(f"SELECT {picked} FROM ({sql})").fetchall())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wireloom.session import Stored
+from wireloom.session import Stored, store
 
 # Rows times columns; with short addresses and numbers this is a few tens of megabytes at most.
 BROADCAST_CELLS = 1_000_000
@@ -37,7 +37,8 @@ def attach(
     if size is None:
         return rows.join(table, keys, how)
     ranked = table if sizes is None else sizes
-    heavy = ranked.orderBy(F.desc(size), *keys).limit(heavy_keys or HEAVY_KEYS).select(keys)
+    top = ranked.orderBy(F.desc(size), *keys).limit(heavy_keys or HEAVY_KEYS)
+    heavy = store(top.select(keys), "heavy-keys").table
     heavy_values = table.join(F.broadcast(heavy), keys, "left_semi")
     in_place = rows.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(heavy_values), keys, how)
     shuffled = rows.join(F.broadcast(heavy), keys, "left_anti").join(table, keys, how)

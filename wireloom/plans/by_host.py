@@ -24,9 +24,9 @@ class HostGraph:
     degrees: Stored
 
 
-def feature_edges(flows: DataFrame) -> DataFrame:
+def feature_edges(flows: DataFrame, features: list[str] = PLAIN_FEATURES) -> DataFrame:
     """The edge table with the sums behind the node features, from one pass over the flows."""
-    return weights.sensor_edges(flow_features(flows), extra=hosts.feature_sums(PLAIN_FEATURES))
+    return weights.sensor_edges(flow_features(flows), extra=hosts.feature_sums(features))
 
 
 def pairs_of(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from wireloom.functions.ratios import direction_code, ratio_columns
 from wireloom.operators import clean, evaluate, features, hosts, nodes, ranks, rules, sample, stacking, subgraph, weights
 from wireloom.plans import by_host, classify
 from wireloom.plans.detect import detect, detect_simple, prepare, scored_nodes
-from wireloom.schema import EDGE, FEATURES, FLOW, NODE, SCAN_COLUMNS
+from wireloom.schema import EDGE, FEATURES, FLOW, NODE, SCAN_COLUMNS, WEIGHT_FEATURES
 from wireloom.session import Stored, scratch_path, store
 from wireloom.sources import files, sinks
 from wireloom.sources.order_flows import STAND_IN_PROB, order_flows
@@ -22,7 +22,7 @@ _registry: dict[str, Query] = {}
 
 # Integer-valued features, whose sums are exact in any order.
 EXACT = ["Dir", "Proto", "TotBytes", "TotPkts", "sTos", "dTos", "SrcBytes"]
-HOST_COLUMNS = ["TotPkts", "TotBytes", "sTos", "Dir", "EdgeWeight", "SrcTotalWeight", "DstTotalWeight"]
+HOST_FEATURES = ["TotPkts", "TotBytes", "sTos", "Dir"]
 
 
 def query(function: Query) -> Query:
@@ -386,9 +386,9 @@ def random_subgraph(spark, folder):
 
 def _host_graph(spark, folder):
     flows = stored_flows(spark, folder)
-    edges = store(by_host.feature_edges(flows), "feature-edges")
+    edges = store(by_host.feature_edges(flows, HOST_FEATURES), "feature-edges")
     totals = weights.weighted_pairs(store(by_host.pairs_of(edges.table), "pairs").table)
-    found = store(hosts.node_features(edges.table, totals, HOST_COLUMNS), "node-features")
+    found = store(hosts.node_features(edges.table, totals, HOST_FEATURES + WEIGHT_FEATURES), "node-features")
     return edges.table, found, store(subgraph.graph_degree(edges.table), "degrees").table
 
 
