@@ -219,3 +219,19 @@ def test_scores_back_to_flows(spark, both_joins):
     for r in found:
         best = max(given.get((r["SensorId"], r["SrcAddr"]), 0.0), given.get((r["SensorId"], r["DstAddr"]), 0.0))
         assert r["PredictedProb"] == best and r["PredictedLabel"] == int(best >= 0.5)
+
+
+def test_nothing_flagged_gives_an_empty_subgraph(spark):
+    rows = [(1, "a", "b", 0, 0.1), (1, "b", "c", 0, 0.1)]
+    found = detect(spark.createDataFrame(rows, SCHEMA), "prob")
+    graph = found.subgraph()
+    assert (found.nodes.count(), graph.nodes.count(), graph.edges.count()) == (3, 0, 0)
+
+
+def test_scores_do_not_depend_on_partitioning(spark):
+    frame = spark.createDataFrame(flows(seed=3, n=600), SCHEMA)
+    one = detect(frame.coalesce(1), "prob").nodes.collect()
+    many = detect(frame.repartition(13, "prob"), "prob").nodes.collect()
+    key = lambda r: (r["SensorId"], r["node"])
+    for a, b in zip(sorted(one, key=key), sorted(many, key=key)):
+        assert a["cnc_score"] == pytest.approx(b["cnc_score"]) and (a["Role"], a["strict"]) == (b["Role"], b["strict"])

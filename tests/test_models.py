@@ -1,8 +1,6 @@
 """Split, sampling, evaluation, training and sinks."""
 
 import math
-import random
-from collections import Counter
 
 import numpy as np
 import pytest

@@ -5,7 +5,7 @@ from check_queries import connect, difference
 
 import __spark_entry__
 from wireloom.plans import catalog, oracles, detect as plan
-from wireloom.operators import clean, features, subgraph, weights
+from wireloom.operators import features, weights
 from wireloom.schema import FEATURES
 
 SQL = oracles.oracle_sql()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from wireloom.operators import clean, nodes, rules, weights
 from wireloom.operators.subgraph import MAX_EDGES, MAX_NODES, Subgraph, flag_subgraph
@@ -35,11 +34,6 @@ def prepare(flows: DataFrame, sensors: list[int] | None = None) -> DataFrame:
     return clean.label_flows(clean.drop_incomplete(clean.valid_flows(flows, sensors)))
 
 
-def prepare_plain(flows: DataFrame) -> DataFrame:
-    """The older detector's input: it knows no controller label, so its rules see none."""
-    return prepare(flows).withColumn("LabelCNC", F.lit(0))
-
-
 def scored_nodes(edges: DataFrame) -> tuple[DataFrame, Stored]:
     """Scored nodes and the sensor weights they were scored with."""
     stats = store(nodes.node_stats(edges), "node-stats")
