@@ -166,7 +166,7 @@ def write_frames(docs: DataFrame, path: str, end_id: int | None, folder: str | N
                 begins = begins + np.arange(len(begins))
             if writer is None:
                 system.create_dir(base, recursive=True)
-                out = system.open_output_stream(name)
+                out = system.open_output_stream(name, compression=None)
                 writer = FrameWriter(out)
             writer.add(part.column(key).to_pylist(), ids, begins)
         if writer is None:
