@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import flat, slices
+from .common import extend, slices
 from .pretoken import PieceStore
 
 SHORT = 256
@@ -129,8 +129,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] = ())
             lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists], names=[*keep, *schema.names])
 
-    kept = docs.select(*keep).schema
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, kept.add("ids", "array<int>"))
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, extend(docs, keep, "ids array<int>"))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", keep: list[str] = ()) -> DataFrame:
@@ -144,8 +143,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", keep: list[str] = ()) -
             ]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
-    kept = rows.select(*keep).schema
-    return rows.select(*dict.fromkeys([*keep, ids])).mapInArrow(run, kept.add("decoded", "string"))
+    return rows.select(*dict.fromkeys([*keep, ids])).mapInArrow(run, extend(rows, keep, "decoded string"))
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,5 +166,5 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    schema = docs.select(key).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = extend(docs, [key], "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return docs.select(key, text).mapInArrow(run, schema)

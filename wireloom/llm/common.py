@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy step works on.
 CHUNK = 1 << 20
@@ -132,6 +133,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tup
     return span_hashes(BYTE_VALUES[lowered], starts, ends), firsts
 
 
+def joined_words(data: np.ndarray, offsets: np.ndarray):
+    """All texts as their words with single blanks around, a zero byte before each; starts of words; first
+    words."""
+    lowered, starts, ends, firsts = find_words(data, offsets, ALNUM)
+    n_texts, n = len(offsets) - 1, len(starts)
+    text_of = np.repeat(np.arange(n_texts), np.diff(firsts))
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    places = before + np.arange(n) + 2 * (text_of + 1)
+    out = np.full(int(sizes.sum()) + n + 2 * n_texts, 0x20, np.uint8)
+    out[np.arange(int(sizes.sum())) + np.repeat(places - before, sizes)] = lowered[lowered != 0]
+    upto = np.append(before, sizes.sum())[firsts[:-1]]
+    out[upto + firsts[:-1] + 2 * np.arange(n_texts)] = 0
+    return out, places, firsts
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -160,6 +177,11 @@ def split_by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
+def extend(frame: DataFrame, keep: Iterable[str], more: str) -> StructType:
+    """The columns ``keep`` of ``frame`` and those of the DDL string ``more``."""
+    return StructType([frame.schema[c] for c in keep] + StructType.fromDDL(more).fields)
+
+
 def binary(rows: list[bytes]) -> pa.Array:
     return pa.array(rows, pa.binary())
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, find_words, flat, mix, slices
+from .common import ALNUM, U64, extend, find_words, flat, joined_words, mix, slices
 
 WINDOW = 13
 #: Bytes of benchmark text searched for in one pass.
@@ -41,21 +41,6 @@ def item_windows(text: str | None, window: int = WINDOW) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + window]) + b" " for i in range(max(1, len(words) - window + 1))]
 
 
-def joined_words(data: np.ndarray, offsets: np.ndarray):
-    """All texts as their words with single blanks around, a zero byte before each; starts of words; first words."""
-    lowered, starts, ends, firsts = find_words(data, offsets, ALNUM)
-    n_texts, n = len(offsets) - 1, len(starts)
-    text_of = np.repeat(np.arange(n_texts), np.diff(firsts))
-    sizes = ends - starts
-    before = np.cumsum(sizes) - sizes
-    places = before + np.arange(n) + 2 * (text_of + 1)
-    out = np.full(int(sizes.sum()) + n + 2 * n_texts, 0x20, np.uint8)
-    out[np.arange(int(sizes.sum())) + np.repeat(places - before, sizes)] = lowered[lowered != 0]
-    upto = np.append(before, sizes.sum())[firsts[:-1]]
-    out[upto + firsts[:-1] + 2 * np.arange(n_texts)] = 0
-    return out, places, firsts
-
-
 class Searcher:
     """Shift table and buckets for patterns of at least ``m`` bytes."""
 
@@ -221,9 +206,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "t
                 names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    for name, kind in (("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")):
-        schema = schema.add(name, kind)
+    schema = extend(docs, keep, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
     return found.mapInArrow(sums, schema)
 
 

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, token_frames, url_rules
+from . import bpe, decontaminate, language_mix, token_frames, toxicity, url_rules
 from .common import prepare
+from .folds import in_fold
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: The rules of the registered query.
@@ -28,11 +30,29 @@ def op1_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
+def op3_language_mix(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language_mix.learn(docs.filter(F.col("doc_id").isNotNull() & ~in_fold("doc_id", 0)))
+    found = language_mix.identify(docs, model, ["doc_id"])
+    return found.select("doc_id", in_fold("doc_id", 0).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op4_token_frames(spark: SparkSession, folder: str) -> DataFrame:
     manifest = token_frames.write_frames(table(spark, folder, "documents"), BYTE_BPE, end_id=0)
     return token_frames.digests(manifest)
 
 
+def toxicity_model(spark: SparkSession, folder: str) -> toxicity.ToxicityModel:
+    """Learned from the labels of all folds but the first."""
+    labels = table(spark, folder, "labels").filter(~in_fold("doc_id", 0))
+    return toxicity.learn(table(spark, folder, "documents"), labels)
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.score(table(spark, folder, "documents"), toxicity_model(spark, folder), ["doc_id"])
+    return scored.select("doc_id", in_fold("doc_id", 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), BYTE_BPE)
 
@@ -43,7 +63,8 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_url_rules": op1_url_rules, "op4_token_frames": op4_token_frames, "op6_bpe": op6_bpe,
+        "op1_url_rules": op1_url_rules, "op3_language_mix": op3_language_mix, "op4_token_frames": op4_token_frames,
+        "op5_toxicity": op5_toxicity, "op6_bpe": op6_bpe,
         "op8_decontamination": op8_decontamination,
     }
 
