@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_mix, token_frames, toxicity, url_rules
+from . import bpe, decontaminate, language_mix, mtree, token_frames, toxicity, url_rules
 from .common import prepare
 from .folds import in_fold
 
@@ -61,11 +61,15 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.judge(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
 
 
+def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return mtree.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_rules": op1_url_rules, "op3_language_mix": op3_language_mix, "op4_token_frames": op4_token_frames,
         "op5_toxicity": op5_toxicity, "op6_bpe": op6_bpe,
-        "op8_decontamination": op8_decontamination,
+        "op8_decontamination": op8_decontamination, "op10_top_k": op10_top_k,
     }
 
 
@@ -95,5 +99,23 @@ FROM ruled
 """
 
 
+OP10_SQL = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+        CAST(list_sum(list_transform(generate_series(1, least(len(q.v), len(c.v))), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_rules": OP1_SQL}
+    return {"op1_url_rules": OP1_SQL, "op10_top_k": OP10_SQL}
