@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_mix, mtree, token_frames, toxicity, url_rules
+from . import bpe, decontaminate, katz, language_mix, mtree, token_frames, toxicity, url_rules
 from .common import prepare
 from .folds import in_fold
 
@@ -61,6 +61,11 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.judge(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
 
 
+def op9_katz(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return katz.train_and_score(docs, F.col("doc_id").isNotNull() & ~in_fold("doc_id", 1), in_fold("doc_id", 1))
+
+
 def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return mtree.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -69,7 +74,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_rules": op1_url_rules, "op3_language_mix": op3_language_mix, "op4_token_frames": op4_token_frames,
         "op5_toxicity": op5_toxicity, "op6_bpe": op6_bpe,
-        "op8_decontamination": op8_decontamination, "op10_top_k": op10_top_k,
+        "op8_decontamination": op8_decontamination, "op9_katz": op9_katz,
+        "op10_top_k": op10_top_k,
     }
 
 
