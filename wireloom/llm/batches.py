@@ -16,12 +16,18 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from wireloom.session import scratch_path
 
 from .common import flat, shuffle_partitions, slices, text_bytes
 
 SMALLEST, LARGEST = 1 << 20, 12 << 20
+#: Rows of a batch, nearly; a row's number is its batch and its place there.
+MOST_ROWS = 1 << 19
+PLACE_BITS = 20
 #: Files that the table of batches is bucketed into, at most.
 MOST_FILES = 50_000
 
@@ -51,9 +57,9 @@ def pack(docs: DataFrame, columns: list[str], text: str = "text") -> tuple[DataF
     n = max(1, -(-size // limit))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, seen = TaskContext.get().partitionId() << 24, 0
+        first, seen = TaskContext.get().partitionId() << 12, 0
         held: list[pa.RecordBatch] = []
-        bytes_held = 0
+        bytes_held = rows_held = 0
 
         def emit() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
@@ -68,9 +74,12 @@ def pack(docs: DataFrame, columns: list[str], text: str = "text") -> tuple[DataF
         for part in slices(rows, text, SMALLEST):
             held.append(part)
             bytes_held += len(flat(part.column(text))[0])
-            if bytes_held >= limit:
+            rows_held += part.num_rows
+            if bytes_held >= limit or rows_held >= MOST_ROWS:
                 yield emit()
-                held, bytes_held, seen = [], 0, seen + 1
+                held, bytes_held, rows_held, seen = [], 0, 0, seen + 1
+                if seen == 1 << 12:
+                    raise ValueError("too much text in one partition: repartition the documents first")
         if held:
             yield emit()
 
@@ -87,6 +96,28 @@ def unpack(blob: bytes) -> list[pa.RecordBatch]:
     return list(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)))
 
 
+def row_numbers(batch: int, n: int) -> np.ndarray:
+    """Numbers of a batch's rows, unique over all batches."""
+    return (np.int64(batch) << PLACE_BITS) + np.arange(n)
+
+
+def take(packed: DataFrame, numbers: DataFrame, columns: StructType) -> DataFrame:
+    """The rows whose number is in ``numbers`` (column uid), with their ``columns``."""
+    names = columns.fieldNames()
+
+    def run(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        out = []
+        for row in rows.to_pylist():
+            whole = pa.Table.from_batches(unpack(row["blob"])).select(names)
+            places = np.sort(wanted.column("uid").to_numpy() - (np.int64(row["batch"]) << PLACE_BITS))
+            out.append(whole.take(pa.array(places)))
+        return pa.concat_tables(out) if out else empty
+
+    empty = to_arrow_schema(columns).empty_table()
+    asked = numbers.select((F.shiftright("uid", PLACE_BITS)).alias("batch"), "uid")
+    return packed.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(run, columns)
+
+
 def n_buckets(table: DataFrame, batches: int) -> int:
     """Buckets that equal values meet in: some for each task, and growing with the texts."""
     return max(2 * shuffle_partitions(table.sparkSession), batches)

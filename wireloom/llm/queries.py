@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, katz, language_mix, mtree, token_frames, toxicity, url_rules
+from . import bpe, decontaminate, jaccard, katz, language_mix, mtree, token_frames, toxicity, url_rules
 from .common import prepare
 from .folds import in_fold
 
@@ -57,6 +57,11 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), BYTE_BPE)
 
 
+def op7_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    _, found = jaccard.similar_texts(table(spark, folder, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "class_id", "copies", "group_id", "n_links")
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.judge(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
 
@@ -74,7 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_rules": op1_url_rules, "op3_language_mix": op3_language_mix, "op4_token_frames": op4_token_frames,
         "op5_toxicity": op5_toxicity, "op6_bpe": op6_bpe,
-        "op8_decontamination": op8_decontamination, "op9_katz": op9_katz,
+        "op7_jaccard": op7_jaccard, "op8_decontamination": op8_decontamination, "op9_katz": op9_katz,
         "op10_top_k": op10_top_k,
     }
 
