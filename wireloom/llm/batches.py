@@ -36,6 +36,10 @@ def compress(raw: bytes, level: int = 1) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
+def expand(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
 def pack_array(x: np.ndarray) -> bytes:
     """Numbers as compressed bytes, first bytes first: the high ones are mostly equal."""
     x = np.ascontiguousarray(x)
@@ -44,7 +48,7 @@ def pack_array(x: np.ndarray) -> bytes:
 
 
 def unpack_array(packed: bytes, dtype) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    raw = np.frombuffer(expand(packed), np.uint8)
     dtype = np.dtype(dtype)
     return np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype)
 
@@ -93,7 +97,7 @@ def pack(docs: DataFrame, columns: list[str], text: str = "text") -> tuple[DataF
 
 def unpack(blob: bytes) -> list[pa.RecordBatch]:
     """The rows of a batch in runs of about a megabyte."""
-    return list(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)))
+    return list(pa.ipc.open_stream(expand(blob)))
 
 
 def row_numbers(batch: int, n: int) -> np.ndarray:
@@ -128,7 +132,3 @@ def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
     order = np.argsort(bucket, kind="stable")
     present, begins = np.unique(bucket[order], return_index=True)
     return order, present, np.append(begins, len(order))
-
-
-def rows_of(table: pa.Table) -> list[dict]:
-    return table.to_pylist()

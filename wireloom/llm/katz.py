@@ -161,7 +161,7 @@ TABLE, SHARES = -1, -2
 
 def add_words(group: pa.Table) -> pa.Table:
     """One bucket: counts of its words over all batches; an answer for each batch, and the table."""
-    asked = batches.rows_of(group)
+    asked = group.to_pylist()
     bucket = asked[0]["bucket"]
     words = [unpack_array(q["a"], "<u8") for q in asked]
     counts = np.concatenate([unpack_array(q["b"], "<u4") for q in asked])
@@ -185,7 +185,7 @@ def add_words(group: pa.Table) -> pa.Table:
 def add_pairs(words: Words):
     def run(group: pa.Table) -> pa.Table:
         """One bucket: counts of its pairs over all batches, and what each history's backoff weight needs."""
-        asked = batches.rows_of(group)
+        asked = group.to_pylist()
         bucket = asked[0]["bucket"]
         heads = [unpack_array(q["a"], "<u8") for q in asked]
         runs = [unpack_array(q["b"], "<u4") for q in asked]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, katz, language_mix, mtree, token_frames, toxicity, url_rules
+from . import bpe, decontaminate, jaccard, katz, language_mix, mtree, suffix_dedup, token_frames, toxicity, url_rules
 from .common import prepare
 from .folds import in_fold
 
@@ -30,6 +30,10 @@ def op1_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, folder, "documents"))
+
+
 def op3_language_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language_mix.learn(docs.filter(F.col("doc_id").isNotNull() & ~in_fold("doc_id", 0)))
@@ -77,7 +81,8 @@ def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_url_rules": op1_url_rules, "op3_language_mix": op3_language_mix, "op4_token_frames": op4_token_frames,
+        "op1_url_rules": op1_url_rules, "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_language_mix": op3_language_mix, "op4_token_frames": op4_token_frames,
         "op5_toxicity": op5_toxicity, "op6_bpe": op6_bpe,
         "op7_jaccard": op7_jaccard, "op8_decontamination": op8_decontamination, "op9_katz": op9_katz,
         "op10_top_k": op10_top_k,
