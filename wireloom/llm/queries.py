@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import bpe, decontaminate, jaccard, katz, language_mix, mtree, suffix_dedup, token_frames, toxicity, url_rules
 from .common import prepare
 from .folds import in_fold
@@ -86,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity, "op6_bpe": op6_bpe,
         "op7_jaccard": op7_jaccard, "op8_decontamination": op8_decontamination, "op9_katz": op9_katz,
         "op10_top_k": op10_top_k,
+        "pipeline": corpus_pipeline.run,
     }
 
 

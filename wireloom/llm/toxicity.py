@@ -226,3 +226,11 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "t
 
     read = [F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])]
     return docs.select(*read).mapInArrow(run, extend(docs, keep, "score double"))
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score less than ``threshold``, with their columns."""
+    inner = [f"_{i}" for i in range(len(docs.columns))]  # a column named score may be among them
+    renamed = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(docs.columns, inner)])
+    scored = score(renamed, model, inner, inner[docs.columns.index(text)]).filter(F.col("score") < threshold)
+    return scored.select(*[F.col(i).alias(c) for c, i in zip(docs.columns, inner)])
