@@ -119,7 +119,8 @@ def store_of(path: str) -> PieceStore:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] = ()) -> DataFrame:
-    """``keep`` and ``ids``: array of int for each row of ``docs``."""
+    """``keep`` and ``ids``: array of int for each row of ``docs``; a column of that name is replaced."""
+    keep = [c for c in keep if c != "ids"]
     schema = pa.schema([("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

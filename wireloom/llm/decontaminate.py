@@ -212,5 +212,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "t
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
-    judged = judge(docs, benchmark, docs.columns, text, **options)
-    return judged.filter(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    inner = [f"_{i}" for i in range(len(docs.columns))]  # columns of the judgement's names may be among them
+    renamed = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(docs.columns, inner)])
+    judged = judge(renamed, benchmark, inner, inner[docs.columns.index(text)], **options)
+    return judged.filter(~F.col("contaminated")).select(*[F.col(i).alias(c) for c, i in zip(docs.columns, inner)])
