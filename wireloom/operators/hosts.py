@@ -35,7 +35,7 @@ def node_features(edges: DataFrame, totals: DataFrame, features: list[str] = FEA
     parts: list[Column] = []
     for f in features:
         if f in WEIGHT_FEATURES:
-            parts += [(known[f] * flows).cast("double").alias(f"sum_{f}"), flows.alias(f"n_{f}")]
+            parts += [(known[f].cast("double") * flows).alias(f"sum_{f}"), flows.alias(f"n_{f}")]
         else:
             parts += [F.col(f"sum_{f}"), F.col(f"n_{f}")]
     ends = F.array(
@@ -44,8 +44,8 @@ def node_features(edges: DataFrame, totals: DataFrame, features: list[str] = FEA
     )
     sides = joined.select(
         "SensorId", flows.alias("flows"), "label_cnc", *parts,
-        (F.col("SrcTotalWeight") * flows).cast("double").alias("own_src"),
-        (F.col("DstTotalWeight") * flows).cast("double").alias("own_dst"),
+        (F.col("SrcTotalWeight").cast("double") * flows).alias("own_src"),
+        (F.col("DstTotalWeight").cast("double") * flows).alias("own_dst"),
         F.inline(ends),
     )
 

@@ -17,12 +17,12 @@ def node_stats(edges: DataFrame) -> DataFrame:
     Each edge gives a row to both its ends and one aggregate does what would otherwise be an outer
     join and four left joins. ``label_cnc`` marks destinations of controller traffic.
     """
-    weight = F.col("w_sensor") * F.col("w_global")
+    weight = F.col("w_sensor").cast("double") * F.col("w_global")  # outgrows a long
     none, nothing, one = F.lit(0).cast("bigint"), F.lit(0.0), F.lit(1).cast("bigint")
     outgoing = F.struct(
         F.col("SrcAddr").alias("node"),
         none.alias("in_ct"), nothing.alias("in_sum"), none.alias("in_unique_srcs"),
-        none.alias("dst_total_weight"), F.lit(0).alias("label_cnc"),
+        nothing.alias("dst_total_weight"), F.lit(0).alias("label_cnc"),
         F.col("n_prob").alias("out_ct"), F.col("sum_prob").alias("out_sum"),
         one.alias("out_unique_dests"), weight.alias("src_total_weight"),
     )
@@ -31,7 +31,7 @@ def node_stats(edges: DataFrame) -> DataFrame:
         F.col("n_prob").alias("in_ct"), F.col("sum_prob").alias("in_sum"), one.alias("in_unique_srcs"),
         weight.alias("dst_total_weight"), F.col("label_cnc"),
         none.alias("out_ct"), nothing.alias("out_sum"),
-        none.alias("out_unique_dests"), none.alias("src_total_weight"),
+        none.alias("out_unique_dests"), nothing.alias("src_total_weight"),
     )
     summed = [
         "in_ct", "in_sum", "out_ct", "out_sum", "out_unique_dests", "in_unique_srcs",

@@ -12,14 +12,20 @@ from wireloom.session import Stored, store
 # slices before to the running total inside the slice. A slice is one shuffle partition in size.
 
 
+# Spark's own limit of a window's rows ends at this k by default.
+SPARK_CUTS = 1_000
+TOP_SLICES = 64
+
+
 def running_totals(rows: DataFrame, groups: list[str], order: Column, sums: list[str]) -> DataFrame:
     """Add ``<sum>_upto``, the total of each sum column over the group up to and with this row.
 
     Rows must be unique per group and ``order``: aggregate ties away first, so that one value
     held by a third of the rows is one row here.
     """
-    by = groups or ["_all"]
-    keyed = rows if groups else rows.withColumn("_all", F.lit(0))
+    # A struct is never null, so that rows of a null group meet their offsets too.
+    by = ["_group"]
+    keyed = rows.withColumn("_group", F.struct(*[F.col(g) for g in groups]) if groups else F.lit(0))
     sliced = store(
         keyed.repartitionByRange(*[F.col(g) for g in by], order).withColumn("_slice", F.spark_partition_id()),
         "slices",
@@ -81,6 +87,14 @@ def quantiles(
 
 
 def top_k(rows: DataFrame, group: str, order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows per group. Spark cuts each task's rows to ``k`` before the shuffle."""
+    """First ``k`` rows per group.
+
+    Up to ``SPARK_CUTS`` Spark cuts each task's rows to ``k`` before the shuffle. Beyond, the rows of a
+    group are first dealt over slices and cut there, so that no task sorts a whole group.
+    """
+    if k > SPARK_CUTS:
+        by = Window.partitionBy(group, "_slice").orderBy(*order)
+        sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(*rows.columns), F.lit(TOP_SLICES)))
+        rows = sliced.withColumn("_place", F.row_number().over(by)).filter(F.col("_place") <= k).drop("_slice", "_place")
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return rows.withColumn(rank, place).filter(F.col(rank) <= k)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,19 +15,27 @@ SEED = 42
 
 
 def with_draw(rows: DataFrame, seed: int = SEED) -> Stored:
-    """Store the rows with a ``draw`` each: a random long no two rows share.
+    """The rows with a ``draw`` each: a long from their content and the seed.
 
-    xxhash64 permutes 8-byte values, so unique ids give unique draws and equal rows differ in
-    theirs. Storing makes the draw final before anything is decided by it.
+    The same rows get the same draws however they are partitioned. Equal rows share a draw and may
+    stand for each other, so only those at a cut have to be told apart.
     """
-    drawn = rows.withColumn("draw", F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)))
-    return store(drawn, "drawn")
+    return Stored(rows.withColumn("draw", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.lit(seed))))
 
 
-def _cutoffs(rows: DataFrame, group: str, sizes: dict[int, int], takes: dict[int, int]) -> dict[int, int]:
-    """Per group, the draw up to which exactly ``takes`` of its ``sizes`` rows lie.
+@dataclass(frozen=True)
+class Cut:
+    """Rows of smaller draws are taken, and ``take`` of the ``tied`` rows with this one."""
 
-    Draws are uniform over the longs, so only a narrow band around the expected cut is ranked.
+    draw: int
+    take: int
+    tied: int
+
+
+def _cutoffs(rows: DataFrame, group: str, sizes: dict[int, int], takes: dict[int, int]) -> dict[int, Cut]:
+    """Per group, the cut up to which exactly ``takes`` of its ``sizes`` rows lie.
+
+    Draws are nearly uniform over the longs, so only a narrow band around the expected cut is ranked.
     """
 
     def edge(value: int, side: int) -> int:
@@ -38,25 +47,49 @@ def _cutoffs(rows: DataFrame, group: str, sizes: dict[int, int], takes: dict[int
     def per_group(side: int) -> Column:
         chain = F.lit(None).cast("bigint")
         for value in sizes:
-            chain = F.when(F.col(group) == value, F.lit(edge(value, side)).cast("bigint")).otherwise(chain)
+            chain = F.when(_is(group, value), F.lit(edge(value, side)).cast("bigint")).otherwise(chain)
         return chain
 
-    narrow = rows.select(group, "draw").withColumn("one", F.lit(1))
+    narrow = rows.select(group, "draw")
     under = narrow.groupBy(group).agg(F.count_if(F.col("draw") < per_group(-1)).alias("n"))
     below = {r[group]: r["n"] for r in under.collect()}
     band = narrow.filter((F.col("draw") >= per_group(-1)) & (F.col("draw") <= per_group(1)))
     found = _ranked_draw(band, group, {v: takes[v] - below[v] for v in sizes})
-    if len(found) < len(sizes):  # a band missed its cut: rank everything
+    if len(found) < len(sizes):  # a band missed its cut, as when many rows are equal: rank everything
         found = _ranked_draw(narrow, group, takes)
     return found
 
 
-def _ranked_draw(rows: DataFrame, group: str, ranks: dict[int, int]) -> dict[int, int]:
-    wanted = F.lit(False)
+def _is(group: str, value: int | None) -> Column:
+    return F.col(group).eqNullSafe(F.lit(value))
+
+
+def _ranked_draw(rows: DataFrame, group: str, ranks: dict[int, int]) -> dict[int, Cut]:
+    tallied = rows.groupBy(group, "draw").agg(F.count("*").alias("one"))
+    before, wanted = F.col("one_upto") - F.col("one"), F.lit(False)
     for value, rank in ranks.items():
-        wanted = wanted | ((F.col(group) == value) & (F.col("one_upto") == rank))
-    ranked = running_totals(rows, [group], F.col("draw"), ["one"])
-    return {r[group]: r["draw"] for r in ranked.filter(wanted).collect()}
+        wanted = wanted | (_is(group, value) & (before < rank) & (F.col("one_upto") >= rank))
+    ranked = running_totals(tallied, [group], F.col("draw"), ["one"])
+    return {
+        r[group]: Cut(r["draw"], ranks[r[group]] - r["one_upto"] + r["one"], r["one"]) for r in ranked.filter(wanted).collect()
+    }
+
+
+def _mark_first(rows: DataFrame, group: str, cuts: dict[int, Cut], name: str) -> DataFrame:
+    """Add the boolean ``name``: whether the row is among the first of its group up to the cut."""
+    first, tied = F.lit(False), F.lit(False)
+    limit = F.lit(0)
+    for value, cut in cuts.items():
+        here = _is(group, value)
+        first = first | (here & ((F.col("draw") < cut.draw) | ((F.col("draw") == cut.draw) & F.lit(cut.take >= cut.tied))))
+        if cut.take < cut.tied:
+            tied = tied | (here & (F.col("draw") == cut.draw))
+            limit = F.when(here, F.lit(cut.take)).otherwise(limit)
+    if all(cut.take >= cut.tied for cut in cuts.values()):
+        return rows.withColumn(name, first)
+    equal = store(rows.filter(tied).withColumns({"_place": F.monotonically_increasing_id(), "one": F.lit(1)}), "tied").table
+    numbered = running_totals(equal, [group], F.col("_place"), ["one"]).withColumn(name, F.col("one_upto") <= limit)
+    return rows.filter(~tied).withColumn(name, first).unionByName(numbered.select(*rows.columns, name))
 
 
 def sample_rows(drawn: Stored, n: int) -> DataFrame:
@@ -64,11 +97,8 @@ def sample_rows(drawn: Stored, n: int) -> DataFrame:
     if drawn.rows <= n:
         return drawn.table
     keyed = drawn.table.withColumn("_all", F.lit(0))
-    total = keyed.count()
-    if total <= n:
-        return drawn.table
-    cut = _cutoffs(keyed, "_all", {0: total}, {0: n})[0]
-    return drawn.table.filter(F.col("draw") <= cut)
+    cuts = _cutoffs(keyed, "_all", {0: drawn.rows}, {0: n}) if n else {}
+    return _mark_first(keyed, "_all", cuts, "_taken").filter("_taken").drop("_all", "_taken")
 
 
 def train_quotas(counts: dict[int, int], test_share: float) -> dict[int, int]:
@@ -76,7 +106,7 @@ def train_quotas(counts: dict[int, int], test_share: float) -> dict[int, int]:
     total = sum(counts.values())
     train = total - math.ceil(round(total * test_share, 9))
     quotas = {c: train * n // total for c, n in counts.items()}
-    by_rest = sorted(counts, key=lambda c: (-(train * counts[c] % total), c))
+    by_rest = sorted(counts, key=lambda c: (-(train * counts[c] % total), c is None, c or 0))
     for c in by_rest[: train - sum(quotas.values())]:
         quotas[c] += 1
     return quotas
@@ -86,11 +116,9 @@ def split_rows(drawn: Stored, label: str = "Label", test_share: float = 0.30) ->
     """Add ``split``, ``train`` or ``test``, with exact shares of every class."""
     sizes = {r[label]: r["n"] for r in drawn.table.groupBy(label).agg(F.count("*").alias("n")).collect()}
     quotas = {c: k for c, k in train_quotas(sizes, test_share).items() if k > 0}
-    cuts = _cutoffs(drawn.table, label, {c: sizes[c] for c in quotas}, quotas)
-    train = F.lit(False)
-    for value, cut in cuts.items():
-        train = train | ((F.col(label) == value) & (F.col("draw") <= cut))
-    return drawn.table.withColumn("split", F.when(train, "train").otherwise("test"))
+    cuts = _cutoffs(drawn.table, label, {c: sizes[c] for c in quotas}, quotas) if quotas else {}
+    marked = _mark_first(drawn.table, label, cuts, "_train")
+    return marked.withColumn("split", F.when(F.col("_train"), "train").otherwise("test")).drop("_train")
 
 
 def class_weights(rows: DataFrame, label: str = "Label") -> DataFrame:

@@ -35,9 +35,12 @@ def sensor_edges(flows: DataFrame, prob: str | None = None, extra: list[Column]
 
 
 def endpoint_totals(pairs: DataFrame, end: str, name: str) -> DataFrame:
-    """Sum over the flow rows of an address of their pair weight: the sum of squared weights."""
+    """Sum over the flow rows of an address of their pair weight: the sum of squared weights.
+
+    Squares outgrow a long at 3e9 flows of a pair, so the sum is a double: exact up to 2**53.
+    """
     return pairs.groupBy(end).agg(
-        F.sum(F.col("EdgeWeight") * F.col("EdgeWeight")).alias(name),
+        F.sum(F.col("EdgeWeight").cast("double") * F.col("EdgeWeight")).alias(name),
         F.count("*").alias(f"{end}_pairs"),
     )
 
@@ -58,4 +61,4 @@ def stored_pairs(flows: DataFrame) -> Stored:
 def flow_weights(flows: DataFrame, pairs: Stored | None = None) -> DataFrame:
     """Flows with ``EdgeWeight``, ``SrcTotalWeight`` and ``DstTotalWeight``."""
     joined = attach(flows, pairs or stored_pairs(flows), PAIR, "EdgeWeight")
-    return joined.fillna({"EdgeWeight": 1, "SrcTotalWeight": 0, "DstTotalWeight": 0})
+    return joined.fillna({"EdgeWeight": 1, "SrcTotalWeight": 0.0, "DstTotalWeight": 0.0})

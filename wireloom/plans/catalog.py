@@ -153,9 +153,10 @@ def binary_label(spark, folder):
 @query
 def label_counts(spark, folder):
     flows = prepared(spark, folder)
-    return flows.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in ("Label", "LabelCNC")]))
-    ).groupBy("column", "value").agg(F.count("*").alias("flows"))
+    counted = [
+        clean.label_counts(flows, c).select(F.lit(c).alias("column"), F.col(c).alias("value"), "flows") for c in ("Label", "LabelCNC")
+    ]
+    return counted[0].unionByName(counted[1])
 
 
 @query
@@ -226,7 +227,7 @@ def flow_weights(spark, folder):
 def sensor_edges(spark, folder):
     edges = weights.sensor_edges(prepared(spark, folder), "prob")
     return edges.select(
-        *EDGE, "w_sensor", "w_global", (F.col("w_sensor") * F.col("w_global")).alias("edge_weight_sum"), "sum_prob"
+        *EDGE, "w_sensor", "w_global", (F.col("w_sensor").cast("double") * F.col("w_global")).alias("edge_weight_sum"), "sum_prob"
     )
 
 
@@ -458,7 +459,8 @@ def split_counts(spark, folder):
 
 @query
 def split_export(spark, folder):
-    drawn = sample.with_draw(prepared(spark, folder).select("Label", "TotBytes"))
+    rows = classify.model_rows(classify.feature_rows(stored_flows(spark, folder)), FEATURES)
+    drawn = sample.with_draw(rows.select("Label", *FEATURES))
     path = sinks.write_split(sample.split_rows(drawn), scratch_path(spark, "export"), sinks.new_run_id(), "parquet")
     return spark.read.parquet(path).groupBy("Label", "split").agg(F.count("*").alias("flows"))
 

@@ -93,7 +93,8 @@ def classify(
     Encoders and weights see all rows and every row is scored, training rows included, as in the
     detector this follows. There is no row cap unless ``max_rows`` sets one.
     """
-    whole = sample.with_draw(model_rows(feature_rows(flows, "EdgeWeight" in names), names))
+    rows = store(model_rows(feature_rows(flows, "EdgeWeight" in names), names), "model-rows")
+    whole = sample.with_draw(rows.table)
     used = whole if max_rows is None else Stored(sample.sample_rows(whole, max_rows))
     split = sample.split_rows(used)
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")

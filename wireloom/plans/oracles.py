@@ -51,8 +51,8 @@ TABLES = {
     "pairs": "SELECT SrcAddr, DstAddr, count(*) AS EdgeWeight FROM labelled GROUP BY 1, 2",
     "weighted": """
         SELECT s.*, p.EdgeWeight,
-            CAST(sum(p.EdgeWeight) OVER (PARTITION BY s.SrcAddr) AS BIGINT) AS SrcTotalWeight,
-            CAST(sum(p.EdgeWeight) OVER (PARTITION BY s.DstAddr) AS BIGINT) AS DstTotalWeight
+            CAST(sum(p.EdgeWeight) OVER (PARTITION BY s.SrcAddr) AS DOUBLE) AS SrcTotalWeight,
+            CAST(sum(p.EdgeWeight) OVER (PARTITION BY s.DstAddr) AS DOUBLE) AS DstTotalWeight
         FROM scored s JOIN pairs p ON s.SrcAddr = p.SrcAddr AND s.DstAddr = p.DstAddr""",
     "proto": "SELECT Proto, CAST(row_number() OVER (ORDER BY Proto) - 1 AS INTEGER) AS code, rows"
     " FROM (SELECT Proto, count(*) AS rows FROM labelled GROUP BY 1)",
@@ -74,12 +74,12 @@ TABLES = {
     + ", ".join(f"coalesce(CAST({f} AS DOUBLE), 0) AS {f}" for f in FEATURES)
     + " FROM features",
     "edges": "SELECT SensorId, SrcAddr, DstAddr, count(*) AS w_sensor, any_value(EdgeWeight) AS w_global,"
-    " CAST(sum(EdgeWeight) AS BIGINT) AS edge_weight_sum, sum(prob) AS sum_prob FROM weighted GROUP BY 1, 2, 3",
+    " CAST(sum(EdgeWeight) AS DOUBLE) AS edge_weight_sum, sum(prob) AS sum_prob FROM weighted GROUP BY 1, 2, 3",
     "incoming": "SELECT SensorId, DstAddr AS node, count(prob) AS in_ct, avg(prob) AS in_prob,"
-    " count(DISTINCT SrcAddr) AS in_unique_srcs, CAST(sum(EdgeWeight) AS BIGINT) AS dst_total_weight,"
+    " count(DISTINCT SrcAddr) AS in_unique_srcs, CAST(sum(EdgeWeight) AS DOUBLE) AS dst_total_weight,"
     " max(LabelCNC) = 1 AS label_cnc FROM weighted GROUP BY 1, 2",
     "outgoing": "SELECT SensorId, SrcAddr AS node, count(prob) AS out_ct, avg(prob) AS out_prob,"
-    " count(DISTINCT DstAddr) AS out_unique_dests, CAST(sum(EdgeWeight) AS BIGINT) AS src_total_weight"
+    " count(DISTINCT DstAddr) AS out_unique_dests, CAST(sum(EdgeWeight) AS DOUBLE) AS src_total_weight"
     " FROM weighted GROUP BY 1, 2",
     "stats": """
         SELECT SensorId, node, coalesce(in_ct, 0) AS in_ct, coalesce(in_prob, 0) AS in_prob,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from wireloom.operators.clean import drop_repeated_headers
 from wireloom.schema import FLOW, SCAN_COLUMNS
@@ -11,8 +12,10 @@ from wireloom.schema import FLOW, SCAN_COLUMNS
 # Type names of the schema report.
 TYPE_NAMES = {
     "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "double": "DOUBLE",
-    "float": "DOUBLE", "bigint": "BIGINT", "int": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "float": "FLOAT", "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN",
 }
+# What a scan of text tells apart.
+WIDENED = {"INTEGER": "BIGINT", "FLOAT": "DOUBLE"}
 
 # Keeps padded arrows and microseconds, both of which the CSV writer would cut.
 CSV_TEXT = {
@@ -25,15 +28,26 @@ def read_flows(
     spark: SparkSession, path: str, fmt: str = "csv", columns: list[str] | None = None
 ) -> DataFrame:
     """Scan flows with the declared schema, reading only the given columns."""
-    reader = spark.read.schema(FLOW)
-    frame = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+    if fmt == "csv":
+        frame = _by_header(spark, path, {f.name: f.dataType for f in FLOW.fields})
+    else:
+        frame = spark.read.schema(FLOW).format(fmt).load(path)
     return frame.select(columns or SCAN_COLUMNS)
 
 
+def _by_header(spark: SparkSession, path: str, types: dict[str, DataType]) -> DataFrame:
+    """Text with columns found by the names in its header, whatever their order; others are strings.
+
+    Files of one folder must agree on the order: a file that doesn't fails instead of being misread.
+    """
+    names = spark.read.option("header", True).csv(path).columns
+    schema = StructType([StructField(n, types.get(n, StringType())) for n in names])
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Flow text with a header, every column a string in the order of the flow schema."""
-    texts = ", ".join(f"{name} string" for name in FLOW.names)
-    return spark.read.schema(texts).option("header", True).csv(path)
+    return _by_header(spark, path, {}).select(FLOW.names)
 
 
 def to_flow_types(raw: DataFrame) -> DataFrame:
@@ -83,10 +97,14 @@ def count_header_lines(spark: SparkSession, path: str, key: str = "StartTime") -
 def infer_schema(spark: SparkSession, path: str) -> DataFrame:
     """Types found by a full scan of a text file with header."""
     found = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    return describe_schema(found)
+    rows = [(name, WIDENED.get(kind, kind)) for name, kind in _types(found)]
+    return spark.createDataFrame(rows, "`Column` string, `Type` string")
 
 
 def describe_schema(frame: DataFrame) -> DataFrame:
     """One row per column: its name and type."""
-    rows = [(name, TYPE_NAMES.get(kind, kind.upper())) for name, kind in frame.dtypes]
-    return frame.sparkSession.createDataFrame(rows, "`Column` string, `Type` string")
+    return frame.sparkSession.createDataFrame(_types(frame), "`Column` string, `Type` string")
+
+
+def _types(frame: DataFrame) -> list[tuple[str, str]]:
+    return [(name, TYPE_NAMES.get(kind, kind.upper())) for name, kind in frame.dtypes]

@@ -22,10 +22,11 @@ def write_split(split: DataFrame, path: str, run_id: str, fmt: str = "csv") -> s
 def write_node_scores(nodes: DataFrame, path: str, run_id: str, fmt: str = "csv") -> str:
     """All nodes, one folder per sensor, by falling score.
 
-    Range partitioning spreads a large sensor over many files and keeps the files in score order.
+    Range partitioning spreads a large sensor over many files and keeps the files in score order; the
+    address spreads nodes that share a score.
     """
     target = f"{path}/node_scores_{run_id}"
-    order = [F.col("SensorId"), F.desc("cnc_score")]
+    order = [F.col("SensorId"), F.desc("cnc_score"), F.col("node")]
     ordered = nodes.repartitionByRange(*order).sortWithinPartitions(*order)
     _save(ordered.write.partitionBy("SensorId"), target, fmt)
     return target
