@@ -24,7 +24,7 @@ from wireloom.session import scratch_path
 
 from .common import flat, shuffle_partitions, slices, text_bytes
 
-SMALLEST, LARGEST = 1 << 20, 12 << 20
+SMALLEST, LARGEST = 1 << 19, 6 << 20
 #: Rows of a batch, nearly; a row's number is its batch and its place there.
 MOST_ROWS = 1 << 19
 PLACE_BITS = 20

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy step works on.
-CHUNK = 1 << 20
-#: Bytes of text in one batch, the unit that asks and is answered.
-BATCH = 8 << 20
+CHUNK = 1 << 19
+
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+DEFAULTS = ("64MB", "67108864b", str(64 << 20), "-1", str((1 << 63) - 1))
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -27,8 +28,13 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package where driver and workers share the code folder."""
+    """Let Python workers find this package where they share the code folder, and bound what is handed to them at once.
+
+    Texts vary from nothing to megabytes, so Arrow batches are bounded by bytes unless the session bounds them.
+    """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    if spark.conf.get(ARROW_BYTES) in DEFAULTS:
+        spark.conf.set(ARROW_BYTES, str(8 << 20))
     return spark
 
 
@@ -93,6 +99,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK) ->
             held += size
         if start < len(sizes):
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def byte_classes(separators: Iterable[int]) -> np.ndarray:
@@ -158,34 +165,11 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
 
 
-def in_batches(docs: DataFrame, columns: list, size: int, key: str = "doc_id") -> tuple[DataFrame, int]:
-    """``columns`` dealt by a hash of ``key`` into batches of about BATCH bytes (column ``batch``), and their number."""
-    spark = docs.sparkSession
-    n = max(-(-size // BATCH), shuffle_partitions(spark))
-    batch = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int").alias("batch")
-    return docs.select(batch, *columns), n
-
-
-def n_buckets(spark: SparkSession, batches: int) -> int:
-    """Buckets that equal keys meet in: as many as tasks and more, and growing with the input."""
-    return max(4 * shuffle_partitions(spark), batches)
-
-
-def split_by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order that groups entries by bucket (stable), and where each bucket begins in it."""
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
-
-
 def extend(frame: DataFrame, keep: Iterable[str], more: str) -> StructType:
     """The columns ``keep`` of ``frame`` and those of the DDL string ``more``."""
     return StructType([frame.schema[c] for c in keep] + StructType.fromDDL(more).fields)
 
 
-def binary(rows: list[bytes]) -> pa.Array:
-    return pa.array(rows, pa.binary())
-
-
 def worker_threads_off() -> None:
     """Libraries with thread pools of their own use the one core of the task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

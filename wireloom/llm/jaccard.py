@@ -1,6 +1,6 @@
 """Join of near-equal texts on the Jaccard similarity of their word n-grams, with Bayesian pruning of candidates.
 
-Texts with the same set of n-grams are one class, represented by the one of the smallest key. Representatives that share
+Texts with the same set of n-grams are one class, represented by one of them. Representatives that share
 a band of their MinHash signature are candidates; links to the smallest member of each band's bucket tie all candidates
 of a text into one cluster, without a row for each pair. A cluster is compared inside tasks, in blocks if it is large:
 signatures step by step, dropping a pair as soon as the posterior probability that its similarity reaches the threshold
@@ -213,22 +213,19 @@ def sketch(key: str, text: str, n: int):
 
 
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """The packed rows of ``docs``, and for each: uid, key, class_id, copies, group_id, keeper and n_links.
+    """The packed rows of ``docs``, and for each: uid, key, class_id, copies, group_id, group_uid and n_links.
 
     class_id is the least key of the texts with the same n-grams, copies their number; group_id is the least key of
-    those tied together by links, keeper whether the row is the one of it that stays; n_links counts the other rows that
-    are similar enough, copies included.
+    those tied together by links and group_uid tells such groups apart; n_links counts the other rows that are similar
+    enough, copies included.
     """
     prepare(docs.sparkSession)
     packed, _ = batches.pack(docs, docs.columns, text)
     rows = store(packed.mapInArrow(sketch(key, text, n), SKETCH), "sketches").table
-    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "uid"))
     grouped = rows.filter("n > 0").groupBy("copy_a", "copy_b", "n").agg(
-        first.alias("first"), F.count("*").alias("copies"), F.min_by("bands", F.struct(F.col("key").isNull(), "key", "uid")).alias("bands")
+        F.min("key").alias("class_id"), F.count("*").alias("copies"), F.min("uid").alias("uid")
     )
-    classes = store(
-        grouped.select("copy_a", "copy_b", "n", "copies", "bands", F.col("first.key").alias("class_id"), F.col("first.uid").alias("uid")), "classes"
-    ).table
+    classes = store(grouped.join(rows.select("uid", "bands"), "uid"), "classes").table
 
     def unfold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -279,10 +276,9 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
         classes.select("uid", "copy_a", "copy_b", "n", "copies", "class_id").join(links, "uid", "left")
         .join(groups.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     )
-    least = F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "uid"))
-    keepers = linked.groupBy("root").agg(least.alias("least"))
-    linked = linked.join(keepers, "root").select(
-        "copy_a", "copy_b", "n", "class_id", "copies", F.col("least.class_id").alias("group_id"), F.col("least.uid").alias("keeper_uid"),
+    groups = linked.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    linked = linked.join(groups, "root").select(
+        "copy_a", "copy_b", "n", "class_id", "copies", "group_id", F.col("root").alias("group_uid"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
     every = rows.select("uid", "key", "copy_a", "copy_b", "n").join(linked, ["copy_a", "copy_b", "n"], "left")
@@ -290,11 +286,12 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
         "uid", "key", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("key")).alias("class_id"),
         F.coalesce("copies", F.lit(1).cast("long")).alias("copies"),
         F.when(F.col("n") > 0, F.col("group_id")).otherwise(F.col("key")).alias("group_id"),
-        F.coalesce(F.col("uid") == F.col("keeper_uid"), F.lit(True)).alias("keeper"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.coalesce("group_uid", "uid").alias("group_uid"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of linked texts, that of the smallest key."""
     packed, found = similar_texts(docs, key, text, **options)
-    return batches.take(packed, found.filter("keeper").select("uid"), docs.schema)
+    least = found.filter(F.col("key").eqNullSafe(F.col("group_id"))).groupBy("group_uid").agg(F.min("uid").alias("uid"))
+    return batches.take(packed, least.select("uid"), docs.schema)
