@@ -167,7 +167,7 @@ def learn(
     if not totals["t"] or totals["t"] == totals["n"]:
         share = min(max(totals["t"] / totals["n"], 1e-6), 1 - 1e-6) if totals["n"] else 0.5
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), math.log(share / (1 - share)))
-    labelled = texts.join(marked, key)
+    labelled = texts.join(marked.hint("merge"), key)  # labels may grow with the texts: never broadcast them all
     counts = count_presence(labelled, text)
     telling = counts.filter(F.col("n_toxic") * F.lit(totals["n"]) > F.col("n") * F.lit(totals["t"]))
     best = telling.select("bin", ratio_statistic(totals["n"], totals["t"]).alias("s"))
