@@ -18,7 +18,7 @@ from .common import U64, flat, mix, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Pieces that one worker keeps encoded; beyond, the store starts anew.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 250_000
 
 
 @functools.cache
