@@ -15,12 +15,13 @@ tasks.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import ALNUM, U64, extend, find_words, flat, joined_words, mix, slices
 
@@ -122,7 +123,7 @@ class Windows:
 
 
 def item_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """Items in lots of about ``block_bytes``; one lot at a time is on the driver."""
+    """Items in lots of about ``block_bytes``."""
     held, size = [], 0
     for row in benchmark.select(item, text).distinct().toLocalIterator():
         held.append((row[0], row[1]))
@@ -134,11 +135,25 @@ def item_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) ->
         yield held
 
 
+def with_last(lots: Iterator[list]) -> Iterator[tuple[list, bool]]:
+    """Each lot, and whether it is the last; an empty one if there is none. Two at a time are on the driver."""
+    held = next(lots, [])
+    for lot in lots:
+        yield held, False
+        held = lot
+    yield held, True
+
+
 def find_benchmark(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+    finish: tuple[Callable[[pa.RecordBatch], pa.RecordBatch], StructType] | None = None,
 ) -> DataFrame:
-    """``docs`` with _words (their number), _spans (hit words from, to) and _items (ids as text, sorted)."""
+    """``docs`` with _words (their number), _spans (hit words from, to) and _items (ids as text, sorted).
+
+    ``finish``, a function of such rows and its columns, is applied where the last block is searched for, so that no
+    second worker runs beside that one.
+    """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("_words", "_spans", "_items")]
     found = docs.select(
@@ -147,7 +162,7 @@ def find_benchmark(
     )
     schema = found.schema
 
-    def scan_with(held):
+    def scan_with(held, finish):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = held.value
             for part in slices(batches, text):
@@ -159,22 +174,20 @@ def find_benchmark(
                     all_spans[d] += [a, b]
                 for d, (_, ids) in zip(own.tolist(), items):
                     all_items[d].update(ids)
-                yield pa.RecordBatch.from_arrays(
+                scanned = pa.RecordBatch.from_arrays(
                     [
                         *(part.column(c) for c in names), pa.array(np.diff(firsts)), pa.array(all_spans, pa.list_(pa.int64())),
                         pa.array([sorted(x) for x in all_items], pa.list_(pa.string())),
                     ],
                     names=[*names, "_words", "_spans", "_items"],
                 )
+                yield finish(scanned) if finish else scanned
 
         return scan
 
-    blocks = 0
-    for lot in item_blocks(benchmark, item, item_text, block_bytes):
-        found = found.mapInArrow(scan_with(spark.sparkContext.broadcast(Windows(lot, window))), schema)
-        blocks += 1
-    if not blocks:  # the words still have to be counted
-        found = found.mapInArrow(scan_with(spark.sparkContext.broadcast(Windows([], window))), schema)
+    for lot, last in with_last(item_blocks(benchmark, item, item_text, block_bytes)):
+        step, columns = finish if finish and last else (None, schema)
+        found = found.mapInArrow(scan_with(spark.sparkContext.broadcast(Windows(lot, window)), step), columns)
     return found
 
 
@@ -190,24 +203,22 @@ def covered(spans: list[int]) -> int:
 def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", **options) -> DataFrame:
     """``keep``, n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs``."""
     read = list(dict.fromkeys([*keep, text]))
-    found = find_benchmark(docs.select(*[F.col(f"`{c}`") for c in read]), benchmark, text, **options)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            words, items = part.column("_words").to_pylist(), part.column("_items").to_pylist()
-            hit = [covered(s) for s in part.column("_spans").to_pylist()]
-            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(part.column(c) for c in keep), pa.array(words, pa.int64()), pa.array(hit, pa.int64()),
-                    pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()),
-                    pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, words)], pa.bool_()),
-                ],
-                names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+
+    def sums(part: pa.RecordBatch) -> pa.RecordBatch:
+        words, items = part.column("_words").to_pylist(), part.column("_items").to_pylist()
+        hit = [covered(s) for s in part.column("_spans").to_pylist()]
+        digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+        return pa.RecordBatch.from_arrays(
+            [
+                *(part.column(c) for c in keep), pa.array(words, pa.int64()), pa.array(hit, pa.int64()),
+                pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()),
+                pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, words)], pa.bool_()),
+            ],
+            names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        )
 
     schema = extend(docs, keep, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    return found.mapInArrow(sums, schema)
+    return find_benchmark(docs.select(*[F.col(f"`{c}`") for c in read]), benchmark, text, finish=(sums, schema), **options)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
