@@ -40,6 +40,8 @@ HALF = LENGTH // 2
 #: Windows that a position may speak for, and so positions that a window chooses among.
 SPREAD = LENGTH - GRAM + 1
 LAST = np.iinfo(np.int64).max
+#: Windows that a bucket ranks at once, about.
+SLICE = 1 << 19
 
 
 def eight(data: np.ndarray) -> np.ndarray:
@@ -227,24 +229,37 @@ def rank_windows(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return rank
 
 
+def answer_windows(answer: np.ndarray, data: np.ndarray, windows: np.ndarray, starts: np.ndarray, firsts: np.ndarray, least: np.ndarray) -> None:
+    """The least document of each window of some contents, put where ``answer`` has that content's windows."""
+    step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    rank = rank_windows(data, step + np.repeat(starts, windows))
+    ids = np.repeat(least, windows)
+    best = np.full(int(rank.max()) + 1, LAST)
+    np.minimum.at(best, rank, ids)
+    answer[step + np.repeat(firsts, windows)] = best[rank]
+
+
 def least_documents(group: pa.Table) -> pa.Table:
-    """One bucket: for all windows of all contents the least document that holds the same bytes, told as runs."""
+    """One bucket: for all windows of all contents the least document that holds the same bytes, told as runs.
+
+    Equal windows have equal ranks of their speaking positions, so contents are taken in slices by that rank.
+    """
     asked = group.to_pylist()
     count = [unpack_array(q["count"], np.uint8).astype(np.int64) for q in asked]
     least = np.concatenate([unpack_array(q["least"], "<i8") for q in asked])
     data = np.frombuffer(b"".join(batches.expand(q["bytes"]) for q in asked), np.uint8)
     windows = np.concatenate(count)
     sizes = windows + LENGTH - 1
-    starts = np.cumsum(sizes) - sizes
-    at = np.arange(int(windows.sum())) + np.repeat(starts - (np.cumsum(windows) - windows), windows)
-    rank = rank_windows(data, at)
-    ids = np.repeat(least, windows)
-    order = np.lexsort((ids, rank))
-    first = np.ones(len(order), bool)
-    first[1:] = rank[order][1:] != rank[order][:-1]
-    best = np.empty(int(first.sum()), np.int64)
-    best[rank[order][first]] = ids[order][first]
-    answer, done, out = best[rank], 0, []
+    starts, firsts = np.cumsum(sizes) - sizes, np.cumsum(windows) - windows
+    total = int(windows.sum())
+    n_slices = -(-total // SLICE)
+    slice_of = mix(np.concatenate([unpack_array(q["rank"], "<u8") for q in asked])) % U64(max(n_slices, 1))
+    answer = np.empty(total, np.int64)
+    for k in range(n_slices):
+        some = np.flatnonzero(slice_of == U64(k))
+        if len(some):
+            answer_windows(answer, data, windows[some], starts[some], firsts[some], least[some])
+    done, out = 0, []
     for q, c in zip(asked, count):
         mine = answer[done : done + int(c.sum())]
         done += len(mine)
