@@ -21,7 +21,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
 
 # Integer-valued features, whose sums are exact in any order.
-EXACT = ["Dir", "Proto", "TotBytes", "TotPkts", "sTos", "dTos", "SrcBytes"]
 HOST_FEATURES = ["TotPkts", "TotBytes", "sTos", "Dir"]
 
 
@@ -203,9 +202,11 @@ def feature_vector(spark, folder):
 
 @query
 def scaled_features(spark, folder):
-    rows = features.clean_matrix(features.flow_features(stored_flows(spark, folder)), EXACT)
-    kept = store(rows.select(EXACT), "unscaled").table
-    return features.Standardizer.fit(kept, EXACT).transform(kept).select(*six(*EXACT))
+    """Rounded to four digits: sums of inexact ratios depend on their order."""
+    rows = classify.model_rows(classify.feature_rows(stored_flows(spark, folder)), FEATURES)
+    kept = store(rows.select(FEATURES), "unscaled").table
+    scaled = features.Standardizer.fit(kept, FEATURES).transform(kept)
+    return scaled.select(*[F.round(f, 4).alias(f) for f in FEATURES])
 
 
 # Weights and node statistics
@@ -565,9 +566,8 @@ def stack_predict(spark, folder):
 
 @query
 def forest_predict(spark, folder):
-    found = classify.classify(
-        stored_flows(spark, folder).drop("prob"), names=EXACT, model="rf", forest=stacking.fallback_forest(10, 6)
-    )
+    """A single forest on all features, at a size for a laptop."""
+    found = classify.classify(stored_flows(spark, folder).drop("prob"), model="rf", forest=stacking.fallback_forest(10, 6))
     return found.flows
 
 

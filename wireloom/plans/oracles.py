@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from wireloom.functions.labels import MALICIOUS_WORDS
 from wireloom.schema import EDGE, FEATURES, FLOW, PLAIN_FEATURES, SCAN_COLUMNS
 from wireloom.sources.order_flows import COLUMNS, STAND_IN_PROB
 
-EXACT = ["Dir", "Proto", "TotBytes", "TotPkts", "sTos", "dTos", "SrcBytes"]
+# Words of malicious labels, written out so that a wrong pattern in the operator shows.
+MALICIOUS_WORDS = r"\b(bot|botnet|cnc|c&c|malware|infected|attack|spam|ddos|trojan|worm|zombie|backdoor)\b"
 HOST_COLUMNS = ["TotPkts", "TotBytes", "sTos", "Dir", "EdgeWeight", "SrcTotalWeight", "DstTotalWeight"]
 
 _scan = ", ".join(SCAN_COLUMNS)
@@ -242,7 +242,7 @@ def oracle_sql() -> dict[str, str]:
         "ratio_features": f"SELECT {_edge}, {', '.join(PLAIN_FEATURES[8:])} FROM features",
         "matrix_clean": "SELECT * FROM matrix",
         "scaled_features": "SELECT "
-        + ", ".join(f"round(({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER (), 6) AS {f}" for f in EXACT)
+        + ", ".join(f"round(({f} - avg({f}) OVER ()) / coalesce(nullif(stddev_pop({f}) OVER (), 0), 1), 4) AS {f}" for f in FEATURES)
         + " FROM matrix",
         "edge_weights": "SELECT * FROM pairs",
         "flow_weights": f"SELECT {_edge}, TotBytes, EdgeWeight, SrcTotalWeight, DstTotalWeight FROM weighted",
