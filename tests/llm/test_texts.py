@@ -197,3 +197,27 @@ def test_empty_tables(spark, docs_of):
     assert suffix_dedup.digests(none).count() == 0 and jaccard.keep_one(none).count() == 0
     assert decontaminate.judge(none, items, ["doc_id"]).count() == 0 and bpe.digests(none, BPE).count() == 0
     assert token_frames.digests(token_frames.write_frames(none, BPE, 0)).count() == 0
+
+
+def test_windows_ranked_in_slices(monkeypatch):
+    """Several slices of a bucket give what a dictionary of all windows gives."""
+    length, rng = suffix_dedup.LENGTH, np.random.default_rng(3)
+    passages = [rng.integers(97, 123, length + int(n)).astype(np.uint8) for n in rng.integers(0, 25, 12)]
+    asked, least, wanted = [], {}, []
+    for batch in range(4):
+        which = rng.permutation(12)[:9]
+        ids = rng.integers(0, 1000, 9)
+        texts = [passages[i] for i in which]
+        counts = np.array([len(t) - length + 1 for t in texts], np.uint8)
+        windows = [t[k : k + length].tobytes() for t in texts for k in range(len(t) - length + 1)]
+        for w, i in zip(windows, np.repeat(ids, counts).tolist()):
+            least[w] = min(i, least.get(w, i))
+        wanted.append(windows)
+        ranks = np.array([suffix_dedup.gram_ranks(t)[0] for t in texts])
+        pack = suffix_dedup.pack_array
+        asked.append((batch, 0, pack(ranks), b"", pack(counts), pack(ids.astype(np.int64)), suffix_dedup.batches.compress(np.concatenate(texts).tobytes())))
+    monkeypatch.setattr(suffix_dedup, "SLICE", 64)
+    told = suffix_dedup.least_documents(suffix_dedup.table_of(suffix_dedup.CONTENTS, asked)).to_pylist()
+    for row, windows in zip(told, wanted):
+        runs = suffix_dedup.unpack_array(row["a"], "<i8"), suffix_dedup.unpack_array(row["b"], "<i8")
+        assert np.repeat(*runs).tolist() == [least[w] for w in windows]
