@@ -135,3 +135,16 @@ def test_katz(docs_of, n):
     want = sorted(plain_katz(rows), key=key) if rows else []
     assert [g[:4] for g in got] == [w[:4] for w in want]
     assert np.allclose([g[4:] for g in got], [w[4:] for w in want], rtol=1e-9) if want else not got
+
+
+def test_katz_counts_pairs_of_rare_histories(docs_of):
+    lessons = [f"rare{i} tail{i % 3}" for i in range(30)]
+    texts = [*lessons, "rare1 tail1", "rare1 tail2"]
+    docs = docs_of([(i, t, "en") for i, t in enumerate(texts)])
+    train = F.col("doc_id") < len(lessons)
+    _, model, _, _ = katz.learn(docs, train, ~train)
+    split = [[*t.split(), None] for t in lessons]
+    times = Counter(Counter(p for x in split for p in zip([None, *x], x)).values())
+    assert model.pair_counts == [times[r] for r in range(1, katz.K + 2)]
+    scores = {r.doc_id: r.score for r in katz.train_and_score(docs, train, ~train).collect()}
+    assert scores[30] > scores[31] + 0.1  # both tails are as frequent, but only the first was seen after rare1

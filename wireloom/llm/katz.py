@@ -3,8 +3,8 @@
 Counts of words and of word pairs over all training texts are discounted by Good-Turing estimates for counts up to
 ``K``; the mass this frees goes to what was not seen: for words to one unknown word, for a history to the words that
 never followed it, in proportion to their own probability, so that each distribution sums to one. A token is scored
-by its pair if that was seen, else by the history's backoff weight times the score of the shorter history. Histories
-seen fewer than ``MIN_HISTORY`` times back off wholly (weight one).
+by its pair if that was seen, else by the history's backoff weight times the score of the shorter history. Pairs of all
+histories are counted, however rare; only a history that was never learned backs off wholly (weight one).
 
 Texts are packed in batches (see ``batches``). Each batch asks for the counts of its distinct words, then of its
 distinct pairs; buckets add up what all batches hold, keep the counts as tables partitioned by bucket, and answer.
@@ -33,7 +33,8 @@ from .common import BLANK, U64, flat, mix, prepare, word_hashes
 
 #: Counts above this are not discounted.
 K = 5
-MIN_HISTORY = 16
+#: Training occurrences from which a history has pairs: one, so that none is left out.
+MIN_HISTORY = 1
 #: Histories of more than a bucket's share of tokens are split; no more shares than this are told apart.
 MOST_SHARES = 25_000
 END = U64(0x454E44454E44454E)  # stands for the end of a text among word hashes
@@ -122,7 +123,7 @@ class Batch:
         self.count[order] = np.concatenate([unpack_array(a["b"], "<u8") for a in answers]).astype(np.int64)
 
     def set_pairs(self, n: int, words: Words, texts: int) -> None:
-        """Distinct pairs whose history is frequent, and which of them each token is (-1: none)."""
+        """Distinct pairs whose history was learned, and which of them each token is (-1: none)."""
         history = np.empty(len(self.word), np.int64)
         history[1:] = self.word[:-1]
         start = len(self.words)  # one more history
