@@ -202,3 +202,31 @@ def test_cluster_needs_a_shared_folder(spark):
         shared_folder(Session)
     Session.conf.get = staticmethod(lambda key, default=None: "hdfs://shared/dir/")
     assert scratch_path(Session, "edges").startswith("hdfs://shared/dir/wireloom/x/edges-")
+
+
+class Reached(Exception):
+    """Raised with the learners in place of fitting them."""
+
+
+def sizes(learners):
+    counted = ("numTrees", "maxIter", "maxDepth")
+    return {n: [e.getOrDefault(p) for p in counted if e.hasParam(p)] for n, e in learners.items()}
+
+
+@pytest.mark.parametrize("name", ["base_predict", "stack_predict", "stacked_detection", "forest_predict"])
+def test_registered_models_have_the_default_size(spark, folder, monkeypatch, name):
+    given = stacking.StackedClassifier.__init__
+
+    def stop_stack(self, *args, **kwargs):
+        given(self, *args, **kwargs)
+        raise Reached(sizes(self.bases))
+
+    def stop_forest(self, rows, params=None):
+        raise Reached(sizes({"forest": self}))
+
+    monkeypatch.setattr(stacking.StackedClassifier, "__init__", stop_stack)
+    monkeypatch.setattr(stacking.RandomForestClassifier, "fit", stop_forest)
+    with pytest.raises(Reached) as found:
+        catalog.queries()[name](spark, folder)
+    full = {"rf": [100, 12], "et": [100, 15], "hgb": [100, 8]}
+    assert found.value.args[0] == ({"forest": [200, 14]} if name == "forest_predict" else full)

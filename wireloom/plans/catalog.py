@@ -542,36 +542,31 @@ def node_export(spark, folder):
 # Training
 
 
-def small_bases():
-    """The base learners at a size for a laptop; the defaults are the full-size ones."""
-    return stacking.base_learners(trees=10, depth=6, extra_depth=8, rounds=10, boost_depth=4)
-
-
 @query
 def base_predict(spark, folder):
     """The probability each base learner gives every flow."""
     rows = classify.model_rows(classify.feature_rows(stored_flows(spark, folder)), FEATURES)
     drawn = sample.with_draw(rows)
     train = classify.training_rows(sample.split_rows(drawn).filter("split = 'train'"), FEATURES)
-    fitted = {n: e.fit(train) for n, e in stacking.StackedClassifier(small_bases()).bases.items()}
+    fitted = {n: e.fit(train) for n, e in stacking.StackedClassifier().bases.items()}
     scored = stacking.base_probabilities(features.assemble(drawn.table, FEATURES), fitted)
     return scored.select(*EDGE, "Label", "rf_prob", "et_prob", "hgb_prob")
 
 
 @query
 def stack_predict(spark, folder):
-    found = classify.classify(stored_flows(spark, folder).drop("prob"), bases=small_bases())
+    found = classify.classify(stored_flows(spark, folder).drop("prob"))
     return found.flows
 
 
 @query
 def forest_predict(spark, folder):
-    """A single forest on all features, at a size for a laptop."""
-    found = classify.classify(stored_flows(spark, folder).drop("prob"), model="rf", forest=stacking.fallback_forest(10, 6))
+    """A single forest on all features."""
+    found = classify.classify(stored_flows(spark, folder).drop("prob"), model="rf")
     return found.flows
 
 
 @query
 def stacked_detection(spark, folder):
-    found = classify.classify(stored_flows(spark, folder).drop("prob"), bases=small_bases())
+    found = classify.classify(stored_flows(spark, folder).drop("prob"))
     return detect(found.flows, "PredictedProb").summary()
