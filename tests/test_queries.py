@@ -65,3 +65,8 @@ def test_scan_reads_only_what_is_needed(spark, tmp_path, folder):
     assert "IsNotNull(Label)" in text and "IsNotNull(Dur)" in text
     schema = text.split("ReadSchema: struct<")[1].split(">")[0]
     assert "StartTime" not in schema and "sTos" not in schema and "SrcBytes" not in schema
+
+
+def test_host_queries_cover_every_feature(spark, folder):
+    found = set(catalog.queries()["all_node_features"](spark, folder).columns)
+    assert {f"{s}_{f}_{k}" for s in ("src", "dst") for f in FEATURES for k in ("mean", "count")} <= found

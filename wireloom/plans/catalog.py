@@ -421,6 +421,38 @@ def two_hop_mean(spark, folder):
     return wide.select(*NODE, *six("hop1_in_count", "hop1_out_count", "hop2_in_count", "hop2_out_count"))
 
 
+def four(names: list[str]) -> list:
+    """Rounded to four digits, moved off the ties: means of decimals often hit one, and inexact sums break it either way."""
+    return [F.round(F.col(n) + 0.0000137, 4).alias(n) for n in names]
+
+
+@query
+def all_node_features(spark, folder):
+    """node_features over all features."""
+    graph = by_host.host_graph(stored_flows(spark, folder))
+    names = by_host.feature_names(graph)
+    counts = [n for n in names if n.endswith("_count")]
+    return graph.nodes.table.select(*NODE, *counts, *four([n for n in names if n not in counts]))
+
+
+@query
+def all_neighbour_means(spark, folder):
+    """neighbour_mean over all columns of the node features."""
+    graph = by_host.host_graph(stored_flows(spark, folder))
+    names = by_host.feature_names(graph)
+    means = hosts.neighbour_mean(graph.edges.table, graph.nodes, names, graph.degrees.table)
+    return means.select(*NODE, *four(names))
+
+
+@query
+def all_two_hop_means(spark, folder):
+    """two_hop_mean over all columns of the node features."""
+    graph = by_host.host_graph(stored_flows(spark, folder))
+    names = by_host.feature_names(graph)
+    wide = hosts.with_hops(graph.edges.table, graph.nodes, names, graph.degrees.table)
+    return wide.select(*NODE, *four([f"hop{h}_{n}" for h in (1, 2) for n in names]))
+
+
 @query
 def score_join_back(spark, folder):
     flows = stored_flows(spark, folder)

@@ -17,8 +17,8 @@ def _six(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
 
-def _host_side(side: str, address: str) -> str:
-    parts = [f"avg(CAST({f} AS DOUBLE)) AS {side}_{f}_mean, count({f}) AS {side}_{f}_count" for f in HOST_COLUMNS]
+def _host_side(side: str, address: str, columns: list[str] = HOST_COLUMNS) -> str:
+    parts = [f"avg(CAST({f} AS DOUBLE)) AS {side}_{f}_mean, count({f}) AS {side}_{f}_count" for f in columns]
     own = {"src": "SrcTotalWeight", "dst": "DstTotalWeight"}[side]
     count = {"src": "out_count", "dst": "in_count"}[side]
     return (
@@ -27,10 +27,22 @@ def _host_side(side: str, address: str) -> str:
     )
 
 
-def _host_columns() -> str:
-    names = [f"{s}_{f}_{k}" for s in ("src", "dst") for f in HOST_COLUMNS for k in ("mean", "count")]
-    names += ["in_count", "out_count", "src_total_weight_agg", "dst_total_weight_agg"]
-    return ", ".join(f"coalesce({n}, 0) AS {n}" for n in names)
+def _host_names(columns: list[str] = HOST_COLUMNS) -> list[str]:
+    names = [f"{s}_{f}_{k}" for s in ("src", "dst") for f in columns for k in ("mean", "count")]
+    return names + ["in_count", "out_count", "src_total_weight_agg", "dst_total_weight_agg"]
+
+
+def _host_columns(columns: list[str] = HOST_COLUMNS) -> str:
+    return ", ".join(f"coalesce({n}, 0) AS {n}" for n in _host_names(columns))
+
+
+def _four(names: list[str]) -> str:
+    """As catalog.four: moved off the ties, which means of decimals often hit and inexact sums then break either way."""
+    return ", ".join(f"round({n} + 0.0000137, 4) AS {n}" for n in names)
+
+
+def _rounded(names: list[str]) -> str:
+    return ", ".join(n if n.endswith("_count") else _four([n]) for n in names)
 
 
 # Each entry may use the ones before it.
@@ -159,6 +171,11 @@ HOSTS = {
     "as_target": _host_side("dst", "DstAddr"),
     "hosts": f"SELECT SensorId, node, {_host_columns()} FROM as_source FULL JOIN as_target USING (SensorId, node)",
 }
+ALL_HOSTS = {
+    "as_source": _host_side("src", "SrcAddr", FEATURES),
+    "as_target": _host_side("dst", "DstAddr", FEATURES),
+    "hosts": f"SELECT SensorId, node, {_host_columns(FEATURES)} FROM as_source FULL JOIN as_target USING (SensorId, node)",
+}
 
 GRAPH_NODES = """
     SELECT k.SensorId, k.node, CASE WHEN l.place <= 4 THEN 'top' WHEN k.is_flagged THEN 'candidate'
@@ -349,6 +366,14 @@ def oracle_sql() -> dict[str, str]:
     hops = {**HOSTS, "hop1": _means(counts, "hosts"), "hop2": _means(counts, "hop1")}
     both = ", ".join(f"round({h}.{c}, 6) AS {h}_{c}" for h in ("hop1", "hop2") for c in counts)
     result["two_hop_mean"] = _sql(f"SELECT SensorId, node, {both} FROM hop1 JOIN hop2 USING (SensorId, node)", hops)
+    every = _host_names(FEATURES)
+    wide_hops = {**ALL_HOSTS, "hop1": _means(every, "hosts"), "hop2": _means(every, "hop1")}
+    rounded_hops = ", ".join(f"round({h}.{c} + 0.0000137, 4) AS {h}_{c}" for h in ("hop1", "hop2") for c in every)
+    result["all_node_features"] = _sql(f"SELECT SensorId, node, {_rounded(every)} FROM hosts", ALL_HOSTS)
+    result["all_neighbour_means"] = _sql(
+        f"SELECT SensorId, node, {_four(every)} FROM ({_means(every, 'hosts')})", ALL_HOSTS
+    )
+    result["all_two_hop_means"] = _sql(f"SELECT SensorId, node, {rounded_hops} FROM hop1 JOIN hop2 USING (SensorId, node)", wide_hops)
     result["roc_points"] = _sql(f"SELECT threshold, pos_upto, neg_upto, {_six('tpr', 'fpr')} FROM curve", ROC)
     result["best_threshold"] = _sql(
         "SELECT threshold, round(sqrt(tpr * (1 - fpr)), 6) AS balance FROM curve WHERE corner"
