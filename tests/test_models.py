@@ -4,9 +4,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml import Estimator
 from pyspark.sql import functions as F
 
 from wireloom.operators import evaluate, features, sample, stacking
+from wireloom.operators.boosting import Rules
+from wireloom.operators.random_trees import RandomTrees
 from wireloom.plans import by_host, catalog, classify
 from wireloom.plans.run import ingest, run
 from wireloom.schema import FEATURES, FLOW, PLAIN_FEATURES
@@ -145,7 +148,7 @@ def test_fallback_only_when_asked(spark, folder):
     with pytest.raises(Exception):
         classify.classify(flows, names=PLAIN_FEATURES, bases=broken, forest=forest)
     found = classify.classify(flows, names=PLAIN_FEATURES, bases=broken, forest=forest, fallback=True)
-    assert isinstance(found.model, stacking.ForestModel)
+    assert isinstance(found.model.model, stacking.ForestModel)
 
 
 def test_host_classifier(spark, folder):
@@ -209,8 +212,13 @@ class Reached(Exception):
 
 
 def sizes(learners):
-    counted = ("numTrees", "maxIter", "maxDepth")
-    return {n: [e.getOrDefault(p) for p in counted if e.hasParam(p)] for n, e in learners.items()}
+    found = {}
+    for name, e in learners.items():
+        if isinstance(e, Estimator):
+            found[name] = [e.getOrDefault(p) for p in ("numTrees", "maxDepth")]
+        else:
+            found[name] = [e.trees, e.depth] if isinstance(e, RandomTrees) else [e.rounds, e.rate, e.patience, e.rules]
+    return found
 
 
 @pytest.mark.parametrize("name", ["base_predict", "stack_predict", "stacked_detection", "forest_predict"])
@@ -228,5 +236,5 @@ def test_registered_models_have_the_default_size(spark, folder, monkeypatch, nam
     monkeypatch.setattr(stacking.RandomForestClassifier, "fit", stop_forest)
     with pytest.raises(Reached) as found:
         catalog.queries()[name](spark, folder)
-    full = {"rf": [100, 12], "et": [100, 15], "hgb": [100, 8]}
+    full = {"rf": [100, 12], "et": [100, None], "hgb": [100, 0.05, 10, Rules(depth=8, leaves=31, least_rows=20, l2=0.0)]}
     assert found.value.args[0] == ({"forest": [200, 14]} if name == "forest_predict" else full)

@@ -14,24 +14,34 @@ from wireloom.operators.ranks import ordinal_codes
 from wireloom.session import Stored, store
 
 
-def encode_ordinal(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace string columns by the ordinal codes of their values."""
-    codes = store(ordinal_codes(rows, columns), "codes")
+CODED = ["Proto", "State"]
+
+
+def fit_codes(flows: DataFrame, columns: list[str] = CODED) -> Stored:
+    """The ordinal codes of the values of text columns."""
+    return store(ordinal_codes(flows, columns), "codes")
+
+
+def encode_ordinal(rows: DataFrame, columns: list[str], codes: Stored | None = None) -> DataFrame:
+    """Replace string columns by the ordinal codes of their values; given codes leave -1 for values they don't know."""
+    known = codes is not None
+    codes = codes or fit_codes(rows, columns)
     for column in columns:
         own = codes.table.filter(F.col("column") == column)
         lookup = Stored(own.select(F.col("value").alias(column), "code", "rows"), codes.rows)
         filled = rows.withColumn(column, F.coalesce(F.col(column), F.lit("None")))
         coded = attach(filled, lookup, [column], "rows")
-        rows = coded.withColumn(column, F.col("code")).select(*rows.columns)
+        code = F.coalesce("code", F.lit(-1)) if known else F.col("code")
+        rows = coded.withColumn(column, code).select(*rows.columns)
     return rows
 
 
-def flow_features(flows: DataFrame, trim_dir: bool = False) -> DataFrame:
+def flow_features(flows: DataFrame, trim_dir: bool = False, codes: Stored | None = None) -> DataFrame:
     """Direction code, protocol and state codes, and the ratios."""
     directed = flows.withColumns(
         {"Dir_raw": F.col("Dir"), "Dir": ratios.direction_code(F.col("Dir"), trim_dir)}
     )
-    coded = encode_ordinal(directed, ["Proto", "State"])
+    coded = encode_ordinal(directed, CODED, codes)
     return coded.withColumns(ratios.ratio_columns())
 
 

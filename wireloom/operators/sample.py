@@ -15,12 +15,12 @@ SEED = 42
 
 
 def with_draw(rows: DataFrame, seed: int = SEED) -> Stored:
-    """The rows with a ``draw`` each: a long from their content and the seed.
+    """The rows, written once, with a ``draw`` each: a long from their content and the seed.
 
     The same rows get the same draws however they are partitioned. Equal rows share a draw and may
     stand for each other, so only those at a cut have to be told apart.
     """
-    return Stored(rows.withColumn("draw", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.lit(seed))))
+    return store(rows.withColumn("draw", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.lit(seed))), "drawn")
 
 
 @dataclass(frozen=True)
@@ -121,6 +121,20 @@ def split_rows(drawn: Stored, label: str = "Label", test_share: float = 0.30) ->
     return marked.withColumn("split", F.when(F.col("_train"), "train").otherwise("test")).drop("_train")
 
 
+def fold_rows(drawn: Stored, folds: int, label: str = "Label") -> DataFrame:
+    """Add ``fold``, from 0: equal shares of every class, to within a row; one cut for each class and fold but the last."""
+    sizes = {r[label]: r["n"] for r in drawn.table.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    # rows that come from a cut of their draws fill only part of the longs; scrambled draws fill all of them again
+    rows, names = drawn.table.withColumns({"_draw": F.col("draw"), "draw": F.xxhash64("draw")}), []
+    for k in range(1, folds):
+        takes = {c: n * k // folds for c, n in sizes.items() if n * k // folds}
+        cuts = _cutoffs(rows, label, {c: sizes[c] for c in takes}, takes) if takes else {}
+        names.append(f"_upto{k}")
+        rows = _mark_first(rows, label, cuts, names[-1])
+    passed = sum(((~F.col(n)).cast("int") for n in names), F.lit(0))
+    return rows.withColumn("fold", passed).withColumn("draw", F.col("_draw")).drop("_draw", *names)
+
+
 def class_weights(rows: DataFrame, label: str = "Label") -> DataFrame:
     """Balanced weight per class: rows / (classes * rows of the class)."""
     sizes = rows.groupBy(label).agg(F.count("*").alias("n"))

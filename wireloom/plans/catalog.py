@@ -580,7 +580,7 @@ def base_predict(spark, folder):
     rows = classify.model_rows(classify.feature_rows(stored_flows(spark, folder)), FEATURES)
     drawn = sample.with_draw(rows)
     train = classify.training_rows(sample.split_rows(drawn).filter("split = 'train'"), FEATURES)
-    fitted = {n: e.fit(train) for n, e in stacking.StackedClassifier().bases.items()}
+    fitted = stacking.fit_all(stacking.StackedClassifier().bases, train, [F.lit(True)])[0]
     scored = stacking.base_probabilities(features.assemble(drawn.table, FEATURES), fitted)
     return scored.select(*EDGE, "Label", "rf_prob", "et_prob", "hgb_prob")
 

@@ -2,67 +2,125 @@
 
 from __future__ import annotations
 
+import json
 import logging
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.ml import Estimator, Model
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireloom.operators import evaluate, features, sample, stacking, weights
-from wireloom.schema import FEATURES
+from wireloom.operators.stacking import Learner
+from wireloom.schema import EDGE, FEATURES
 from wireloom.session import Stored, store
 
 log = logging.getLogger(__name__)
 
+#: A flow's own columns while its features are computed.
+OWN = "_own"
+SCORES = ["PredictedProb", "PredictedLabel"]
+
+
+@dataclass(frozen=True)
+class FlowModel:
+    """All that scores flows: codes of text columns, scaling, the classifier and its threshold."""
+
+    names: list[str]
+    codes: Stored
+    scaler: features.Standardizer
+    model: Model
+    threshold: float
+    trim_dir: bool = False
+
+    def features_of(self, flows: DataFrame) -> DataFrame:
+        return own_rows(flows, self.names, self.trim_dir, self.codes)
+
+    def score(self, flows: DataFrame) -> DataFrame:
+        """Flows, also ones that no model has seen, with all their columns, PredictedProb and PredictedLabel.
+
+        Weights are those of the given flows. Texts without a code count as -1.
+        """
+        return self.score_rows(self.features_of(flows))
+
+    def score_rows(self, rows: DataFrame) -> DataFrame:
+        kept = [c for c in rows.schema[OWN].dataType.names if c not in SCORES]
+        scored = scored_rows(rows.select(OWN, *self.names), self.names, self.scaler, self.model)
+        label = (F.col("PredictedProb") >= self.threshold).cast("int").alias("PredictedLabel")
+        return scored.select(*[F.col(f"{OWN}.`{c}`") for c in kept], "PredictedProb", label)
+
+    def save(self, path: str) -> None:
+        spark = self.codes.table.sparkSession
+        said = {"names": self.names, "scaler": asdict(self.scaler), "threshold": repr(self.threshold), "trim_dir": self.trim_dir}
+        self.codes.table.write.parquet(f"{path}/codes")
+        self.model.save(f"{path}/classifier")
+        spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.text(f"{path}/flows")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> FlowModel:
+        said = json.loads(spark.read.text(f"{path}/flows").first()["value"])
+        return FlowModel(
+            said["names"], Stored(spark.read.parquet(f"{path}/codes")), features.Standardizer(**said["scaler"]),
+            stacking.load_model(spark, f"{path}/classifier"), float(said["threshold"]), said["trim_dir"],
+        )
+
 
 @dataclass(frozen=True)
 class Classified:
     """``flows`` with PredictedProb and PredictedLabel, the ``split`` of labels and features into
-    training and test rows, the cut-off and the hold-out metrics."""
+    training and test rows, the cut-off and the hold-out metrics; ``model`` scores further flows."""
 
     flows: DataFrame
     split: DataFrame
     threshold: float
     metrics: DataFrame
-    model: Model
+    model: FlowModel
 
 
-def feature_rows(flows: DataFrame, with_weights: bool = True) -> DataFrame:
+def feature_rows(flows: DataFrame, with_weights: bool = True, trim_dir: bool = False, codes: Stored | None = None) -> DataFrame:
     """Prepared flows with every model feature.
 
     Codes and pair weights are both taken from the flows as they come, and meet in the one join
     that moves flows.
     """
-    rows = features.flow_features(flows)
+    rows = features.flow_features(flows, trim_dir, codes)
     if not with_weights:
         return rows
     return weights.flow_weights(rows, weights.stored_pairs(flows))
 
 
-def model_rows(rows: DataFrame, names: list[str]) -> DataFrame:
+def model_rows(rows: DataFrame, names: list[str], keep: list[str] = [*EDGE, "Label", "LabelCNC"]) -> DataFrame:
     """What training keeps of a flow: its key, labels and features."""
-    keep = ["SensorId", "SrcAddr", "DstAddr", "Label", "LabelCNC"]
     return features.clean_matrix(rows, names).select(*keep, *names)
 
 
-def training_rows(train: DataFrame, names: list[str]) -> DataFrame:
+def own_rows(flows: DataFrame, names: list[str], trim_dir: bool = False, codes: Stored | None = None) -> DataFrame:
+    """The features of flows beside all their own columns, in one struct, and the label where there is one."""
+    held = flows.withColumn(OWN, F.struct(*[F.col(f"`{c}`") for c in flows.columns]))
+    rows = feature_rows(held, "EdgeWeight" in names, trim_dir, codes)
+    return model_rows(rows, names, [OWN, *(c for c in ["Label"] if c in flows.columns)])
+
+
+def training_rows(train: DataFrame, names: list[str], folds: int = 2) -> DataFrame:
     """Vectors with class weight, stack fold and early-stop marker, stored and spread over all cores."""
     ready = sample.with_class_weight(features.assemble(train, names))
-    mixed = F.xxhash64("draw")
-    marked = ready.withColumns(
-        {"fold": F.pmod(mixed, F.lit(2)).cast("int"), "validation": F.pmod(F.floor(mixed / 2), F.lit(10)) == 0}
-    )
-    fitting = store(marked.select("Label", "features", "weight", "fold", "validation"), "training").table
+    marked = ready.withColumn("validation", F.pmod(F.floor(F.xxhash64("draw") / 2), F.lit(10)) == 0)
+    drawn = store(marked.select("Label", "features", "weight", "validation", "draw"), "training")
+    fitting = store(sample.fold_rows(drawn, folds).drop("draw"), "folds").table
     cores = fitting.sparkSession.sparkContext.defaultParallelism
     return fitting.repartition(cores) if fitting.rdd.getNumPartitions() < cores else fitting
 
 
+def scored_rows(rows: DataFrame, names: list[str], scaler: features.Standardizer, model: Model) -> DataFrame:
+    """``rows`` with PredictedProb in place of the features."""
+    return model.transform(features.assemble(scaler.transform(rows), names)).drop(*names)
+
+
 def fit_model(
     train: DataFrame,
     names: list[str],
     model: str,
-    bases: dict[str, Estimator] | None,
+    bases: dict[str, Learner] | None,
     forest: Estimator | None,
     fallback: bool,
 ) -> Model:
@@ -83,34 +141,29 @@ def classify(
     flows: DataFrame,
     names: list[str] = FEATURES,
     model: str = "stack",
-    bases: dict[str, Estimator] | None = None,
+    bases: dict[str, Learner] | None = None,
     forest: Estimator | None = None,
     max_rows: int | None = None,
     fallback: bool = False,
+    trim_dir: bool = False,
 ) -> Classified:
     """Split, scale, train, choose the threshold on the hold-out part, score every flow.
 
     Encoders and weights see all rows and every row is scored, training rows included, as in the
-    detector this follows. There is no row cap unless ``max_rows`` sets one.
+    detector this follows. ``max_rows`` bounds the labelled rows that are split and learned from; by default all are.
     """
-    rows = store(model_rows(feature_rows(flows, "EdgeWeight" in names), names), "model-rows")
-    whole = sample.with_draw(rows.table)
+    codes = features.fit_codes(flows)
+    whole = sample.with_draw(own_rows(flows, names, trim_dir, codes))
     used = whole if max_rows is None else Stored(sample.sample_rows(whole, max_rows))
-    split = sample.split_rows(used)
+    split = store(sample.split_rows(used).select("Label", *names, "split", "draw"), "split").table
     train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
     scaler = features.Standardizer.fit(train, names)
     fitted = fit_model(scaler.transform(train), names, model, bases, forest, fallback)
-
-    def score(rows: DataFrame) -> DataFrame:
-        scaled = features.assemble(scaler.transform(rows), names)
-        return fitted.transform(scaled).drop("features")
-
-    held_out = store(score(test).select("Label", "PredictedProb"), "hold-out").table
+    held_out = store(scored_rows(test.select("Label", *names), names, scaler, fitted), "hold-out").table
     curve = store(evaluate.roc_curve(held_out, "Label", "PredictedProb"), "roc").table
     threshold = evaluate.best_threshold(curve).first()["threshold"]
     auc = evaluate.roc_auc(curve).first()["roc_auc"]
     quality = evaluate.class_metrics(held_out, "Label", "PredictedProb", threshold)
     metrics = quality.withColumns({"roc_auc": F.lit(auc).cast("double"), "threshold": F.lit(threshold)})
-    scored = score(whole.table).drop(*names, "draw")
-    labelled = scored.withColumn("PredictedLabel", (F.col("PredictedProb") >= threshold).cast("int"))
-    return Classified(labelled, split.select("Label", *names, "split"), threshold, metrics, fitted)
+    found = FlowModel(names, codes, scaler, fitted, threshold, trim_dir)
+    return Classified(found.score_rows(whole.table), split.drop("draw"), threshold, metrics, found)
