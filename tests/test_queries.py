@@ -68,5 +68,5 @@ def test_scan_reads_only_what_is_needed(spark, tmp_path, folder):
 
 
 def test_host_queries_cover_every_feature(spark, folder):
-    found = set(catalog.queries()["all_node_features"](spark, folder).columns)
+    found = set(catalog.queries()["node_features"](spark, folder).columns)
     assert {f"{s}_{f}_{k}" for s in ("src", "dst") for f in FEATURES for k in ("mean", "count")} <= found

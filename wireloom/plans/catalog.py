@@ -20,9 +20,6 @@ from wireloom.sources.order_flows import STAND_IN_PROB, order_flows
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
 
-# Integer-valued features, whose sums are exact in any order.
-HOST_FEATURES = ["TotPkts", "TotBytes", "sTos", "Dir"]
-
 
 def query(function: Query) -> Query:
     _registry[function.__name__] = function
@@ -51,11 +48,12 @@ def six(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
-def raw_text(spark: SparkSession, folder: str) -> DataFrame:
-    """All-text flows in which some rows repeat the header and some have no first column."""
+def raw_text(spark: SparkSession, folder: str, own: list[str] = ()) -> DataFrame:
+    """All-text flows in which some rows repeat the header and some have no first column; the ``own`` values beside them."""
     header, headless = F.col("Sport") % 50 == 0, F.col("Sport") % 50 == 7
     cells = [F.when(header, F.lit(c)).otherwise(F.col(c).cast("string")).alias(c) for c in FLOW.names]
-    texts = order_flows(spark, folder).select(*cells, headless.alias("headless"))
+    kept = [F.col(c).alias(f"own_{c}") for c in own]
+    texts = order_flows(spark, folder).select(*cells, *kept, headless.alias("headless"))
     return texts.withColumn("StartTime", F.when(~F.col("headless"), F.col("StartTime"))).drop("headless")
 
 
@@ -110,6 +108,32 @@ def header_lines(spark, folder):
     return files.count_header_lines(spark, path)
 
 
+@query
+def header_line_numbers(spark, folder):
+    """Where the header lines stand in three files, one for each sensor, whose lines are ordered by source port."""
+    path = scratch_path(spark, "lines")
+    cells = [F.coalesce(F.col(c), F.lit("")) for c in FLOW.names]
+    lines = raw_text(spark, folder, ["SensorId", "Sport"]).select(
+        "own_SensorId", "own_Sport", F.concat_ws(",", *cells).alias("value")
+    )
+    ordered = lines.repartition("own_SensorId").sortWithinPartitions("own_SensorId", "own_Sport", "value")
+    ordered.select("value", "own_SensorId").write.partitionBy("own_SensorId").text(path)
+    sensor = F.regexp_extract("file", "own_SensorId=([0-9]+)", 1).cast("bigint").alias("SensorId")
+    return files.header_lines(spark, path).select(sensor, "line")
+
+
+@query
+def ingest_report(spark, folder):
+    """Some cells of the raw text don't parse."""
+    spoilt = {
+        "SrcBytes": F.when(F.col("own_Sport") % 11 == 3, F.lit("x")).otherwise(F.col("SrcBytes")),
+        "TotBytes": F.when(F.col("own_Sport") % 13 == 4, F.lit("12,5")).otherwise(F.col("TotBytes")),
+        "StartTime": F.when((F.col("own_Sport") % 17 == 5) & (F.col("own_Sport") % 50 != 0), F.lit("yesterday")).otherwise(F.col("StartTime")),
+    }
+    raw = raw_text(spark, folder, ["Sport"]).withColumns(spoilt).drop("own_Sport")
+    return files.ingest_report(raw)
+
+
 @query
 def converted_flows(spark, folder):
     target = scratch_path(spark, "converted")
@@ -130,6 +154,22 @@ def schema_table(spark, folder):
     return files.infer_schema(spark, path)
 
 
+@query
+def type_report(spark, folder):
+    """Types of a text file with some cells that don't fit their column."""
+    path = scratch_path(spark, "dirty")
+    odd = F.col("Sport") % 9 == 4
+    cells = {
+        "Sport": F.when(odd, F.concat(F.col("Sport").cast("string"), F.lit(".5"))).otherwise(F.col("Sport").cast("string")),
+        "SrcBytes": F.when(odd, F.lit("many")).otherwise(F.col("SrcBytes").cast("string")),
+        "StartTime": F.when(odd, F.lit("2001-02-30 00:00:00")).otherwise(F.date_format("StartTime", "yyyy-MM-dd HH:mm:ss")),
+        "ActivityLabel": F.when(F.col("ActivityLabel") == 1, F.lit("TRUE")).otherwise(F.lit("false")),
+        "BotnetName": F.lit(None).cast("string"),
+    }
+    order_flows(spark, folder).withColumns(cells).write.options(**files.CSV_TEXT).csv(path)
+    return files.type_report(files.read_raw(spark, path))
+
+
 @query
 def bot_flow_count(spark, folder):
     return clean.count_bot_flows(order_flows(spark, folder), sensor=2)
@@ -386,18 +426,17 @@ def random_subgraph(spark, folder):
 # Node classification
 
 
-def _host_graph(spark, folder):
-    flows = stored_flows(spark, folder)
-    edges = store(by_host.feature_edges(flows, HOST_FEATURES), "feature-edges")
-    totals = weights.weighted_pairs(store(by_host.pairs_of(edges.table), "pairs").table)
-    found = store(hosts.node_features(edges.table, totals, HOST_FEATURES + WEIGHT_FEATURES), "node-features")
-    return edges.table, found, store(subgraph.graph_degree(edges.table), "degrees").table
+def single(names: list[str]) -> list:
+    """To single precision: sums of inexact numbers depend on their order in the last digits of a double."""
+    return [F.col(n).cast("float").cast("double").alias(n) for n in names]
 
 
 @query
 def node_features(spark, folder):
-    _, found, _ = _host_graph(spark, folder)
-    return found.table.drop("label_cnc")
+    graph = by_host.host_graph(stored_flows(spark, folder))
+    names = by_host.feature_names(graph)
+    counts = [n for n in names if n.endswith("_count")]
+    return graph.nodes.table.select(*NODE, *counts, *single([n for n in names if n not in counts]))
 
 
 @query
@@ -407,50 +446,18 @@ def node_labels(spark, folder):
 
 @query
 def neighbour_mean(spark, folder):
-    edges, found, degrees = _host_graph(spark, folder)
-    columns = ["in_count", "out_count", "src_TotPkts_mean", "dst_sTos_mean"]
-    means = hosts.neighbour_mean(edges, found, columns, degrees)
-    return means.select(*NODE, *six(*columns))
-
-
-@query
-def two_hop_mean(spark, folder):
-    edges, found, degrees = _host_graph(spark, folder)
-    columns = ["in_count", "out_count"]
-    wide = hosts.with_hops(edges, found, columns, degrees)
-    return wide.select(*NODE, *six("hop1_in_count", "hop1_out_count", "hop2_in_count", "hop2_out_count"))
-
-
-def four(names: list[str]) -> list:
-    """Rounded to four digits, moved off the ties: means of decimals often hit one, and inexact sums break it either way."""
-    return [F.round(F.col(n) + 0.0000137, 4).alias(n) for n in names]
-
-
-@query
-def all_node_features(spark, folder):
-    """node_features over all features."""
-    graph = by_host.host_graph(stored_flows(spark, folder))
-    names = by_host.feature_names(graph)
-    counts = [n for n in names if n.endswith("_count")]
-    return graph.nodes.table.select(*NODE, *counts, *four([n for n in names if n not in counts]))
-
-
-@query
-def all_neighbour_means(spark, folder):
-    """neighbour_mean over all columns of the node features."""
     graph = by_host.host_graph(stored_flows(spark, folder))
     names = by_host.feature_names(graph)
     means = hosts.neighbour_mean(graph.edges.table, graph.nodes, names, graph.degrees.table)
-    return means.select(*NODE, *four(names))
+    return means.select(*NODE, *single(names))
 
 
 @query
-def all_two_hop_means(spark, folder):
-    """two_hop_mean over all columns of the node features."""
+def two_hop_mean(spark, folder):
     graph = by_host.host_graph(stored_flows(spark, folder))
     names = by_host.feature_names(graph)
     wide = hosts.with_hops(graph.edges.table, graph.nodes, names, graph.degrees.table)
-    return wide.select(*NODE, *four([f"hop{h}_{n}" for h in (1, 2) for n in names]))
+    return wide.select(*NODE, *single([f"hop{h}_{n}" for h in (1, 2) for n in names]))
 
 
 @query
@@ -591,6 +598,31 @@ def stack_predict(spark, folder):
     return found.flows
 
 
+@query
+def stack_check(spark, folder):
+    """Per sensor: the scored flows and their bytes, bad probabilities, labels that disagree with the threshold, and whether
+    the model separates the held-out classes."""
+    found = classify.classify(stored_flows(spark, folder).drop("prob"))
+    return _checked(found)
+
+
+@query
+def forest_check(spark, folder):
+    """stack_check for the single forest."""
+    return _checked(classify.classify(stored_flows(spark, folder).drop("prob"), model="rf"))
+
+
+def _checked(found: classify.Classified) -> DataFrame:
+    probability, label = F.col("PredictedProb"), F.col("PredictedLabel")
+    auc = found.metrics.first()["roc_auc"]
+    return found.flows.groupBy("SensorId").agg(
+        F.count("*").alias("flows"), F.sum("TotBytes").alias("total_bytes"),
+        F.count_if(probability.isNull() | ~probability.between(0, 1)).alias("bad"),
+        F.count_if((probability >= found.threshold) != (label == 1)).alias("mislabelled"),
+        F.lit(auc > 0.8).alias("separates"),
+    )
+
+
 @query
 def forest_predict(spark, folder):
     """A single forest on all features."""

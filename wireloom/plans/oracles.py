@@ -7,7 +7,6 @@ from wireloom.sources.order_flows import COLUMNS, STAND_IN_PROB
 
 # Words of malicious labels, written out so that a wrong pattern in the operator shows.
 MALICIOUS_WORDS = r"\b(bot|botnet|cnc|c&c|malware|infected|attack|spam|ddos|trojan|worm|zombie|backdoor)\b"
-HOST_COLUMNS = ["TotPkts", "TotBytes", "sTos", "Dir", "EdgeWeight", "SrcTotalWeight", "DstTotalWeight"]
 
 _scan = ", ".join(SCAN_COLUMNS)
 _edge = ", ".join(EDGE)
@@ -17,7 +16,7 @@ def _six(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
 
-def _host_side(side: str, address: str, columns: list[str] = HOST_COLUMNS) -> str:
+def _host_side(side: str, address: str, columns: list[str] = FEATURES) -> str:
     parts = [f"avg(CAST({f} AS DOUBLE)) AS {side}_{f}_mean, count({f}) AS {side}_{f}_count" for f in columns]
     own = {"src": "SrcTotalWeight", "dst": "DstTotalWeight"}[side]
     count = {"src": "out_count", "dst": "in_count"}[side]
@@ -27,22 +26,18 @@ def _host_side(side: str, address: str, columns: list[str] = HOST_COLUMNS) -> st
     )
 
 
-def _host_names(columns: list[str] = HOST_COLUMNS) -> list[str]:
+def _host_names(columns: list[str] = FEATURES) -> list[str]:
     names = [f"{s}_{f}_{k}" for s in ("src", "dst") for f in columns for k in ("mean", "count")]
     return names + ["in_count", "out_count", "src_total_weight_agg", "dst_total_weight_agg"]
 
 
-def _host_columns(columns: list[str] = HOST_COLUMNS) -> str:
+def _host_columns(columns: list[str] = FEATURES) -> str:
     return ", ".join(f"coalesce({n}, 0) AS {n}" for n in _host_names(columns))
 
 
-def _four(names: list[str]) -> str:
-    """As catalog.four: moved off the ties, which means of decimals often hit and inexact sums then break either way."""
-    return ", ".join(f"round({n} + 0.0000137, 4) AS {n}" for n in names)
-
-
-def _rounded(names: list[str]) -> str:
-    return ", ".join(n if n.endswith("_count") else _four([n]) for n in names)
+def _single(names: list[str]) -> str:
+    """As catalog.single."""
+    return ", ".join(f"CAST(CAST({n} AS FLOAT) AS DOUBLE) AS {n.split('.')[-1]}" for n in names)
 
 
 # Each entry may use the ones before it.
@@ -171,11 +166,6 @@ HOSTS = {
     "as_target": _host_side("dst", "DstAddr"),
     "hosts": f"SELECT SensorId, node, {_host_columns()} FROM as_source FULL JOIN as_target USING (SensorId, node)",
 }
-ALL_HOSTS = {
-    "as_source": _host_side("src", "SrcAddr", FEATURES),
-    "as_target": _host_side("dst", "DstAddr", FEATURES),
-    "hosts": f"SELECT SensorId, node, {_host_columns(FEATURES)} FROM as_source FULL JOIN as_target USING (SensorId, node)",
-}
 
 GRAPH_NODES = """
     SELECT k.SensorId, k.node, CASE WHEN l.place <= 4 THEN 'top' WHEN k.is_flagged THEN 'candidate'
@@ -201,6 +191,52 @@ _regression = """
     FROM (SELECT CAST(Label AS DOUBLE) AS y, greatest(prob - CAST(0.5 AS DOUBLE), CAST(0 AS DOUBLE)) AS p FROM scored)"""
 
 
+_checked = """
+    SELECT SensorId, count(*) AS flows, CAST(sum(TotBytes) AS BIGINT) AS total_bytes, CAST(0 AS BIGINT) AS bad,
+        CAST(0 AS BIGINT) AS mislabelled, true AS separates
+    FROM scored GROUP BY 1"""
+
+
+def _ingest_report() -> str:
+    """Headers at multiples of 50, no StartTime at 7 beyond them; what the query spoils, and nulls of the flows themselves."""
+    body = "Sport % 50 <> 0"
+    source = "regexp_matches(SrcAddr, '^[0-9.]+$')"
+    bytes_gone = "Sport % 13 = 4"
+    spoilt = {"StartTime": "Sport % 17 = 5", "TotBytes": bytes_gone, "SrcBytes": "Sport % 11 = 3"}
+    counts = {("read", None): "true", ("repeated header", None): "Sport % 50 = 0"}
+    counts |= {("unparsable", c): f"{body} AND {spoilt.get(c, 'false')}" for c in FLOW.names}
+    counts |= {
+        ("without label", None): f"{body} AND Label IS NULL",
+        ("bad source", None): f"{body} AND Label IS NOT NULL AND NOT {source}",
+        ("incomplete", None): f"{body} AND Label IS NOT NULL AND {source} AND {bytes_gone}",
+        ("kept", None): f"{body} AND Label IS NOT NULL AND {source} AND NOT ({bytes_gone})",
+    }
+    return " UNION ALL ".join(
+        f"SELECT '{step}' AS step, CAST({f"'{column}'" if column else 'NULL'} AS VARCHAR) AS column, count(*) FILTER ({test}) AS rows FROM flows"
+        for (step, column), test in counts.items()
+    )
+
+
+def _type_report() -> str:
+    types = {
+        "StartTime": "VARCHAR", "Dur": "DOUBLE", "Proto": "VARCHAR", "SrcAddr": "VARCHAR", "Sport": "DOUBLE", "Dir": "VARCHAR",
+        "DstAddr": "VARCHAR", "Dport": "BIGINT", "State": "VARCHAR", "sTos": "DOUBLE", "dTos": "DOUBLE", "TotPkts": "BIGINT",
+        "TotBytes": "BIGINT", "SrcBytes": "VARCHAR", "Label": "VARCHAR", "ActivityLabel": "BOOLEAN", "BotnetName": "VARCHAR",
+        "SensorId": "BIGINT",
+    }
+    # Label holds a few numbers among words; the others hold no value of any type but text.
+    conflicts = {
+        "StartTime": "Sport % 9 = 4", "SrcBytes": "Sport % 9 = 4",
+        "Label": "TRY_CAST(Label AS DOUBLE) IS NULL AND Label IS NOT NULL",
+    }
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"Column\", '{t}' AS \"Type\", {'CAST(0 AS BIGINT)' if c == 'BotnetName' else f'count({c})'} AS values,"
+        f" {'count(*)' if c == 'BotnetName' else f'count(*) - count({c})'} AS nulls,"
+        f" count(*) FILTER ({conflicts.get(c, 'false')}) AS conflicts FROM flows"
+        for c, t in types.items()
+    )
+
+
 def _sql(final: str, extra: dict[str, str] | None = None) -> str:
     tables = {**TABLES, **(extra or {})}
     ctes = ",\n".join(f"{name} AS ({text})" for name, text in tables.items())
@@ -342,6 +378,14 @@ def oracle_sql() -> dict[str, str]:
         "regression_metrics": f"SELECT {_six('MSE', 'RMSE', 'MAE', 'R2')} FROM ({_regression})",
         "metrics_log": f"SELECT Model, {_six('MSE', 'RMSE', 'MAE', 'R2')} FROM ({_regression})"
         " CROSS JOIN (VALUES ('first'), ('second')) v(Model)",
+        "header_line_numbers": """
+            SELECT SensorId, line FROM (
+                SELECT SensorId, Sport, row_number() OVER (PARTITION BY SensorId ORDER BY Sport) AS line FROM flows)
+            WHERE Sport % 50 = 0""",
+        "ingest_report": _ingest_report(),
+        "type_report": _type_report(),
+        "stack_check": _checked,
+        "forest_check": _checked,
         "node_export": "SELECT SensorId, node, in_ct, out_ct, round(cnc_score, 6) AS cnc_score FROM nodes",
     }
     found["split_export"] = found["split_counts"]
@@ -357,23 +401,14 @@ def oracle_sql() -> dict[str, str]:
     result["subgraph_edges"] = _sql("SELECT * FROM kept_edges", wide)
     result["tight_subgraph_nodes"] = _sql(GRAPH_NODES.format(score=""), tight)
     result["tight_subgraph_edges"] = _sql("SELECT * FROM kept_edges", tight)
-    result["node_features"] = _sql("SELECT * FROM hosts", HOSTS)
-    columns = ["in_count", "out_count", "src_TotPkts_mean", "dst_sTos_mean"]
-    result["neighbour_mean"] = _sql(
-        f"SELECT SensorId, node, {_six(*columns)} FROM ({_means(columns, 'hosts')})", HOSTS
-    )
-    counts = ["in_count", "out_count"]
-    hops = {**HOSTS, "hop1": _means(counts, "hosts"), "hop2": _means(counts, "hop1")}
-    both = ", ".join(f"round({h}.{c}, 6) AS {h}_{c}" for h in ("hop1", "hop2") for c in counts)
+    every = _host_names()
+    counts = [n for n in every if n.endswith("_count")]
+    inexact = [n for n in every if n not in counts]
+    result["node_features"] = _sql(f"SELECT SensorId, node, {', '.join(counts)}, {_single(inexact)} FROM hosts", HOSTS)
+    result["neighbour_mean"] = _sql(f"SELECT SensorId, node, {_single(every)} FROM ({_means(every, 'hosts')})", HOSTS)
+    hops = {**HOSTS, "hop1": _means(every, "hosts"), "hop2": _means(every, "hop1")}
+    both = ", ".join(f"CAST(CAST({h}.{c} AS FLOAT) AS DOUBLE) AS {h}_{c}" for h in ("hop1", "hop2") for c in every)
     result["two_hop_mean"] = _sql(f"SELECT SensorId, node, {both} FROM hop1 JOIN hop2 USING (SensorId, node)", hops)
-    every = _host_names(FEATURES)
-    wide_hops = {**ALL_HOSTS, "hop1": _means(every, "hosts"), "hop2": _means(every, "hop1")}
-    rounded_hops = ", ".join(f"round({h}.{c} + 0.0000137, 4) AS {h}_{c}" for h in ("hop1", "hop2") for c in every)
-    result["all_node_features"] = _sql(f"SELECT SensorId, node, {_rounded(every)} FROM hosts", ALL_HOSTS)
-    result["all_neighbour_means"] = _sql(
-        f"SELECT SensorId, node, {_four(every)} FROM ({_means(every, 'hosts')})", ALL_HOSTS
-    )
-    result["all_two_hop_means"] = _sql(f"SELECT SensorId, node, {rounded_hops} FROM hop1 JOIN hop2 USING (SensorId, node)", wide_hops)
     result["roc_points"] = _sql(f"SELECT threshold, pos_upto, neg_upto, {_six('tpr', 'fpr')} FROM curve", ROC)
     result["best_threshold"] = _sql(
         "SELECT threshold, round(sqrt(tpr * (1 - fpr)), 6) AS balance FROM curve WHERE corner"

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
-from wireloom.operators.clean import drop_repeated_headers
-from wireloom.schema import FLOW, SCAN_COLUMNS
+from wireloom.operators.clean import ADDRESS, drop_repeated_headers
+from wireloom.operators.lookup import attach
+from wireloom.schema import FLOW, KEY_COLUMNS, SCAN_COLUMNS
+from wireloom.session import store
 
 # Type names of the schema report.
 TYPE_NAMES = {
     "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "double": "DOUBLE",
     "float": "FLOAT", "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN",
 }
-# What a scan of text tells apart.
-WIDENED = {"INTEGER": "BIGINT", "FLOAT": "DOUBLE"}
 
 # Keeps padded arrows and microseconds, both of which the CSV writer would cut.
 CSV_TEXT = {
@@ -50,15 +50,16 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return _by_header(spark, path, {}).select(FLOW.names)
 
 
+def _cell(field: StructField) -> Column:
+    text = F.col(field.name)
+    if field.name == "StartTime":
+        text = F.replace(text, F.lit("/"), F.lit("-"))
+    return text.try_cast(field.dataType).alias(field.name)
+
+
 def to_flow_types(raw: DataFrame) -> DataFrame:
-    """Cast text columns to the flow schema; text that does not parse becomes null."""
-    cells = []
-    for field in FLOW.fields:
-        text = F.col(field.name)
-        if field.name == "StartTime":
-            text = F.replace(text, F.lit("/"), F.lit("-"))
-        cells.append(text.try_cast(field.dataType).alias(field.name))
-    return raw.select(*cells)
+    """Cast text columns to the flow schema; text that does not parse becomes null, which ``ingest_report`` counts."""
+    return raw.select(*[_cell(field) for field in FLOW.fields])
 
 
 def convert_flows(spark: SparkSession, source: str, target: str, fmt: str = "parquet") -> DataFrame:
@@ -72,6 +73,36 @@ def convert_flows(spark: SparkSession, source: str, target: str, fmt: str = "par
     return read_flows(spark, target, fmt, FLOW.names)
 
 
+def ingest_report(raw: DataFrame) -> DataFrame:
+    """What becomes of raw text rows, in one pass: ``step``, ``column`` and ``rows``.
+
+    ``read`` counts all rows, ``repeated header`` those that the header filter removes, ``unparsable`` the texts of a column
+    that do not convert, ``without label``, ``bad source`` and ``incomplete`` the rows that the filters of a run drop in
+    this order, and ``kept`` what is left.
+    """
+    repeated = F.col(raw.columns[0]).eqNullSafe(F.lit(raw.columns[0]))
+    sides = raw.select(
+        F.struct(*raw.columns).alias("_raw"),
+        F.struct(*[_cell(f) for f in FLOW.fields]).alias("_typed"), repeated.alias("_header"),
+    )
+    body = ~F.col("_header")
+    value = {c: F.col(f"_typed.{c}") for c in FLOW.names}
+    labelled = body & value["Label"].isNotNull()
+    sourced = labelled & F.coalesce(value["SrcAddr"].rlike(ADDRESS), F.lit(False))
+    whole = sourced
+    for name in KEY_COLUMNS:
+        whole = whole & value[name].isNotNull()
+        if FLOW[name].dataType.typeName() in ("double", "float"):
+            whole = whole & ~F.isnan(value[name])
+    steps = [("read", None, F.lit(True)), ("repeated header", None, F.col("_header"))]
+    steps += [("unparsable", c, body & F.col(f"_raw.{c}").isNotNull() & value[c].isNull()) for c in FLOW.names]
+    steps += [("without label", None, body & ~labelled), ("bad source", None, labelled & ~sourced)]
+    steps += [("incomplete", None, sourced & ~whole), ("kept", None, whole)]
+    counts = sides.agg(*[F.count_if(test).alias(f"c{i}") for i, (_, _, test) in enumerate(steps)])
+    lines = [F.struct(F.lit(s).alias("step"), F.lit(c).cast("string").alias("column"), F.col(f"c{i}").alias("rows")) for i, (s, c, _) in enumerate(steps)]
+    return counts.select(F.inline(F.array(*lines)))
+
+
 def frame_shape(frame: DataFrame) -> DataFrame:
     return frame.agg(F.count("*").alias("rows"), F.lit(len(frame.columns)).alias("columns"))
 
@@ -82,23 +113,79 @@ def clean_report(raw: DataFrame, key: str = "StartTime") -> DataFrame:
     return raw.agg(F.count_if(~repeated).alias("kept"), F.count_if(repeated).alias("removed"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of the text files with its ``file`` and its number in it, ``line``, from 1.
+
+    Lines are counted for each block that the scan splits a file into; the lines of earlier blocks are added to the place
+    inside the block. Only blocks are ordered, one row each, and no line is shuffled. Both passes read one listing of the
+    files and split them alike.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    counted = lines.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = store(
+        counted.select("file", "block", "_first", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("_before"), "lines"), "blocks"
+    )
+    placed = attach(lines, blocks, ["file", "block"], "lines", how="inner")
+    number = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    return placed.select("file", number.alias("line"), "value")
+
+
 def header_lines(spark: SparkSession, path: str, key: str = "StartTime") -> DataFrame:
-    """Lines that look like the header, with the file they are in."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    return lines.filter(F.col("value").startswith(f"{key},"))
+    """Lines that look like the header, with the file they are in and their number there."""
+    return numbered_lines(spark, path).filter(F.col("value").startswith(f"{key},"))
 
 
 def count_header_lines(spark: SparkSession, path: str, key: str = "StartTime") -> DataFrame:
     """How many header lines there are; a clean single file has exactly one."""
-    counted = header_lines(spark, path, key).agg(F.count("*").alias("headers"))
+    lines = spark.read.text(path).filter(F.col("value").startswith(f"{key},"))
+    counted = lines.agg(F.count("*").alias("headers"))
     return counted.withColumn("ok", F.col("headers") == 1)
 
 
+#: What text may be, the narrowest first, as a pattern and a type it must also convert to.
+KINDS = {
+    "BOOLEAN": (r"(?i)^(true|false)\z", "boolean"),
+    "BIGINT": (r"^[+-]?[0-9]+\z", "bigint"),
+    "DOUBLE": (r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|nan|inf|infinity)\z", "double"),
+    "DATE": (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z", "date"),
+    "TIMESTAMP": (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9})?)?\z", "timestamp_ntz"),
+}
+
+
+def type_report(texts: DataFrame) -> DataFrame:
+    """For each text column its narrowest type, from one aggregate over all columns.
+
+    A column has a type if all its values do; dates are timestamps as well, and whole numbers are doubles. Columns without
+    values, and those whose values agree on nothing, are text. ``values`` and ``nulls`` are counted, and ``conflicts``: the
+    values that keep the column from the type that most of them have.
+    """
+    sums = []
+    for i, name in enumerate(texts.columns):
+        text = F.col(f"`{name}`")
+        sums += [F.count(text).alias(f"n_{i}"), F.count_if(text.isNull()).alias(f"null_{i}")]
+        for kind, (pattern, target) in KINDS.items():
+            converts = F.lit(True) if kind == "BOOLEAN" else text.try_cast(target).isNotNull()
+            if kind == "DOUBLE":
+                converts = F.lit(True)  # the pattern says it all
+            sums.append(F.count_if(text.rlike(pattern) & converts).alias(f"{kind}_{i}"))
+    counts = texts.agg(*sums).first()
+    rows = []
+    for i, name in enumerate(texts.columns):
+        n, fitting = counts[f"n_{i}"], {k: counts[f"{k}_{i}"] for k in KINDS}
+        kind = next((k for k in KINDS if n and fitting[k] == n), "VARCHAR")
+        most = max(fitting.values())
+        rows.append((name, kind, n, counts[f"null_{i}"], 0 if kind != "VARCHAR" else (n - most) * (most > 0)))
+    schema = "`Column` string, `Type` string, `values` bigint, nulls bigint, conflicts bigint"
+    return texts.sparkSession.createDataFrame(rows, schema)
+
+
 def infer_schema(spark: SparkSession, path: str) -> DataFrame:
     """Types found by a full scan of a text file with header."""
-    found = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    rows = [(name, WIDENED.get(kind, kind)) for name, kind in _types(found)]
-    return spark.createDataFrame(rows, "`Column` string, `Type` string")
+    return type_report(_by_header(spark, path, {})).select("Column", "Type")
 
 
 def describe_schema(frame: DataFrame) -> DataFrame:
