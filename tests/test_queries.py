@@ -20,8 +20,7 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(catalog.queries())
     rows_only = set(catalog.queries()) - set(SQL)
     assert rows_only == {
-        "random_subgraph", "node_classifier", "detect_by_host", "split", "sample_rows",
-        "base_predict", "stack_predict", "forest_predict", "stacked_detection",
+        "node_classifier", "detect_by_host", "base_predict", "stack_predict", "forest_predict", "stacked_detection",
     }
 
 

@@ -14,13 +14,25 @@ from wireloom.session import Stored, store
 SEED = 42
 
 
-def with_draw(rows: DataFrame, seed: int = SEED) -> Stored:
+def text_draw(text: Column, seed: int = SEED) -> Column:
+    """A long from the MD5 sum of a text and the seed: the same in any system that has MD5.
+
+    The order of these longs is that of the first sixteen hex digits of ``md5(text || '|' || seed)``.
+    """
+    digits = F.substring(F.md5(F.concat_ws("|", text, F.lit(str(seed)))), 1, 16)
+    unsigned = F.conv(digits, 16, 10).cast("decimal(20,0)")
+    return (unsigned - F.lit(str(2**63)).cast("decimal(20,0)")).cast("bigint")
+
+
+def with_draw(rows: DataFrame, seed: int = SEED, text: Column | None = None) -> Stored:
     """The rows, written once, with a ``draw`` each: a long from their content and the seed.
 
     The same rows get the same draws however they are partitioned. Equal rows share a draw and may
-    stand for each other, so only those at a cut have to be told apart.
+    stand for each other, so only those at a cut have to be told apart. Draws come from all columns, by a fast hash, or
+    from ``text``, by MD5, so that another system can repeat them; the text must then tell unequal rows apart.
     """
-    return store(rows.withColumn("draw", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.lit(seed))), "drawn")
+    draw = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.lit(seed)) if text is None else text_draw(text, seed)
+    return store(rows.withColumn("draw", draw), "drawn")
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wireloom.operators.lookup import attach
 from wireloom.operators.ranks import top_k
-from wireloom.schema import EDGE, NODE, PAIR
+from wireloom.operators.sample import text_draw
+from wireloom.schema import EDGE, NODE
 from wireloom.session import Stored, store
 
 # Graph limits on a machine with enough memory, and the number of highlighted nodes.
@@ -87,7 +88,7 @@ def flag_subgraph(
         touches = F.col("src_flagged") | F.col("dst_flagged")
         order = [F.desc(touches), F.desc("w_sensor"), F.col("SrcAddr"), F.col("DstAddr")]
     else:
-        draw = F.xxhash64("SensorId", *PAIR, F.lit(random_seed))
+        draw = text_draw(F.concat_ws("|", *EDGE), random_seed)
         order = [draw, F.col("SrcAddr"), F.col("DstAddr")]
     best = store(top_k(inside, "SensorId", order, max_edges).select(*EDGE, "w_sensor"), "kept-edges").table
     members = Stored(flagged.table.unionByName(kept.table), flagged.rows + kept.rows)
@@ -110,7 +111,7 @@ def flag_subgraph(
 def _kept_neighbours(touching, flagged, degrees, max_nodes, random_seed):
     around = neighbours(touching)
     if random_seed is not None:
-        draw = F.xxhash64(*NODE, F.lit(random_seed))
+        draw = text_draw(F.concat_ws("|", *NODE), random_seed)
         return top_k(around, "SensorId", [draw, F.col("node")], max_nodes).select(*NODE)
     taken = flagged.table.groupBy("SensorId").agg(F.count("*").alias("taken"))
     ranked = top_k(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireloom.functions.ratios import direction_code, ratio_columns
@@ -505,15 +505,24 @@ def split_export(spark, folder):
     return spark.read.parquet(path).groupBy("Label", "split").agg(F.count("*").alias("flows"))
 
 
+def flow_text() -> Column:
+    """All that a flow is made of as a text, without decimals, which systems write differently."""
+    exact = [F.round(F.col("Dur") * 10_000).cast("bigint"), F.col("sTos").cast("bigint"), F.col("dTos").cast("bigint")]
+    whole = [F.col(c) for c in ("SensorId", "SrcAddr", "DstAddr", "Proto", "Dir", "State", "TotBytes", "TotPkts", "SrcBytes", "Label", "LabelCNC")]
+    return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("-")) for c in [*whole, *exact]])
+
+
 @query
 def split(spark, folder):
-    drawn = sample.with_draw(classify.model_rows(classify.feature_rows(stored_flows(spark, folder)), FEATURES))
-    return sample.split_rows(drawn).drop("draw")
+    flows = stored_flows(spark, folder).withColumn("text", flow_text())
+    rows = classify.model_rows(classify.feature_rows(flows), FEATURES, [*EDGE, "Label", "LabelCNC", "text"])
+    return sample.split_rows(sample.with_draw(rows, text=F.col("text"))).drop("draw", "text")
 
 
 @query
 def sample_rows(spark, folder):
-    drawn = sample.with_draw(prepared(spark, folder).select(*EDGE, "TotBytes", "Label"))
+    rows = prepared(spark, folder).select(*EDGE, "TotBytes", "Label")
+    drawn = sample.with_draw(rows, text=F.concat_ws("|", *rows.columns))
     return sample.sample_rows(drawn, drawn.rows // 4).drop("draw")
 
 

@@ -243,6 +243,43 @@ def _sql(final: str, extra: dict[str, str] | None = None) -> str:
     return f"WITH {ctes}\n{final}"
 
 
+def _draw(text: str) -> str:
+    return f"substr(md5({text} || '|42'), 1, 16)"
+
+
+#: A flow as a text; catalog.flow_text.
+FLOW_TEXT = "concat_ws('|', " + ", ".join(
+    f"coalesce(CAST({c} AS VARCHAR), '-')" for c in (
+        "SensorId", "SrcAddr", "DstAddr", "Proto", "Dir", "State", "TotBytes", "TotPkts", "SrcBytes", "Label", "LabelCNC",
+        "CAST(round(Dur * 10000) AS BIGINT)", "CAST(sTos AS BIGINT)", "CAST(dTos AS BIGINT)",
+    )
+) + ")"
+
+#: Nodes of the older rule, up to 200 neighbours drawn, then up to 400 edges drawn among them.
+RANDOM_GRAPH = {
+    "accused": """
+        SELECT SensorId, node FROM ratios
+        WHERE (in_prob + out_prob) / 2 > 0.70 AND degree > 110 AND out_ratio > 0.70""",
+    "beside": """
+        SELECT e.SensorId, e.DstAddr AS node FROM edges e JOIN accused a ON e.SensorId = a.SensorId AND e.SrcAddr = a.node
+        UNION
+        SELECT e.SensorId, e.SrcAddr FROM edges e JOIN accused a ON e.SensorId = a.SensorId AND e.DstAddr = a.node""",
+    "drawn": f"""
+        SELECT SensorId, node FROM accused
+        UNION ALL
+        SELECT SensorId, node FROM (
+            SELECT b.SensorId, b.node, row_number() OVER (PARTITION BY b.SensorId ORDER BY
+                {_draw("b.SensorId || '|' || b.node")}, b.node) AS place
+            FROM beside b ANTI JOIN accused a USING (SensorId, node))
+        WHERE place <= 200""",
+    "drawn_edges": f"""
+        SELECT e.SensorId, e.SrcAddr AS src, e.DstAddr AS dst, e.w_sensor AS weight, row_number() OVER (PARTITION BY e.SensorId
+            ORDER BY {_draw("e.SensorId || '|' || e.SrcAddr || '|' || e.DstAddr")}, e.SrcAddr, e.DstAddr) AS place
+        FROM edges e JOIN drawn a ON e.SensorId = a.SensorId AND e.SrcAddr = a.node
+        JOIN drawn b ON e.SensorId = b.SensorId AND e.DstAddr = b.node""",
+}
+
+
 def _means(columns: list[str], source: str) -> str:
     averaged = ", ".join(f"coalesce(avg(a.{c}), 0) AS {c}" for c in columns)
     return (
@@ -360,6 +397,11 @@ def oracle_sql() -> dict[str, str]:
                         CAST(sum(count(*)) OVER () AS BIGINT) - (sum(count(*)) OVER () * 3 + 9) // 10 AS total_train
                     FROM scored GROUP BY 1)))
             CROSS JOIN (VALUES ('train'), ('test')) v(split)""",
+        "sample_rows": f"""
+            SELECT {_edge}, TotBytes, Label FROM (
+                SELECT *, row_number() OVER (ORDER BY {_draw("concat_ws('|', SensorId, SrcAddr, DstAddr, TotBytes, Label)")}) AS place,
+                    count(*) OVER () AS n FROM scored)
+            WHERE place <= n // 4""",
         "class_metrics": """
             SELECT round(100.0 * (tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision,
                 round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1
@@ -389,10 +431,19 @@ def oracle_sql() -> dict[str, str]:
         "node_export": "SELECT SensorId, node, in_ct, out_ct, round(cnc_score, 6) AS cnc_score FROM nodes",
     }
     found["split_export"] = found["split_counts"]
+    drawn_matrix = f"""
+        SELECT SensorId, SrcAddr, DstAddr, Label, LabelCNC, {', '.join(FEATURES)}, CASE WHEN place <= flows THEN 'train' ELSE 'test' END AS split
+        FROM (SELECT *, row_number() OVER (PARTITION BY Label ORDER BY {_draw('text')}) AS place FROM matrix)
+        JOIN (SELECT Label AS of, flows FROM ({found['split_counts']}) WHERE split = 'train') ON Label = of"""
     found["feature_vector"] = " UNION ALL ".join(
         f"SELECT {i} AS pos, count(*) AS flows, max({f}) AS max_value FROM matrix" for i, f in enumerate(FEATURES)
     )
     result = {name: _sql(text) for name, text in found.items()}
+    result["split"] = _sql(drawn_matrix, {
+        "scored": TABLES["scored"].replace("SELECT *,", f"SELECT *, {FLOW_TEXT} AS text,"),
+        "matrix": TABLES["matrix"].replace("LabelCNC, ", "LabelCNC, text, "),
+    })
+    result["random_subgraph"] = _sql("SELECT SensorId, src, dst, weight FROM drawn_edges WHERE place <= 400", RANDOM_GRAPH)
     result["schema_table"] = (
         'SELECT column_name AS "Column", column_type AS "Type" FROM (DESCRIBE ' + TABLES["flows"] + ")"
     )
