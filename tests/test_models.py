@@ -11,7 +11,7 @@ from wireloom.operators import evaluate, features, sample, stacking
 from wireloom.operators.boosting import Rules
 from wireloom.operators.random_trees import RandomTrees
 from wireloom.plans import by_host, catalog, classify
-from wireloom.plans.run import ingest, run
+from wireloom.plans.run import ingest, run, run_by_host, run_simple
 from wireloom.schema import FEATURES, FLOW, PLAIN_FEATURES
 from wireloom.session import scratch_path, shared_folder
 from wireloom.sources import sinks
@@ -159,19 +159,66 @@ def test_host_classifier(spark, folder):
     assert scores.filter("PredictedProb_Node < 0 or PredictedProb_Node > 1").count() == 0
 
 
-def test_full_run(spark, folder, tmp_path, monkeypatch):
-    raw, clean, out = (str(tmp_path / n) for n in ("raw", "clean", "out"))
+@pytest.fixture(scope="module")
+def clean_flows(spark, folder, tmp_path_factory):
     from wireloom.sources.files import CSV_TEXT
 
+    at = tmp_path_factory.mktemp("flows")
+    raw, clean = str(at / "raw"), str(at / "clean")
     order_flows(spark, folder).write.options(**CSV_TEXT).csv(raw)
-    assert [r["Column"] for r in ingest(spark, raw, clean).collect()] == FLOW.names
-    found = run(spark, clean, out, sensors=[3], bases=stacking.base_learners(3, 3, 3, 3, 3), run_id="x")
+    assert [r["Column"] for r in ingest(spark, raw, clean, str(at / "report")).collect()] == FLOW.names
+    report = spark.read.option("header", True).csv(str(at / "report"))
+    assert report.filter("step = 'read'").first()["rows"] == str(order_flows(spark, folder).count())
+    return clean
+
+
+def small_bases():
+    return stacking.base_learners(3, 3, 3, 3, 3)
+
+
+def written(spark, out, name):
+    return spark.read.option("header", True).csv(f"{out}/{name}")
+
+
+def test_full_run(spark, clean_flows, tmp_path):
+    out = str(tmp_path)
+    found = run(
+        spark, clean_flows, out, sensors=[3], bases=small_bases(), run_id="x", use_ground_truth=False, max_nodes=40, max_edges=60,
+        max_rows=1500, trim_dir=True, save_model=True,
+    )
     assert {r["SensorId"] for r in found.summary().collect()} == {3}
-    written = spark.read.option("header", True).csv(f"{out}/node_scores_x")
-    assert written.count() == found.nodes.count()
-    assert spark.read.option("header", True).csv(f"{out}/metrics").first()["Model"] == "stack"
-    split = spark.read.option("header", True).csv(f"{out}/split_x")
-    assert {r["split"] for r in split.select("split").distinct().collect()} == {"train", "test"}
+    assert written(spark, out, "node_scores_x").count() == found.nodes.count()
+    assert written(spark, out, "flagged_x").count() == found.flagged().count() > 0
+    assert written(spark, out, "summary_x").first()["n_truth"] is not None
+    assert "label_cnc" not in {r["Reason"] for r in found.flagged().collect()}
+    assert 0 < written(spark, out, "subgraph_edges_x").count() <= 60
+    assert found.flagged().count() <= written(spark, out, "subgraph_nodes_x").count() <= max(40, found.flagged().count())
+    assert written(spark, out, "metrics").first()["Model"] == "stack"
+    split = written(spark, out, "split_x")
+    assert split.count() == 1500 and {r["split"] for r in split.select("split").distinct().collect()} == {"train", "test"}
+    model = classify.FlowModel.load(spark, f"{out}/model_x")
+    assert model.trim_dir and set(model.model.bases) == {"rf", "et", "hgb"}
+
+
+def test_run_of_the_older_detector(spark, clean_flows, tmp_path):
+    out = str(tmp_path)
+    forest = {"rf": stacking.base_learners(3, 3)["rf"]}
+    nodes = run_simple(spark, clean_flows, out, bases=forest, run_id="y", max_rows=2000)
+    assert written(spark, out, "node_scores_y").count() == nodes.count()
+    flagged = nodes.filter("Role = 'C&C'").count()
+    assert flagged == nodes.filter("flagged").count()
+    if flagged:
+        assert written(spark, out, "flagged_y").count() == flagged
+    assert written(spark, out, "metrics").count() == 1
+
+
+def test_run_by_host(spark, clean_flows, tmp_path):
+    out = str(tmp_path)
+    found = run_by_host(spark, clean_flows, out, run_id="z", kind="logistic", rounds=5, max_edges=30)
+    assert written(spark, out, "node_scores_z").count() == found.nodes.count()
+    edges = written(spark, out, "subgraph_edges_z").groupBy("SensorId").count().collect()
+    assert edges and all(r["count"] <= 30 for r in edges)
+    assert written(spark, out, "summary_z").count() == 3
 
 
 def test_node_scores_are_written_in_order(spark, tmp_path):

@@ -53,7 +53,7 @@ def node_scores(graph: HostGraph, kind: str = "mlp", rounds: int = 20) -> DataFr
     return hosts.HostClassifier(names, kind, rounds=rounds).fit(ready).transform(ready)
 
 
-def detect_by_host(flows: DataFrame, kind: str = "mlp", rounds: int = 20) -> Detection:
+def detect_by_host(flows: DataFrame, kind: str = "mlp", rounds: int = 20, use_ground_truth: bool = True) -> Detection:
     """Every flow of an edge has the edge's probability, so the flows are not read again."""
     graph = host_graph(flows)
     scores = store(node_scores(graph, kind, rounds), "node-scores")
@@ -63,4 +63,4 @@ def detect_by_host(flows: DataFrame, kind: str = "mlp", rounds: int = 20) -> Det
         F.col("w_sensor").alias("n_prob"),
         (F.col("PredictedProb") * F.col("w_sensor")).alias("sum_prob"),
     )
-    return detect_on_edges(store(edges, "edges"))
+    return detect_on_edges(store(edges, "edges"), use_ground_truth)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wireloom.operators.subgraph import Subgraph
+
 
 def new_run_id() -> str:
     return datetime.now().strftime("%Y%m%d_%H%M%S")
@@ -19,15 +21,36 @@ def write_split(split: DataFrame, path: str, run_id: str, fmt: str = "csv") -> s
     return target
 
 
-def write_node_scores(nodes: DataFrame, path: str, run_id: str, fmt: str = "csv") -> str:
-    """All nodes, one folder per sensor, by falling score.
+def write_node_scores(nodes: DataFrame, path: str, run_id: str, fmt: str = "csv", name: str = "node_scores") -> str:
+    """Nodes, one folder per sensor, by falling score.
 
     Range partitioning spreads a large sensor over many files and keeps the files in score order; the
     address spreads nodes that share a score.
     """
-    target = f"{path}/node_scores_{run_id}"
-    order = [F.col("SensorId"), F.desc("cnc_score"), F.col("node")]
-    ordered = nodes.repartitionByRange(*order).sortWithinPartitions(*order)
+    return _write_ordered(nodes, [F.col("SensorId"), F.desc("cnc_score"), F.col("node")], f"{path}/{name}_{run_id}", fmt)
+
+
+def write_flagged(nodes: DataFrame, path: str, run_id: str, fmt: str = "csv") -> str:
+    """The flagged nodes, as the node scores are written."""
+    return write_node_scores(nodes.filter("flagged"), path, run_id, fmt, "flagged")
+
+
+def write_summary(summary: DataFrame, path: str, run_id: str, fmt: str = "csv") -> str:
+    """Limits and counts, a row for each sensor."""
+    target = f"{path}/summary_{run_id}"
+    _save(summary.repartitionByRange("SensorId").sortWithinPartitions("SensorId").write, target, fmt)
+    return target
+
+
+def write_subgraph(graph: Subgraph, path: str, run_id: str, fmt: str = "csv") -> tuple[str, str]:
+    """Nodes by falling score and edges by falling weight, one folder per sensor."""
+    nodes = write_node_scores(graph.nodes, path, run_id, fmt, "subgraph_nodes")
+    order = [F.col("SensorId"), F.desc("weight"), F.col("src"), F.col("dst")]
+    return nodes, _write_ordered(graph.edges, order, f"{path}/subgraph_edges_{run_id}", fmt)
+
+
+def _write_ordered(rows: DataFrame, order: list[Column], target: str, fmt: str) -> str:
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     _save(ordered.write.partitionBy("SensorId"), target, fmt)
     return target
 
