@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireloom.functions.ratios import direction_code, ratio_columns
-from wireloom.operators import clean, evaluate, features, hosts, nodes, ranks, rules, sample, stacking, subgraph, weights
+from wireloom.operators import (
+    clean, evaluate, features, hosts, nodes, ranks, rules, sample, sketches, stacking, subgraph, weights,
+)
+from wireloom.operators.edge_state import EdgeState
 from wireloom.plans import by_host, classify
 from wireloom.plans.detect import detect, detect_simple, prepare, scored_nodes
 from wireloom.schema import EDGE, FEATURES, FLOW, NODE, SCAN_COLUMNS, WEIGHT_FEATURES
@@ -371,6 +374,61 @@ def top5_flagged(spark, folder):
     return best.select(*NODE, "rank", *six("cnc_score"))
 
 
+# Mergeable summaries
+
+
+@query
+def edge_state(spark, folder):
+    """Flows that come in three runs, one of them twice, and the edges that are then known."""
+    flows = stored_flows(spark, folder)
+    state = EdgeState(spark, scratch_path(spark, "edge-state"))
+    for run in (0, 1, 1, 2):
+        state.add(flows.filter(F.pmod(F.col("TotBytes"), F.lit(3)) == run), f"day{run}", "prob")
+    return state.compact(scratch_path(spark, "edge-state")).edges().select(*EDGE, "w_sensor", "w_global", "n_prob", "sum_prob")
+
+
+@query
+def peer_estimates(spark, folder):
+    """Distinct peers from the sketches of two days."""
+    flows = stored_flows(spark, folder)
+    days = [sketches.peer_sketches(flows.filter(F.pmod(F.col("TotBytes"), F.lit(2)) == d)) for d in (0, 1)]
+    kept = store(days[0].unionByName(days[1]), "peer-sketches").table
+    found = sketches.peer_estimates(sketches.merged_peers(kept))
+    return found.select(*NODE, *[F.round(c).cast("bigint").alias(c) for c in ("out_unique_dests", "in_unique_srcs")])
+
+
+@query
+def approximate_cutoffs(spark, folder):
+    """Whether each sensor's cut-off, from the sketches of two halves of its nodes, stands within the stated rank error."""
+    scored = store(scored_nodes(edges_of(spark, folder).table)[0].select(*NODE, "cnc_score"), "scores").table
+    half = F.pmod(F.crc32("node"), F.lit(2))
+    parts = [sketches.score_sketches(scored.filter(half == h)) for h in (0, 1)]
+    kept = store(parts[0].unionByName(parts[1]), "score-sketches").table
+    cutoffs = sketches.approximate_cutoffs(sketches.merged_scores(kept))
+    low, high = sketches.quantile_rank_band(sketches.QUANTILE_K, 0.95)
+    ranked = scored.join(F.broadcast(cutoffs), "SensorId")  # a row for each sensor
+    counts = ranked.groupBy("SensorId").agg(
+        F.count("*").alias("nodes"), F.avg((F.col("cnc_score") < F.col("p95")).cast("int")).alias("below"),
+        F.avg((F.col("cnc_score") <= F.col("p95")).cast("int")).alias("upto"),
+    )
+    return counts.select("SensorId", "nodes", ((F.col("below") <= high) & (F.col("upto") >= low)).alias("within"))
+
+
+@query
+def score_histogram(spark, folder):
+    flows = stored_flows(spark, folder)
+    days = [sketches.score_histogram(flows.filter(F.pmod(F.col("TotBytes"), F.lit(2)) == d), "Label", "prob") for d in (0, 1)]
+    return sketches.merged_histograms(days[0].unionByName(days[1]))
+
+
+@query
+def quality_bounds(spark, folder):
+    """Bounds from forty bins."""
+    histogram = sketches.score_histogram(prepared(spark, folder), "Label", "prob", 40)
+    names = ["auc_low", "auc_high", "balance_low", "balance_high", "threshold"]
+    return sketches.quality_bounds(histogram, 40).select(*six(*names))
+
+
 # Graph
 
 

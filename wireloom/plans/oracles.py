@@ -420,6 +420,11 @@ def oracle_sql() -> dict[str, str]:
         "regression_metrics": f"SELECT {_six('MSE', 'RMSE', 'MAE', 'R2')} FROM ({_regression})",
         "metrics_log": f"SELECT Model, {_six('MSE', 'RMSE', 'MAE', 'R2')} FROM ({_regression})"
         " CROSS JOIN (VALUES ('first'), ('second')) v(Model)",
+        "edge_state": "SELECT SensorId, SrcAddr, DstAddr, w_sensor, w_global, w_sensor AS n_prob, sum_prob FROM edges",
+        "peer_estimates": "SELECT SensorId, node, out_unique_dests, in_unique_srcs FROM stats",
+        "approximate_cutoffs": "SELECT SensorId, count(*) AS nodes, true AS within FROM nodes GROUP BY 1",
+        "score_histogram": "SELECT CAST(least(floor(prob * 1000), 999) AS INTEGER) AS bin, count(*) FILTER (Label = 1) AS pos,"
+        " count(*) FILTER (Label = 0) AS neg FROM scored GROUP BY 1",
         "header_line_numbers": """
             SELECT SensorId, line FROM (
                 SELECT SensorId, Sport, row_number() OVER (PARTITION BY SensorId ORDER BY Sport) AS line FROM flows)
@@ -460,6 +465,21 @@ def oracle_sql() -> dict[str, str]:
     hops = {**HOSTS, "hop1": _means(every, "hosts"), "hop2": _means(every, "hop1")}
     both = ", ".join(f"CAST(CAST({h}.{c} AS FLOAT) AS DOUBLE) AS {h}_{c}" for h in ("hop1", "hop2") for c in every)
     result["two_hop_mean"] = _sql(f"SELECT SensorId, node, {both} FROM hop1 JOIN hop2 USING (SensorId, node)", hops)
+    result["quality_bounds"] = _sql(
+        """
+        SELECT round(sum(neg * (p - pos)) / (any_value(ps) * any_value(ns)), 6) AS auc_low,
+            round(sum(neg * p) / (any_value(ps) * any_value(ns)), 6) AS auc_high,
+            round(max(sqrt(p / ps * (1 - n / ns))), 6) AS balance_low,
+            round(max(sqrt(p / ps * (1 - (n - neg) / ns))), 6) AS balance_high,
+            round(arg_max(bin, (sqrt(p / ps * (1 - n / ns)), bin)) / 40.0, 6) AS threshold
+        FROM summed""",
+        {
+            "binned": "SELECT least(floor(prob * 40), 39) AS bin, CAST(count(*) FILTER (Label = 1) AS DOUBLE) AS pos,"
+            " CAST(count(*) FILTER (Label = 0) AS DOUBLE) AS neg FROM scored GROUP BY 1",
+            "summed": "SELECT *, sum(pos) OVER (ORDER BY bin DESC) AS p, sum(neg) OVER (ORDER BY bin DESC) AS n,"
+            " sum(pos) OVER () AS ps, sum(neg) OVER () AS ns FROM binned",
+        },
+    )
     result["roc_points"] = _sql(f"SELECT threshold, pos_upto, neg_upto, {_six('tpr', 'fpr')} FROM curve", ROC)
     result["best_threshold"] = _sql(
         "SELECT threshold, round(sqrt(tpr * (1 - fpr)), 6) AS balance FROM curve WHERE corner"
