@@ -35,12 +35,29 @@ def test_heavy_keys_absent_from_the_lookup(spark):
     assert Counter((r["k"], r["v"]) for r in found.collect()) == {("hot", None): 50, ("a", 7): 1, ("b", None): 1}
 
 
-def test_heavy_rows_are_not_shuffled(spark):
-    rows = spark.range(10).select(F.col("id").alias("k"))
-    lookup = Stored(spark.range(5).select(F.col("id").alias("k"), F.lit(1).alias("n")))
-    split = attach(rows, lookup, ["k"], "n", broadcast_cells=0)
+def test_rows_of_a_split_join_are_read_once(spark):
+    rows = spark.range(10, 20).select((F.col("id") % 7).alias("k"))
+    lookup = store(spark.range(5).select(F.col("id").alias("k"), F.lit(1).alias("n")), "lookup")
+    split = attach(rows, lookup, ["k"], "n", broadcast_cells=0, heavy_keys=2)
     plan = split._jdf.queryExecution().executedPlan().toString()
-    assert "Union" in plan and "LeftAnti" in plan and "CartesianProduct" not in plan
+    assert plan.count("Range (10, 20") == 1 and "Union" not in plan and "CartesianProduct" not in plan
+
+
+def test_heavy_rows_are_dealt_over_all_partitions(spark):
+    """Also those whose key the lookup lacks: after the join no partition holds more than its share."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(8000).select(F.when(F.col("id") % 2 == 0, "lost").otherwise("held").alias("k"))
+        sizes = spark.createDataFrame([("lost", 4000), ("held", 4000)], "k string, n long")
+        table = Stored(spark.createDataFrame([("held", 7), ("other", 8)], "k string, v int"))
+        joined = attach(rows, table, ["k"], "n", sizes=sizes, broadcast_cells=0, heavy_keys=2)
+        spread = joined.groupBy(F.spark_partition_id().alias("p"), "k", "v").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert {(r["k"], r["v"]) for r in spread} == {("lost", None), ("held", 7)}
+    assert max(r["count"] for r in spread) < 1000 and sum(r["count"] for r in spread) == 8000
 
 
 @pytest.mark.parametrize("descending", [False, True])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wireloom.functions.ratios import direction_code, ratio_columns
@@ -13,6 +13,7 @@ from wireloom.operators import (
     clean, evaluate, features, hosts, nodes, ranks, rules, sample, sketches, stacking, subgraph, weights,
 )
 from wireloom.operators.edge_state import EdgeState
+from wireloom.operators.lookup import attach
 from wireloom.plans import by_host, classify
 from wireloom.plans.detect import detect, detect_simple, prepare, scored_nodes
 from wireloom.schema import EDGE, FEATURES, FLOW, NODE, SCAN_COLUMNS, WEIGHT_FEATURES
@@ -267,6 +268,15 @@ def flow_weights(spark, folder):
     )
 
 
+@query
+def flow_weights_split(spark, folder):
+    """flow_weights as with pairs too many to broadcast: only the fifty heaviest are."""
+    flows = stored_flows(spark, folder)
+    pairs = weights.stored_pairs(flows)
+    joined = attach(flows, pairs, ["SrcAddr", "DstAddr"], "EdgeWeight", broadcast_cells=0, heavy_keys=50)
+    return joined.select(*EDGE, "TotBytes", "EdgeWeight", "SrcTotalWeight", "DstTotalWeight")
+
+
 @query
 def sensor_edges(spark, folder):
     edges = weights.sensor_edges(prepared(spark, folder), "prob")
@@ -536,6 +546,15 @@ def node_classifier(spark, folder):
     return by_host.node_scores(graph, kind="mlp", rounds=20)
 
 
+@query
+def host_check(spark, folder):
+    """Per sensor: the nodes that a host classifier scores, and those without a proper probability."""
+    graph = by_host.host_graph(stored_flows(spark, folder))
+    probability = F.col("PredictedProb_Node")
+    bad = F.count_if(probability.isNull() | ~probability.between(0, 1)).alias("bad")
+    return by_host.node_scores(graph, kind="logistic").groupBy("SensorId").agg(F.count("*").alias("nodes"), bad)
+
+
 @query
 def detect_by_host(spark, folder):
     return by_host.detect_by_host(stored_flows(spark, folder), kind="logistic").summary()
@@ -645,6 +664,21 @@ def node_export(spark, folder):
     return found.select(*NODE, "in_ct", "out_ct", *six("cnc_score"))
 
 
+@query
+def export_order(spark, folder):
+    """Whether every file of exported nodes is in falling order of their score."""
+    scored, _ = scored_nodes(edges_of(spark, folder).table)
+    path = sinks.write_node_scores(scored, scratch_path(spark, "export"), sinks.new_run_id(), fmt="parquet")
+    lines = spark.read.parquet(path).select(
+        F.col("SensorId").cast("bigint").alias("SensorId"), "cnc_score", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("line"),
+    )
+    before = F.lag("cnc_score").over(Window.partitionBy("file").orderBy("line"))  # a file is one task's rows
+    falls = F.coalesce(F.col("before") >= F.col("cnc_score"), F.lit(True))
+    checked = lines.withColumn("before", before)
+    return checked.groupBy("SensorId").agg(F.count("*").alias("nodes"), F.bool_and(falls).alias("ordered"))
+
+
 # Training
 
 

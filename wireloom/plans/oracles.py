@@ -336,6 +336,8 @@ def oracle_sql() -> dict[str, str]:
         + " FROM matrix",
         "edge_weights": "SELECT * FROM pairs",
         "flow_weights": f"SELECT {_edge}, TotBytes, EdgeWeight, SrcTotalWeight, DstTotalWeight FROM weighted",
+        "flow_weights_split": f"SELECT {_edge}, TotBytes, EdgeWeight, SrcTotalWeight, DstTotalWeight FROM weighted",
+        "host_check": "SELECT SensorId, count(*) AS nodes, CAST(0 AS BIGINT) AS bad FROM stats GROUP BY 1",
         "sensor_edges": "SELECT * FROM edges",
         "node_in_out": "SELECT SensorId, node, in_ct, in_prob, out_ct, out_prob FROM stats",
         "node_unique_peers": "SELECT SensorId, node, out_unique_dests, in_unique_srcs FROM stats",
@@ -420,6 +422,7 @@ def oracle_sql() -> dict[str, str]:
         "regression_metrics": f"SELECT {_six('MSE', 'RMSE', 'MAE', 'R2')} FROM ({_regression})",
         "metrics_log": f"SELECT Model, {_six('MSE', 'RMSE', 'MAE', 'R2')} FROM ({_regression})"
         " CROSS JOIN (VALUES ('first'), ('second')) v(Model)",
+        "export_order": "SELECT SensorId, count(*) AS nodes, true AS ordered FROM nodes GROUP BY 1",
         "edge_state": "SELECT SensorId, SrcAddr, DstAddr, w_sensor, w_global, w_sensor AS n_prob, sum_prob FROM edges",
         "peer_estimates": "SELECT SensorId, node, out_unique_dests, in_unique_srcs FROM stats",
         "approximate_cutoffs": "SELECT SensorId, count(*) AS nodes, true AS within FROM nodes GROUP BY 1",
