@@ -148,3 +148,87 @@ def test_katz_counts_pairs_of_rare_histories(docs_of):
     assert model.pair_counts == [times[r] for r in range(1, katz.K + 2)]
     scores = {r.doc_id: r.score for r in katz.train_and_score(docs, train, ~train).collect()}
     assert scores[30] > scores[31] + 0.1  # both tails are as frequent, but only the first was seen after rare1
+
+
+def worth(likely, shares):
+    """Log-likelihood of one text less the price of the languages it has a share of."""
+    words = likely.shape[1]
+    price = language_mix.PENALTY * 0.5 * np.log(words + 1.0)
+    return np.log((likely * shares[:, None]).sum(axis=0)).sum() - price * np.count_nonzero(shares)
+
+
+def best_shares(likely, rounds=3000):
+    shares = np.full(len(likely), 1 / len(likely))
+    for _ in range(rounds):
+        joint = likely * shares[:, None]
+        shares = (joint / joint.sum(axis=0)).sum(axis=1) / likely.shape[1]
+    return shares
+
+
+def test_single_languages_are_never_worth_less_than_a_larger_set():
+    """Where one language is answered, no set of more is worth more; and what settle says is left to gain bounds it."""
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        n_words, n = int(rng.integers(4, 60)), 4
+        mix_of = rng.dirichlet(np.full(n, 0.4))
+        own = rng.choice(n, n_words, p=mix_of)
+        logs = rng.normal(0, 1.2, (n, n_words))
+        logs[own, np.arange(n_words)] += rng.uniform(0.5, 3)
+        likely = np.exp(logs - logs.max(axis=0))
+        words = np.array([n_words])
+        shares, fit, more = language_mix.settle(likely, words, np.full((n, 1), 1 / n))
+        assert np.log((likely * best_shares(likely)[:, None]).sum(axis=0)).sum() <= fit[0] + more[0] + 1e-6
+        found = language_mix.choose(likely, words)[:, 0]
+        if np.count_nonzero(found) == 1:
+            for code in range(1, 1 << n):
+                kept = [k for k in range(n) if code >> k & 1]
+                if len(kept) > 1:
+                    inside = np.zeros(n)
+                    inside[kept] = best_shares(likely[kept], 400)
+                    greedy = worth(likely, found)
+                    # the elimination itself is greedy; the skipped search must not be what loses
+                    if worth(likely, inside) > greedy + 1e-6:
+                        top = int(found.argmax())
+                        alone = worth(likely, np.eye(n)[top])
+                        assert alone < fit[0] + more[0] - 2 * language_mix.PENALTY * 0.5 * np.log(n_words + 1.0)
+
+
+def test_many_languages_share_fewer_bins(docs_of, monkeypatch):
+    assert language_mix.bins_for(4) == language_mix.BINS and language_mix.bins_for(600) == 1 << 14
+    assert language_mix.bins_for(10**6) == 256
+    monkeypatch.setattr(language_mix, "MOST_CELLS", 1 << 14)
+    rows = [(i, f"{chr(97 + i % 9) * 3} {chr(98 + i % 9) * 4} " * 20, f"l{i % 9}") for i in range(90)]
+    model = language_mix.learn(docs_of(rows))
+    assert model.logs.shape == (9, 1 << 10) and model.langs == sorted(f"l{k}" for k in range(9))
+    found = language_mix.identify(docs_of(rows), model, ["doc_id", "lang", "score"]).collect()
+    assert all(r.lang_pred == r.lang for r in found) and len(found) == 90
+
+
+def test_features_of_both_classes_are_kept_without_a_cap(docs_of, spark):
+    """Four thousand words, half of them toxic, a quarter clean: all are learned, and neutral ones are not."""
+    rng = np.random.default_rng(3)
+    words = {k: [f"{k}{i:04d}" for i in range(n)] for k, n in (("tox", 2400), ("fine", 1200), ("plain", 800))}
+    rows, marks = [], []
+    for i in range(1600):
+        toxic = i % 2
+        text = [*rng.choice(words["tox" if toxic else "fine"], 60), *rng.choice(words["plain"], 30)]
+        rows.append((i, " ".join(text), "en"))
+        marks.append((i, toxic))
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.learn(docs_of(rows), labels, max_rows=400)
+    def kept(name):
+        column = toxicity.pa.array(words[name], toxicity.pa.string())
+        hits = {t for t, f in zip(*toxicity.presence(column)) if model.place[f] >= 0}
+        return len(hits) / len(words[name])
+    assert kept("tox") > 0.95 and kept("fine") > 0.95 and kept("plain") < 0.1 and len(model.bins) > 3072
+    scored = toxicity.score(docs_of(rows), model, ["doc_id", "score", "text"])
+    assert scored.columns == ["doc_id", "text", "score"]
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in scored.collect())
+
+
+def test_toxicity_and_languages_of_empty_documents(docs_of, spark):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.learn(docs_of([]), labels)
+    assert toxicity.score(docs_of([]), model, ["doc_id"]).count() == 0
+    assert toxicity.drop_toxic(docs_of([]), model).count() == 0
+    assert [r.score for r in toxicity.score(docs_of([(1, None, None)]), model, ["doc_id"]).collect()] == [0.5]

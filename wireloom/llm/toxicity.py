@@ -1,8 +1,9 @@
 """A toxicity classifier that is fitted to give the same score when a group's name is swapped for another's.
 
-Features are the presence of words and of five-byte pieces of words. Those that go with the label most surely over
-all labelled rows are kept, by a likelihood-ratio statistic, and with them the features that identity terms bring. Weights
-minimise the logistic loss plus, for each labelled text that names a group, the squared change of its score when
+Features are the presence of words and of five-byte pieces of words. Kept are all that go surely with either class, by a
+likelihood-ratio statistic over all labelled rows, and whose share of toxic rows differs from the overall one by a factor;
+the factor, unlike the statistic, doesn't grow with the rows, so the same text is described alike at every size. With them
+go the features that identity terms bring. Weights minimise the logistic loss plus, for each labelled text that names a group, the squared change of its score when
 the name is swapped for another of its kind, and a small ridge. Neutral mentions thus stay neutral.
 
 The counts that choose features cover all labelled rows; the weights are fitted on ``MAX_ROWS`` of them at most, those
@@ -23,15 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, BYTE_VALUES, U64, extend, find_words, flat, mix, slices, span_hashes
+from .common import ALNUM, BYTE_VALUES, U64, extend, find_words, flat, mix, prepare, slices, span_hashes
 
 #: Labelled rows that the weights are fitted on.
 MAX_ROWS = 20_000
-#: Bins that features fall into, and bins that are kept.
+#: Bins that features fall into.
 BINS_LOG = 20
-KEPT = 3072
-#: What a feature's statistic must reach.
-LEAST_EVIDENCE = 15.0
+#: What a feature's statistic must reach, and by which factor it must raise or lower the share of toxic rows.
+LEAST_EVIDENCE, LEAST_FACTOR = 15.0, 2.0
 PIECE = 5
 #: Weight of the squared score change of a swap, and of the ridge.
 SWAP_WEIGHT, RIDGE = 4.0, 1e-4
@@ -161,6 +161,7 @@ def learn(
     identities=IDENTITIES, swap_weight: float = SWAP_WEIGHT,
 ) -> ToxicityModel:
     """A model of the rows of ``docs`` that ``labels`` (``key``, toxic) marks 0 or 1."""
+    prepare(docs.sparkSession)
     marked = labels.filter(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).select(key, F.col("toxic").cast("int").alias("toxic"))
     texts = docs.filter(F.col(key).isNotNull()).select(key, text)
     totals = marked.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
@@ -169,11 +170,11 @@ def learn(
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), math.log(share / (1 - share)))
     labelled = texts.join(marked.hint("merge"), key)  # labels may grow with the texts: never broadcast them all
     counts = count_presence(labelled, text)
-    telling = counts.filter(F.col("n_toxic") * F.lit(totals["n"]) > F.col("n") * F.lit(totals["t"]))
-    best = telling.select("bin", ratio_statistic(totals["n"], totals["t"]).alias("s"))
-    best = best.filter(F.col("s") >= LEAST_EVIDENCE).orderBy(F.desc("s"), "bin").limit(KEPT)
+    share = F.col("n_toxic") / F.col("n") * F.lit(totals["n"] / totals["t"])  # of toxic rows, relative to the overall one
+    telling = counts.filter((share >= LEAST_FACTOR) | (share <= 1 / LEAST_FACTOR))
+    best = telling.filter(ratio_statistic(totals["n"], totals["t"]) >= LEAST_EVIDENCE).select("bin").toArrow()
     named = pa.array([t for kind in identities for t in kind], pa.string())
-    bins = np.unique(np.concatenate([np.array([r["bin"] for r in best.collect()], np.int64), presence(named)[1] if len(named) else []]).astype(np.int64))
+    bins = np.unique(np.concatenate([best.column("bin").to_numpy(), presence(named)[1] if len(named) else []]).astype(np.int64))
     place = np.full(1 << BINS_LOG, -1, np.int64)
     place[bins] = np.arange(len(bins))
     pattern, others = swaps(identities)
@@ -192,22 +193,24 @@ def learn(
                         extra.append((i, pattern.sub(put, t)))
             column = pa.array([t or "" for t in whole] + [t for _, t in extra], pa.large_string())
             rows, features = presence(column, held.value)
-            lists = np.split(features, np.searchsorted(rows, np.arange(1, len(column))))
+            lists = [x.astype("<i4") for x in np.split(features, np.searchsorted(rows, np.arange(1, len(column))))]
+            swapped = lists[len(whole) :]
+            # of a swap only what it takes and what it brings; of a row all
+            lost = [np.setdiff1d(lists[i], x) for (i, _), x in zip(extra, swapped)]
+            gained = [np.setdiff1d(x, lists[i]) for (i, _), x in zip(extra, swapped)]
             yield pa.RecordBatch.from_pydict(
                 {
                     "toxic": pa.array(toxic + [None] * len(extra), pa.int32()),
-                    "features": pa.array([x.tolist() for x in lists], pa.list_(pa.int64())),
-                    "original": pa.array([None] * len(whole) + [lists[i].tolist() for i, _ in extra], pa.list_(pa.int64())),
+                    "features": pa.array([x.tobytes() for x in lists[: len(whole)] + gained], pa.binary()),
+                    "lost": pa.array([None] * len(whole) + [x.tobytes() for x in lost], pa.binary()),
                 }
             )
 
     sample = marked.orderBy(F.xxhash64(key), key, "toxic").limit(max_rows)
-    drawn = texts.join(F.broadcast(sample), key).mapInArrow(reduce, "toxic int, features array<bigint>, original array<bigint>").collect()
-    rows = [(np.array(r["features"], np.int64), float(r["toxic"])) for r in drawn if r["toxic"] is not None]
-    moves = [
-        (np.setdiff1d(r["original"], r["features"]).astype(np.int64), np.setdiff1d(r["features"], r["original"]).astype(np.int64))
-        for r in drawn if r["toxic"] is None
-    ]
+    drawn = texts.join(F.broadcast(sample), key).mapInArrow(reduce, "toxic int, features binary, lost binary").collect()
+    unpack = lambda b: np.frombuffer(bytes(b), "<i4")
+    rows = [(unpack(r["features"]), float(r["toxic"])) for r in drawn if r["toxic"] is not None]
+    moves = [(unpack(r["lost"]), unpack(r["features"])) for r in drawn if r["toxic"] is None]
     toxic = sum(y for _, y in rows)
     if not 0 < toxic < len(rows):
         share = min(max(totals["t"] / totals["n"], 1e-6), 1 - 1e-6)
@@ -216,8 +219,9 @@ def learn(
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` and score (0 to 1, higher: toxic likelier) for each row of ``docs``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """``keep`` and score (0 to 1, higher: toxic likelier) for each row of ``docs``; a column of that name is replaced."""
+    keep = [c for c in keep if c != "score"]
+    held = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
