@@ -32,42 +32,34 @@ def node_features(edges: DataFrame, totals: DataFrame, features: list[str] = FEA
     flows = F.col("w_sensor")
     known = {"EdgeWeight": F.col("w_global"), "SrcTotalWeight": F.col("SrcTotalWeight"),
              "DstTotalWeight": F.col("DstTotalWeight")}
-    parts: list[Column] = []
-    for f in features:
-        if f in WEIGHT_FEATURES:
-            parts += [(known[f].cast("double") * flows).alias(f"sum_{f}"), flows.alias(f"n_{f}")]
-        else:
-            parts += [F.col(f"sum_{f}"), F.col(f"n_{f}")]
-    ends = F.array(
-        F.struct(F.col("SrcAddr").alias("node"), F.lit("src").alias("side")),
-        F.struct(F.col("DstAddr").alias("node"), F.lit("dst").alias("side")),
-    )
-    sides = joined.select(
-        "SensorId", flows.alias("flows"), "label_cnc", *parts,
-        (F.col("SrcTotalWeight").cast("double") * flows).alias("own_src"),
-        (F.col("DstTotalWeight").cast("double") * flows).alias("own_dst"),
-        F.inline(ends),
-    )
 
-    def on(side: str, column: str) -> Column:
-        return F.sum(F.when(F.col("side") == side, F.col(column)))
+    def side(prefix: str, end: str, own: str, count: str) -> DataFrame:
+        """One aggregate over the edges of each node in one role."""
 
-    def mean(side: str, top: str, bottom: str) -> Column:
-        return F.coalesce(F.try_divide(on(side, top), on(side, bottom)), F.lit(0.0))
+        def mean(total: Column, n: Column) -> Column:
+            return F.try_divide(F.sum(total), F.sum(n))
 
-    aggregates: list[Column] = []
-    for side in ("src", "dst"):
+        aggregates: list[Column] = []
         for f in features:
-            aggregates.append(mean(side, f"sum_{f}", f"n_{f}").alias(f"{side}_{f}_mean"))
-            aggregates.append(F.coalesce(on(side, f"n_{f}"), F.lit(0)).alias(f"{side}_{f}_count"))
-    aggregates += [
-        F.coalesce(on("dst", "flows"), F.lit(0)).alias("in_count"),
-        F.coalesce(on("src", "flows"), F.lit(0)).alias("out_count"),
-        mean("src", "own_src", "flows").alias("src_total_weight_agg"),
-        mean("dst", "own_dst", "flows").alias("dst_total_weight_agg"),
-        F.max("label_cnc").alias("label_cnc"),
-    ]
-    return sides.groupBy(*NODE).agg(*aggregates)
+            total = known[f].cast("double") * flows if f in WEIGHT_FEATURES else F.col(f"sum_{f}")
+            n = flows if f in WEIGHT_FEATURES else F.col(f"n_{f}")
+            aggregates += [mean(total, n).alias(f"{prefix}_{f}_mean"), F.sum(n).alias(f"{prefix}_{f}_count")]
+        aggregates += [
+            F.sum(flows).alias(count), mean(known[own].cast("double") * flows, flows).alias(f"{prefix}_total_weight_agg"),
+            F.max("label_cnc").alias(f"{prefix}_label"),
+        ]
+        return joined.groupBy("SensorId", F.col(end).alias("node")).agg(*aggregates)
+
+    sent = side("src", "SrcAddr", "SrcTotalWeight", "out_count")
+    received = side("dst", "DstAddr", "DstTotalWeight", "in_count")
+    # both sides are partitioned by node already, so the join moves nothing
+    both = sent.join(received, NODE, "full")
+    labels = ["src_label", "dst_label"]
+    names = [c for c in both.columns if c not in (*NODE, *labels)]
+    zero = {c: F.lit(0) if c.endswith("_count") else F.lit(0.0) for c in names}
+    return both.select(
+        *NODE, *[F.coalesce(F.col(c), zero[c]).alias(c) for c in names], F.greatest(*labels).alias("label_cnc")
+    )
 
 
 def node_labels(edges: DataFrame) -> DataFrame:
@@ -135,14 +127,14 @@ class HostClassifier:
 
 def edge_probability(edges: DataFrame, scores: Stored, degrees: DataFrame) -> DataFrame:
     """Edges with ``PredictedProb``: the larger node score of the two ends, 0 where there is none."""
-    for end, name in (("SrcAddr", "Src_PredProb"), ("DstAddr", "Dst_PredProb")):
+    for end, name in (("SrcAddr", "at_source"), ("DstAddr", "at_target")):
         lookup = Stored(at_end(scores.table, end, PredictedProb_Node=name), scores.rows)
         sizes = at_end(degrees, end, graph_degree="graph_degree")
         edges = attach(edges, lookup, ["SensorId", end], "graph_degree", sizes=sizes)
     larger = F.greatest(
-        F.coalesce(F.col("Src_PredProb"), F.lit(0.0)), F.coalesce(F.col("Dst_PredProb"), F.lit(0.0))
+        F.coalesce(F.col("at_source"), F.lit(0.0)), F.coalesce(F.col("at_target"), F.lit(0.0))
     )
-    return edges.withColumn("PredictedProb", larger).drop("Src_PredProb", "Dst_PredProb")
+    return edges.withColumn("PredictedProb", larger).drop("at_source", "at_target")
 
 
 def flow_probability(flows: DataFrame, scored_edges: Stored, cut: float = 0.5) -> DataFrame:

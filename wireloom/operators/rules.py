@@ -64,6 +64,7 @@ def apply_rules(scored: DataFrame, limits: Stored, use_ground_truth: bool = True
             "label_cnc": truth,
         }
     ).withColumn("flagged", F.col("strict") | F.col("percentile") | F.col("label_cnc"))
+    # The wording of the reasons.
     over_cut = F.format_string(f"score>=p{PERCENTILE} (>= %.4f)", F.col("p95"))
     reasons = F.concat_ws(
         ";",
