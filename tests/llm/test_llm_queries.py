@@ -99,3 +99,34 @@ def test_pipeline(spark, folder):
     last = corpus_pipeline.run(spark, folder)
     assert {r.doc_id for r in last.collect()} == {r.doc_id for r in before.collect()}
     assert last.filter("n_tokens <> size(ids)").count() == 0
+
+
+def test_fifty_thousand_rules(spark):
+    """Far more rules than a plan could hold as expressions; every page meets the longest of its own."""
+    rules = [url_rules.rule("block" if i % 3 else "allow", f"h{i}.net/a{i % 7}/") for i in range(49_990)]
+    rules += [url_rules.rule("block", f"{t}") for t in ("net/", "org", "h7.net/a0/deep/", "x.h7.net/", "ünï.net/é/", "b.org/q/")]
+    rows = [(i, f"http://w.h{i * 17}.net/a{(i * 17) % 7 if i % 2 else 6}/z") for i in range(2500)]
+    rows += [(9000, "http://x.h7.net/a0/deep/1"), (9001, "http://b.org/q/"), (9002, "http://a.com/"), (9003, "http://ünï.net/é/1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    judged = url_rules.judge_urls(pages, rules)
+    assert "Python" not in judged._jdf.queryExecution().executedPlan().toString()
+    by_text = {r.text: r for r in rules}
+
+    def plain(url):
+        rest = url.split("://")[1]
+        host, path = rest.split("/")[0], "/" + rest.split("/", 1)[1]
+        labels, parts = host.split("."), path.split("/")
+        hosts = [".".join(labels[k:]) for k in range(len(labels))]
+        paths = [""] + ["/".join(parts[: k + 1]) + "/" for k in range(len(parts) - 1)]
+        fitting = [by_text[h + p] for h in hosts for p in paths if h + p in by_text]
+        best = max(fitting, key=lambda r: len(r.text), default=None)
+        return (best.text, best.verdict) if best else (None, "allow")
+
+    assert {r.page_id: (r.rule, r.verdict) for r in judged.collect()} == {i: plain(u) for i, u in rows}
+
+
+def test_buckets_hold_every_rule():
+    index = url_rules.index_rules(queries.RULES)
+    buckets = url_rules.bucket_table(index)
+    assert len(buckets) == len(index) and sorted(r["text"] for b in buckets for r in b) == sorted(r.text for r in queries.RULES)
+    assert url_rules.bucket_table({}) == [[]]

@@ -221,3 +221,20 @@ def test_windows_ranked_in_slices(monkeypatch):
     for row, windows in zip(told, wanted):
         runs = suffix_dedup.unpack_array(row["a"], "<i8"), suffix_dedup.unpack_array(row["b"], "<i8")
         assert np.repeat(*runs).tolist() == [least[w] for w in windows]
+
+
+def test_only_files_that_may_hold_a_key_are_read(spark, docs_of):
+    rows = [(i * 3, f"text {i}", None) for i in range(400)] + [(None, "no key", None), (30, "again", None)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        manifest = token_frames.write_frames(docs_of(rows).repartition(3), BPE, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    listed = manifest.orderBy("shard").collect()
+    assert len(listed) > 4
+    for keys in ([30], [30, 1197], [31], [None], [None, 600], [-5, 5000], [0]):
+        files = token_frames.files_with(manifest, keys).collect()
+        found = sorted((r.doc_id is not None, r.doc_id or 0) for r in token_frames.read_frames(manifest, keys=keys).collect())
+        assert found == sorted((i is not None, i or 0) for i, *_ in rows if i in keys)
+        assert len(files) <= len(keys)
+    assert token_frames.read_frames(manifest, keys=[]).count() == 0

@@ -149,8 +149,8 @@ class FrameReader:
 def write_frames(docs: DataFrame, path: str, end_id: int | None, folder: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and write all documents in ascending ``key`` order; returns the stored manifest.
 
-    It has one row for each file: shard (ascending with the keys), path, n_docs, n_ids and base, the number of ids in
-    all files before. ``folder`` is a new one in the shared folder unless it is given.
+    It has one row for each file: shard (ascending with the keys), path, n_docs, n_ids, first_key and last_key (null if it
+    holds null keys only) and base, the number of ids in all files before. ``folder`` is a new one in the shared folder unless it is given.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
@@ -174,25 +174,47 @@ def write_frames(docs: DataFrame, path: str, end_id: int | None, folder: str | N
         writer.close()
         out.close()
         at = f"{folder.rstrip('/')}/{name.rsplit('/', 1)[1]}"
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [at], "n_docs": [len(writer.keys)], "n_ids": [writer.n]})
+        keys = [k for k in writer.keys if k is not None]  # ascending, nulls first
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([shard], pa.int64()), pa.array([at], pa.string()), pa.array([len(writer.keys)], pa.int64()),
+                pa.array([writer.n], pa.int64()), pa.array(keys[:1] or [None], pa.int64()), pa.array(keys[-1:] or [None], pa.int64()),
+            ],
+            names=["shard", "path", "n_docs", "n_ids", "first_key", "last_key"],
+        )
 
     files = store(
         docs.select(F.col(key).cast("long").alias(key), text).repartitionByRange(key).sortWithinPartitions(key)
-        .mapInArrow(run, "shard long, path string, n_docs long, n_ids long"),
+        .mapInArrow(run, "shard long, path string, n_docs long, n_ids long, first_key long, last_key long"),
         "token-files",
     ).table
     # a row for each file comes here, each of them holding a task's share of the texts
     rows = sorted(files.collect(), key=lambda r: r["shard"])
     base, listed = 0, []
     for r in rows:
-        listed.append((r["shard"], r["path"], r["n_docs"], r["n_ids"], base))
+        listed.append((*r, base))
         base += r["n_ids"]
-    return spark.createDataFrame(listed, "shard long, path string, n_docs long, n_ids long, base long")
+    return spark.createDataFrame(listed, MANIFEST)
+
+
+MANIFEST = "shard long, path string, n_docs long, n_ids long, first_key long, last_key long, base long"
+
+
+def files_with(manifest: DataFrame, keys: list[int]) -> DataFrame:
+    """The files that may hold some of ``keys``."""
+    wanted = F.lit(sorted({k for k in keys if k is not None})).cast("array<bigint>")
+    inside = F.exists(wanted, lambda k: (k >= F.col("first_key")) & (k <= F.col("last_key")))
+    holds_null = F.lit(None in keys) & (F.col("first_key").isNull() | (F.col("shard") == 0))
+    return manifest.filter(F.coalesce(inside, F.lit(False)) | holds_null)
 
 
 def read_frames(manifest: DataFrame, keys: list[int] | None = None, key: str = "doc_id") -> DataFrame:
-    """``key``, start (ids before the document) and ids of all documents, or only of ``keys`` (their frames are read)."""
+    """``key``, start (ids before the document) and ids of all documents, or only of ``keys``.
+
+    Of the latter only files whose range of keys holds one are opened, and there only their frames.
+    """
     wanted = None if keys is None else set(keys)
+    manifest = manifest if keys is None else files_with(manifest, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,16 +1,20 @@
 """URL filtering by host and path rules.
 
 Each rule is filed under the rarest of its literal tokens. A URL is cut into tokens, the tokens fetch the rules filed
-under them, and only those rules' regular expressions run. Everything is a row-local expression: no shuffle, no join.
+under them, and only those rules' regular expressions run. Everything is a row-local expression: no shuffle, no join. The index
+is one literal of the plan, a table of buckets by the token's CRC-32, so a token is looked up in a bucket of about one token
+however many rules there are.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule, so it gets the
 default verdict. Rows stay as they are given, repeated ones too. Extra columns are not read. Among fitting rules of
-equal length the smaller rule string wins. Rules live in the plan, so there may be ``MAX_RULES`` of them at most.
+equal length the smaller rule string wins. The index travels with the plan, some hundred bytes for each rule.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -18,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_RULES = 10_000
 #: Runs of these characters are tokens; a host's dots and a path's punctuation stand between them.
 TOKEN = "[^.:/?#&=_~%+-]+"
 
@@ -57,8 +60,6 @@ def rule(verdict: str, text: str) -> Rule:
 
 def index_rules(rules: list[Rule]) -> dict[str, list[Rule]]:
     """Rules by their rarest token among all rules; rules without a token stand under the empty one."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     seen = Counter(t for r in rules for t in set(r.tokens()))
     index: dict[str, list[Rule]] = {}
     for r in rules:
@@ -67,6 +68,20 @@ def index_rules(rules: list[Rule]) -> dict[str, list[Rule]]:
     return index
 
 
+BUCKETS = "buckets array<array<struct<token:string,length:int,text:string,verdict:string,pattern:string>>>"
+
+
+def bucket_table(index: dict[str, list[Rule]]) -> list[list[dict]]:
+    """As many buckets as tokens; each rule stands in that of its token's CRC-32."""
+    buckets: list[list[dict]] = [[] for _ in range(max(1, len(index)))]
+    for token, filed in index.items():
+        own = buckets[zlib.crc32(token.encode()) % len(buckets)]
+        own += [
+            {"token": token, "length": len(r.text), "text": r.text, "verdict": r.verdict, "pattern": r.pattern} for r in filed
+        ]
+    return buckets
+
+
 def url_host(url: Column) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
 
@@ -77,17 +92,17 @@ def url_path(url: Column) -> Column:
 
 def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule (null where none fits) and verdict; columns of these names are replaced."""
-    index = index_rules(rules)
-    as_struct = lambda r: F.struct(
-        F.lit(len(r.text)).alias("length"), F.lit(r.text).alias("text"), F.lit(r.verdict).alias("verdict"),
-        F.lit(r.pattern).alias("pattern"),
-    )
-    nothing = F.filter(F.array(as_struct(Rule("", "", ""))), lambda r: F.lit(False))
-    cells = [x for token, filed in index.items() for x in (F.lit(token), F.array(*map(as_struct, filed)))]
-    by_token = F.create_map(*cells) if cells else F.create_map(F.lit(""), nothing)
     address = F.concat("_host", "_path")
     tokens = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(address, F.lit(f"({TOKEN})"), F.lit(1))))
-    fetched = F.flatten(F.transform(tokens, lambda t: F.coalesce(by_token[t], nothing)))
+    buckets = bucket_table(index_rules(rules))
+    # parsed once, when the plan is made
+    table = F.from_json(F.lit(json.dumps({"buckets": buckets})), BUCKETS)["buckets"]
+
+    def filed_under(token: Column) -> Column:
+        bucket = F.get(table, F.pmod(F.crc32(token.cast("binary")), F.lit(len(buckets))).cast("int"))
+        return F.filter(bucket, lambda r: r["token"] == token)
+
+    fetched = F.flatten(F.transform(tokens, filed_under))
     fitting = F.filter(fetched, lambda r: F.rlike(F.concat("_host", "_path"), r["pattern"]))
     ranked = F.array_sort(fitting, lambda a, b: F.when(a["length"] != b["length"], b["length"] - a["length"])
                           .when(a["text"] < b["text"], -1).when(a["text"] > b["text"], 1).otherwise(0))
