@@ -238,3 +238,11 @@ def test_only_files_that_may_hold_a_key_are_read(spark, docs_of):
         assert found == sorted((i is not None, i or 0) for i, *_ in rows if i in keys)
         assert len(files) <= len(keys)
     assert token_frames.read_frames(manifest, keys=[]).count() == 0
+
+
+def test_judged_columns_replace_kept_ones(docs_of):
+    docs = docs_of([(1, "one two", "en")]).withColumnRenamed("batch", "n_words").withColumnRenamed("score", "contaminated")
+    items = docs_of([(7, "one two", "en")]).selectExpr("cast(doc_id as string) item_id", "text")
+    judged = decontaminate.judge(docs, items, ["doc_id", "n_words", "contaminated", "lang"])
+    assert judged.columns == ["doc_id", "lang", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert tuple(judged.first())[:5] == (1, "en", 2, 2, 1) and judged.first().contaminated

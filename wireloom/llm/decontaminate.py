@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ALNUM, U64, extend, find_words, flat, joined_words, mix, slices
+from .common import ALNUM, U64, extend, find_words, flat, joined_words, mix, prepare, slices
 
 WINDOW = 13
 #: Bytes of benchmark text searched for in one pass.
@@ -201,7 +201,12 @@ def covered(spans: list[int]) -> int:
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", **options) -> DataFrame:
-    """``keep``, n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs``."""
+    """``keep``, n_words, n_hit, n_items, items_sha256 and contaminated for each row of ``docs``.
+
+    Columns of ``keep`` with the name of one of these are replaced.
+    """
+    prepare(docs.sparkSession)
+    keep = [c for c in keep if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
     read = list(dict.fromkeys([*keep, text]))
 
     def sums(part: pa.RecordBatch) -> pa.RecordBatch:
