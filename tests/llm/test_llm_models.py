@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -82,70 +83,130 @@ def test_toxicity_of_one_class(spark, docs_of):
         assert len({r.score for r in toxicity.score(docs, model, ["doc_id"]).collect()}) == 1
 
 
-def plain_katz(rows):
-    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
-    import re
-
-    tokens = [re.findall(r"[^\x20\x09-\x0D]+", low(t)) + [None] for _, t in rows]
-    train = [i is not None and zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows]
-    one = Counter(w for x, t in zip(tokens, train) if t for w in x)
-    two = Counter(p for x, t in zip(tokens, train) if t for p in zip(["START", *x[:-1]], x))
-    seen = dict(one) | {"START": sum(train)}
-    frequent = lambda h: seen.get(h, 0) >= katz.MIN_HISTORY or (h == "START" and seen[h] > 0)
-    times = Counter(one.values())
-    words = katz.Words(sum(one.values()), len(one), [times[r] for r in range(1, katz.K + 2)])
-    times = Counter(r for (h, _), r in two.items() if frequent(h))
-    d = katz.discounts([times[r] for r in range(1, katz.K + 2)])
-    p = lambda w: float(words.probability(np.array([one.get(w, 0)]))[0])
-    after = defaultdict(dict)
-    for (h, w), r in two.items():
-        after[h][w] = r
-
-    def chance(h, w):
-        if not frequent(h):
-            return p(w)
-        had = after[h]
-        scale, weight = katz.backoff(
-            np.array([[sum(r == k for r in had.values()) for k in range(1, katz.K + 1)]]), np.array([sum(had.values())]),
-            np.array([sum(map(p, had))]), d,
-        )
-        r = had.get(w, 0)
-        return float(scale[0]) * (d[r] if r <= katz.K else 1) * r / sum(had.values()) if r else float(weight[0]) * p(w)
-
-    for h in [h for h in after if frequent(h)][:20]:  # each distribution sums to one
-        assert sum(chance(h, w) for w in one) + chance(h, "never seen") == pytest.approx(1, abs=1e-9)
-    out = []
-    for (i, _), x in zip(rows, tokens):
-        base = sum(math.log10((one.get(w, 0) + 0.5) / (sum(one.values()) + 0.5 * (len(one) + 1))) for w in x)
-        total = sum(math.log10(chance(h, w)) for h, w in zip(["START", *x[:-1]], x))
-        out.append((i, len(x), sum(one.get(w, 0) > 0 for w in x), sum(one.values()), base, total))
-    return out
-
-
-@pytest.mark.parametrize("n", [0, 1, 250])
-def test_katz(docs_of, n):
+def good_turing(times, most=5):
+    """Katz's discounts of counts 1 to ``most``, or a constant taken off where the counts are too few."""
+    n = [times[r] for r in range(most + 2)]
+    if all(n[1:]) and (most + 1) * n[most + 1] < n[1]:
+        last = (most + 1) * n[most + 1] / n[1]
+        d = [((r + 1) * n[r + 1] / (r * n[r]) - last) / (1 - last) for r in range(1, most + 1)]
+        if all(0 < x < 1 for x in d):
+            return d
+    off = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    return [1 - off / r for r in range(1, most + 1)]
+
+
+class PlainKatz:
+    """The model by its definition, with dictionaries and recursion, sharing nothing with the operator."""
+
+    def __init__(self, texts, order):
+        self.order, self.texts = order, texts
+        self.one = Counter(w for x in texts for w in x)
+        self.n, self.v = sum(self.one.values()), len(self.one)
+        self.after, self.d = defaultdict(Counter), {1: good_turing(Counter(self.one.values()))}
+        for size in range(2, order + 1):
+            for x in texts:
+                x = ["<", *x]
+                for i in range(len(x) - size + 1):
+                    self.after[tuple(x[i : i + size - 1])][x[i + size - 1]] += 1
+            self.d[size] = good_turing(Counter(r for h, had in self.after.items() if len(h) == size - 1 for r in had.values()))
+
+    def left(self, r, size):
+        return r * self.d[size][r - 1] if r <= 5 else r
+
+    def single(self, w):
+        if not self.n:
+            return 1.0
+        share = sum(self.left(r, 1) for r in self.one.values()) / self.n
+        new = max(1 - share, 0.5 / (self.n + 0.5 * (self.v + 1)))
+        return (1 - new) * self.left(self.one[w], 1) / self.n / share if w in self.one else new
+
+    def chance(self, history, w):
+        if not history:
+            return self.single(w)
+        had = self.after.get(history)
+        if not had:
+            return self.chance(history[1:], w)
+        size, total = len(history) + 1, sum(had.values())
+        share = sum(self.left(r, size) for r in had.values()) / total
+        new = max(1 - share, 1 / (total + 1))
+        if w in had:
+            return (1 - new) * self.left(had[w], size) / total / share
+        return new / (1 - sum(self.chance(history[1:], x) for x in had)) * self.chance(history[1:], w)
+
+    def score(self, x):
+        line = ["<", *x]
+        return sum(math.log10(self.chance(tuple(line[max(0, i - self.order + 1) : i]), line[i])) for i in range(1, len(line)))
+
+
+def katz_tokens(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return [*re.findall(r"[^\x20\x09-\x0D]+", low), None]
+
+
+def learned(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 5 != 1
+
+
+def katz_rows(n):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(40)] + ["A", "é", "x.y", "\x00"]
     rows = [(i, " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(len(vocabulary))], k=rng.randint(0, 40)))) for i in range(n)]
-    rows += [(7, "w1 w2"), (900, None), (901, ""), (902, "new\tword"), (None, "w1 w1")] if n else []
-    docs = docs_of([(i, t, "en") for i, t in rows])
-    found = katz.train_and_score(docs, F.col("doc_id").isNotNull() & ~in_fold("doc_id", 1), in_fold("doc_id", 1)).collect()
+    return rows + ([(7, "w1 w2"), (900, None), (901, ""), (902, "new\tword"), (None, "w1 w1")] if n else [])
+
+
+def same_scores(found, rows, plain):
     key = lambda r: (repr(r[0]), r[1], round(r[4], 6), round(r[5], 6))
-    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found), key=key)
-    want = sorted(plain_katz(rows), key=key) if rows else []
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found.collect()), key=key)
+    want = []
+    for i, t in rows:
+        x = katz_tokens(t)
+        base = sum(math.log10((plain.one[w] + 0.5) / (plain.n + 0.5 * (plain.v + 1))) for w in x)
+        want.append((i, len(x), sum(w in plain.one for w in x), plain.n, base, plain.score(x)))
+    want.sort(key=key)
     assert [g[:4] for g in got] == [w[:4] for w in want]
     assert np.allclose([g[4:] for g in got], [w[4:] for w in want], rtol=1e-9) if want else not got
 
 
+@pytest.mark.parametrize(("n", "order"), [(0, 3), (1, 3), (250, 1), (250, 2), (250, 3), (250, 4)])
+def test_katz(docs_of, n, order):
+    rows = katz_rows(n)
+    plain = PlainKatz([katz_tokens(t) for i, t in rows if learned(i)], order)
+    if n:  # each distribution sums to one
+        for h in [*list(plain.after)[:30], ("w1", "never seen")[: order - 1], ()]:
+            assert sum(plain.chance(h, w) for w in plain.one) + plain.chance(h, "never seen") == pytest.approx(1, abs=1e-9)
+    docs = docs_of([(i, t, "en") for i, t in rows])
+    found = katz.train_and_score(docs, F.col("doc_id").isNotNull() & ~in_fold("doc_id", 1), in_fold("doc_id", 1), order=order)
+    same_scores(found, rows, plain)
+
+
+def test_katz_scores_documents_it_has_not_seen(docs_of):
+    rows = katz_rows(120)
+    plain = PlainKatz([katz_tokens(t) for _, t in rows[:100]], 3)
+    model = katz.learn(docs_of([(i, t, "en") for i, t in rows[:100]]), F.lit(True))
+    others = [*rows[90:], (5000, "w1 w2 w3 unheard of w1 w2"), (5001, "w0")]
+    same_scores(model.score(docs_of([(i, t, "en") for i, t in others])), others, plain)
+    same_scores(model.score(docs_of([])), [], plain)
+
+
+def test_katz_splits_frequent_histories(docs_of, monkeypatch):
+    """Many buckets, and a word and a pair that most tokens follow: their sums come from several buckets."""
+    monkeypatch.setattr(katz.batches, "n_buckets", lambda table, batches: 64)
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"the very {rng.choice('abcdefghij')}{rng.randint(0, 9)}" for _ in range(rng.randint(1, 30)))) for i in range(80)]
+    plain = PlainKatz([katz_tokens(t) for i, t in rows if learned(i)], 3)
+    docs = docs_of([(i, t, "en") for i, t in rows])
+    same_scores(katz.train_and_score(docs, ~in_fold("doc_id", 1), in_fold("doc_id", 1)), rows, plain)
+
+
 def test_katz_counts_pairs_of_rare_histories(docs_of):
     lessons = [f"rare{i} tail{i % 3}" for i in range(30)]
     texts = [*lessons, "rare1 tail1", "rare1 tail2"]
     docs = docs_of([(i, t, "en") for i, t in enumerate(texts)])
     train = F.col("doc_id") < len(lessons)
-    _, model, _, _ = katz.learn(docs, train, ~train)
+    model = katz.learn(docs, train)
     split = [[*t.split(), None] for t in lessons]
     times = Counter(Counter(p for x in split for p in zip([None, *x], x)).values())
-    assert model.pair_counts == [times[r] for r in range(1, katz.K + 2)]
+    assert model.counts[0] == [times[r] for r in range(1, katz.K + 2)]
     scores = {r.doc_id: r.score for r in katz.train_and_score(docs, train, ~train).collect()}
     assert scores[30] > scores[31] + 0.1  # both tails are as frequent, but only the first was seen after rare1
 

@@ -1,14 +1,18 @@
-"""A bigram language model with Katz backoff over words.
+"""An n-gram language model with Katz backoff over words, of order ``ORDER`` unless told otherwise.
 
-Counts of words and of word pairs over all training texts are discounted by Good-Turing estimates for counts up to
-``K``; the mass this frees goes to what was not seen: for words to one unknown word, for a history to the words that
-never followed it, in proportion to their own probability, so that each distribution sums to one. A token is scored
-by its pair if that was seen, else by the history's backoff weight times the score of the shorter history. Pairs of all
-histories are counted, however rare; only a history that was never learned backs off wholly (weight one).
+Counts of words and of word sequences over all training texts are discounted by Good-Turing estimates for counts up to
+``K``, order by order; the mass this frees goes to what was not seen: for words to one unknown word, for a history to
+the words that never followed it, in proportion to their score after the shorter history, so that each distribution sums
+to one. A token is scored by its longest history if the sequence was seen, else by that history's backoff weight times
+the score after the shorter one, and so on down to the single word. Sequences of all histories are counted, however
+rare; only a history that was never learned backs off wholly (weight one). A history does not reach over the start of
+a text.
 
 Texts are packed in batches (see ``batches``). Each batch asks for the counts of its distinct words, then of its
-distinct pairs; buckets add up what all batches hold, keep the counts as tables partitioned by bucket, and answer.
-Pairs of a frequent history are dealt over several buckets and their sums added up.
+distinct sequences, a round for each order; buckets add up what all batches hold, keep the counts as tables, and
+answer. A table's row has the form of a question, so ``KatzModel.score`` lets the tables ask along with the batches of
+any other documents, and those are scored without training. Sequences of a frequent history are dealt over several
+buckets and their sums added up.
 
 Defined cases: null counts as the empty text, whose only token is the end. Rows that may not be learned from, such as
 those of null key, are scored all the same. If nothing was learned, every token is the unknown word, of probability
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +38,8 @@ from .common import BLANK, U64, flat, mix, prepare, word_hashes
 
 #: Counts above this are not discounted.
 K = 5
-#: Training occurrences from which a history has pairs: one, so that none is left out.
-MIN_HISTORY = 1
+#: Words of the longest sequence that is counted.
+ORDER = 3
 #: Histories of more than a bucket's share of tokens are split; no more shares than this are told apart.
 MOST_SHARES = 25_000
 END = U64(0x454E44454E44454E)  # stands for the end of a text among word hashes
@@ -56,6 +61,11 @@ def discounts(n: list[int]) -> np.ndarray:
     return d
 
 
+def kept(count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Counts after discounting."""
+    return np.where(count <= K, d[np.minimum(count, K)], 1.0) * count
+
+
 @dataclass
 class Words:
     """The distribution of single words, by count."""
@@ -73,15 +83,14 @@ class Words:
             self.scale = (1 - self.missing) / (1 - freed)
 
     def probability(self, count: np.ndarray) -> np.ndarray:
-        kept = self.d[np.minimum(count, K)] * (count <= K) + (count > K)
-        return np.where(count > 0, self.scale * kept * count / max(self.tokens, 1), self.missing)
+        return np.where(count > 0, self.scale * kept(count, self.d) / max(self.tokens, 1), self.missing)
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
 
 def backoff(seen: np.ndarray, total: np.ndarray, covered: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Factor of seen pairs' shares, and weight of the rest, for histories: ``seen`` are their pairs of count 1..K."""
+    """Factor of seen shares, and weight of the rest, for histories: ``seen`` are their sequences of count 1..K."""
     r = np.arange(1, K + 1)
     total = np.maximum(total, 1).astype(float)
     freed = ((1 - d[1:]) * r * seen).sum(axis=1) / total
@@ -122,118 +131,168 @@ class Batch:
         self.ids[order] = local * U64(n) + np.repeat(present, [len(unpack_array(a["a"], "<u4")) for a in answers]).astype(U64)
         self.count[order] = np.concatenate([unpack_array(a["b"], "<u8") for a in answers]).astype(np.int64)
 
-    def set_pairs(self, n: int, words: Words, texts: int) -> None:
-        """Distinct pairs whose history was learned, and which of them each token is (-1: none)."""
-        history = np.empty(len(self.word), np.int64)
-        history[1:] = self.word[:-1]
-        start = len(self.words)  # one more history
-        history[self.begins] = start
-        seen = np.append(self.count, texts)
-        self.history_ids = np.append(self.ids, U64(START))
-        asked = seen[history] >= MIN_HISTORY
-        asked[self.begins] = texts > 0
-        self.asked, known = asked, asked & (self.count[self.word] > 0)
-        key = history[known].astype(U64) << U64(32) | self.word[known].astype(U64)
-        self.pairs, pair = np.unique(key, return_inverse=True)
-        self.pair = np.full(len(self.word), -1)
-        self.pair[known] = pair
-        self.pair_counts = np.bincount(pair[self.learned[known]], minlength=len(self.pairs))
-        self.pair_history = (self.pairs >> U64(32)).astype(np.int64)
-        self.pair_word = (self.pairs & U64(0xFFFFFFFF)).astype(np.int64)
-        self.histories, self.history = np.unique(history[asked], return_inverse=True)
-        shares = np.maximum(1, -(-seen * min(n, MOST_SHARES) * 4 // max(words.tokens, 1)))
-        self.split = shares > 1  # by history
-        h, w = self.history_ids[self.pair_history], self.ids[self.pair_word]
-        share = mix(w + U64(1)) % shares[self.pair_history].astype(U64)
-        self.pair_bucket = (mix(h + mix(share)) % U64(n)).astype(np.int64)
-        # histories that aren't split are asked about even if none of their pairs are
-        self.whole = self.histories[~self.split[self.histories]]
-        self.whole_bucket = (mix(self.history_ids[self.whole] + mix(np.zeros(len(self.whole), U64))) % U64(n)).astype(np.int64)
+
+class Grams:
+    """The sequences of one order in a batch: ``key`` names each token's history, which training saw ``seen`` times.
+
+    ``lower`` are the counts of the tokens' sequences without their first word.
+    """
+
+    def __init__(self, batch: Batch, key: np.ndarray, seen: np.ndarray, lower: np.ndarray, n: int, tokens: int):
+        self.batch, self.key = batch, key
+        self.asked = seen > 0
+        known = self.asked & (lower > 0)
+        self.histories, self.first, self.history = np.unique(key[self.asked], return_index=True, return_inverse=True)
+        history = np.zeros(len(key), np.int64)
+        history[self.asked] = self.history
+        pairs, first, pair = np.unique(history[known].astype(U64) << U64(32) | batch.word[known].astype(U64), return_index=True, return_inverse=True)
+        self.gram = np.full(len(key), -1)
+        self.gram[known] = pair
+        self.own = np.bincount(pair[batch.learned[known]], minlength=len(pairs))
+        self.lower = lower[known][first]
+        self.head, self.tail = (pairs >> U64(32)).astype(np.int64), batch.ids[(pairs & U64(0xFFFFFFFF)).astype(np.int64)]
+        shares = np.maximum(1, -(-seen[self.asked][self.first] * min(n, MOST_SHARES) * 4 // max(tokens, 1)))
+        self.split = shares > 1
+        share = mix(self.tail + U64(1)) % shares[self.head].astype(U64)
+        bucket = (mix(self.histories[self.head] + mix(share)) % U64(n)).astype(np.int64)
+        # histories that aren't split are asked about even if none of their sequences are
+        whole = np.flatnonzero(~self.split)
+        whole_bucket = (mix(self.histories[whole] + mix(np.zeros(len(whole), U64))) % U64(n)).astype(np.int64)
+        order = np.lexsort((self.tail, self.head, bucket))
+        present, begins = np.unique(bucket[order], return_index=True)
+        layout = {b: [order[i:j], whole[:0]] for b, i, j in zip(present.tolist(), begins, np.append(begins[1:], len(order)))}
+        at, present, bounds = batches.by_bucket(whole_bucket, n)
+        for b, i, j in zip(present.tolist(), bounds, bounds[1:]):
+            layout.setdefault(b, [order[:0], None])[1] = whole[at[i:j]]
+        #: For each bucket its sequences, in order of history, and the histories asked about.
+        self.layout = [(b, grams, np.unique(np.concatenate([self.head[grams], whole]))) for b, (grams, whole) in sorted(layout.items())]
+
+    def questions(self, number: int) -> pa.RecordBatch:
+        rows = []
+        for bucket, grams, heads in self.layout:
+            runs = np.bincount(np.searchsorted(heads, self.head[grams]), minlength=len(heads))
+            rows.append((number, bucket, *gram_columns(self.histories[heads], self.split[heads], runs, self.tail[grams], self.own[grams], self.lower[grams])))
+        return questions(rows)
+
+    def take(self, answers: list[dict]) -> None:
+        """Counts of the sequences, and what the backoff of each history needs, from the buckets' answers."""
+        self.count, self.sums = np.zeros(len(self.head), np.int64), np.zeros((len(self.histories), K + 2))
+        by = {t["bucket"]: t for t in answers}
+        for bucket, grams, heads in self.layout:
+            self.count[grams] = unpack_array(by[bucket]["a"], "<u8")
+            heads = heads[~self.split[heads]]
+            self.sums[heads, : K + 1] = unpack_array(by[bucket]["b"], "<u8").reshape(-1, K + 1)
+            self.sums[heads, K + 1] = unpack_array(by[bucket]["c"], "<f8")
+
+    def counts(self) -> np.ndarray:
+        """How often training held the sequence that ends at each token."""
+        return np.where(self.gram >= 0, np.append(self.count, 0)[self.gram], 0)
+
+    def longer(self, n: int, tokens: int) -> Grams:
+        """The sequences of one word more."""
+        batch, counts = self.batch, self.counts()
+        key, seen = np.zeros(len(self.key), U64), np.zeros(len(self.key), np.int64)
+        key[1:] = mix(self.key[:-1] + mix(batch.ids[batch.word[:-1]] + U64(1))) & U64(START >> 1)
+        seen[1:] = counts[:-1]
+        seen[batch.begins] = 0  # no history reaches over the start
+        return Grams(batch, key, seen, counts, n, tokens)
+
+
+def pairs_of(batch: Batch, n: int, words: Words, texts: int) -> Grams:
+    key, seen = np.empty(len(batch.word), U64), np.empty(len(batch.word), np.int64)
+    key[1:], seen[1:] = batch.ids[batch.word[:-1]], batch.count[batch.word[:-1]]
+    key[batch.begins], seen[batch.begins] = U64(START >> 1), texts
+    return Grams(batch, key, seen, batch.count[batch.word], n, words.tokens)
 
 
 QUESTION = "batch long, bucket int, a binary, b binary, c binary, d binary"
-ANSWER = "batch long, bucket int, a binary, b binary, c binary, s array<long>"
-ANSWER_SCHEMA = pa.schema(
-    [("batch", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("s", pa.list_(pa.int64()))]
-)
-#: In place of a batch: a bucket's table of counts, and its shares of split histories.
+ANSWER = QUESTION + ", s array<long>"
+ANSWER_SCHEMA = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in "abcd"), ("s", pa.list_(pa.int64()))])
+#: In place of a batch: a bucket's table of counts, which has the form of a question, and its shares of split histories.
 TABLE, SHARES = -1, -2
 
 
+def gram_columns(histories, split, runs, tails, counts, lower) -> tuple[bytes, ...]:
+    """Sequences as columns of a question: histories, marked if split, and their runs of last words with both counts."""
+    numbers = np.concatenate([counts, lower]).astype("<u8")
+    return pack_array(histories << U64(1) | split.astype(U64)), pack_array(runs.astype("<u4")), pack_array(tails.astype("<u8")), pack_array(numbers)
+
+
+def counts_of_counts(total: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()
+
+
 def add_words(group: pa.Table) -> pa.Table:
     """One bucket: counts of its words over all batches; an answer for each batch, and the table."""
     asked = group.to_pylist()
     bucket = asked[0]["bucket"]
     words = [unpack_array(q["a"], "<u8") for q in asked]
-    counts = np.concatenate([unpack_array(q["b"], "<u4") for q in asked])
+    counts = np.concatenate([unpack_array(q["b"], "<u8") for q in asked])
     found, at = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(at, counts, len(found)).astype(np.int64)
+    seen = total > 0
+    number = np.maximum(np.cumsum(seen) - 1, 0)  # words that weren't learned need none
     rows, done = [], 0
     for q, mine in zip(asked, words):
         local = at[done : done + len(mine)]
         done += len(mine)
-        rows.append({"batch": q["batch"], "bucket": bucket, "a": pack_array(local.astype("<u4")), "b": pack_array(total[local].astype("<u8"))})
-    seen = total > 0
+        if q["batch"] != TABLE:
+            rows.append({"batch": q["batch"], "bucket": bucket, "a": pack_array(number[local].astype("<u4")), "b": pack_array(total[local].astype("<u8"))})
     rows.append(
         {
             "batch": TABLE, "bucket": bucket, "a": pack_array(found[seen].astype("<u8")), "b": pack_array(total[seen].astype("<u8")),
-            "s": [int(total.sum()), int(seen.sum()), *np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()],
+            "s": [int(total.sum()), int(seen.sum()), *counts_of_counts(total)],
         }
     )
     return pa.Table.from_pylist(rows, ANSWER_SCHEMA)
 
 
-def add_pairs(words: Words):
+def add_grams(d: np.ndarray):
+    """``d`` are the discounts of one order less."""
+
     def run(group: pa.Table) -> pa.Table:
-        """One bucket: counts of its pairs over all batches, and what each history's backoff weight needs."""
+        """One bucket: counts of its sequences over all batches, and what each history's backoff weight needs."""
         asked = group.to_pylist()
         bucket = asked[0]["bucket"]
-        heads = [unpack_array(q["a"], "<u8") for q in asked]
-        runs = [unpack_array(q["b"], "<u4") for q in asked]
+        marked = [unpack_array(q["a"], "<u8") for q in asked]
+        runs = np.concatenate([unpack_array(q["b"], "<u4") for q in asked])
         tails = [unpack_array(q["c"], "<u8") for q in asked]
-        numbers = [unpack_array(q["d"], "<u8") for q in asked]  # counts in the batch, then counts of the word
-        whole = np.concatenate([h & U64(1) for h in heads]) == 0
-        heads = [h >> U64(1) for h in heads]
-        history, head = np.unique(np.concatenate(heads), return_inverse=True)
+        numbers = [unpack_array(q["d"], "<u8") for q in asked]
+        history, first, head = np.unique(np.concatenate(marked), return_index=True, return_inverse=True)
+        split = history & U64(1) == 1
         tail_ids, tail = np.unique(np.concatenate(tails), return_inverse=True)
-        pair_head = np.repeat(head, np.concatenate(runs))
-        pairs, first, at = np.unique(pair_head.astype(U64) << U64(32) | tail.astype(U64), return_index=True, return_inverse=True)
-        counts = np.concatenate([x[: len(x) // 2] for x in numbers])
-        total = np.bincount(at, counts.astype(float), len(pairs)).astype(np.int64)
-        of_word = np.concatenate([x[len(x) // 2 :] for x in numbers])[first].astype(np.int64)
-        h = (pairs >> U64(32)).astype(np.int64)
-        seen = total > 0
+        grams, first, at = np.unique(np.repeat(head, runs).astype(U64) << U64(32) | tail.astype(U64), return_index=True, return_inverse=True)
+        total = np.bincount(at, np.concatenate([x[: len(x) // 2] for x in numbers]).astype(float), len(grams)).astype(np.int64)
+        lower = np.concatenate([x[len(x) // 2 :] for x in numbers])[first].astype(np.int64)
+        h, seen = (grams >> U64(32)).astype(np.int64), total > 0
         sums = np.zeros((len(history), K + 2))
         for r in range(1, K + 1):
             sums[:, r - 1] = np.bincount(h[total == r], minlength=len(history))
         sums[:, K] = np.bincount(h, total, len(history))
-        sums[:, K + 1] = np.bincount(h[seen], words.probability(of_word[seen]), len(history))
-        is_whole = np.zeros(len(history), bool)
-        is_whole[head[whole]] = True
+        sums[:, K + 1] = np.bincount(h[seen], kept(lower[seen], d), len(history))
         rows, done, done_heads = [], 0, 0
-        for q, mine, own in zip(asked, tails, heads):
-            reply = total[at[done : done + len(mine)]]
-            told = sums[head[done_heads : done_heads + len(own)]]
-            told = told[is_whole[head[done_heads : done_heads + len(own)]]]
+        for q, mine, own in zip(asked, tails, marked):
+            reply, heads = total[at[done : done + len(mine)]], head[done_heads : done_heads + len(own)]
+            told = sums[heads[~split[heads]]]
             done, done_heads = done + len(mine), done_heads + len(own)
-            rows.append(
-                {
-                    "batch": q["batch"], "bucket": bucket, "a": pack_array(reply.astype("<u8")),
-                    "b": pack_array(told[:, : K + 1].astype("<u8").ravel()), "c": pack_array(told[:, K + 1].astype("<f8")),
-                }
-            )
-        rows.append(
-            {
-                "batch": TABLE, "bucket": bucket, "a": pack_array(history[h[seen]]), "b": pack_array(tail_ids[(pairs & U64(0xFFFFFFFF)).astype(np.int64)][seen]),
-                "c": pack_array(total[seen].astype("<u8")),
-                "s": np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist(),
-            }
+            if q["batch"] != TABLE:
+                rows.append(
+                    {
+                        "batch": q["batch"], "bucket": bucket, "a": pack_array(reply.astype("<u8")),
+                        "b": pack_array(told[:, : K + 1].astype("<u8").ravel()), "c": pack_array(told[:, K + 1].astype("<f8")),
+                    }
+                )
+        of = np.bincount(h[seen], minlength=len(history))
+        has = of > 0
+        a, b, c, numbers = gram_columns(
+            history[has] >> U64(1), split[has], of[has], tail_ids[(grams[seen] & U64(0xFFFFFFFF)).astype(np.int64)], total[seen], lower[seen]
         )
-        part = ~is_whole
+        rows.append({"batch": TABLE, "bucket": bucket, "a": a, "b": b, "c": c, "d": numbers, "s": counts_of_counts(total)})
+        part = sums[split]
         rows.append(
             {
-                "batch": SHARES, "bucket": bucket, "a": pack_array(history[part].astype("<u8")),
-                "b": pack_array(sums[part][:, : K + 1].astype("<u8").ravel()), "c": pack_array(sums[part][:, K + 1].astype("<f8")),
+                "batch": SHARES, "bucket": bucket, "a": pack_array((history[split] >> U64(1)).astype("<u8")),
+                "b": pack_array(part[:, : K + 1].astype("<u8").ravel()), "c": pack_array(part[:, K + 1].astype("<f8")),
             }
         )
         return pa.Table.from_pylist(rows, ANSWER_SCHEMA)
@@ -248,149 +307,148 @@ def sums_of(answers: DataFrame, n: int) -> list[int]:
 
 def questions(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [[]] * 6
-    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in QUESTION.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ANSWER_SCHEMA)], names=ANSWER_SCHEMA.names[:6])
+
+
+def shares_of(table: DataFrame) -> dict[int, np.ndarray]:
+    """Sums of the split histories, each frequent enough that their number is bounded."""
+    shares: dict[int, np.ndarray] = {}
+    for row in table.filter(F.col("batch") == SHARES).select("a", "b", "c").toLocalIterator():
+        whole = unpack_array(row["b"], "<u8").reshape(-1, K + 1).astype(float)
+        for h, sums in zip(unpack_array(row["a"], "<u8").tolist(), np.column_stack([whole, unpack_array(row["c"], "<f8")])):
+            shares[h] = shares.get(h, 0) + sums
+    return shares
 
 
 @dataclass
 class KatzModel:
-    """Tables of counts: ``words`` and ``pairs`` hold one row for each bucket, besides the answers to batches."""
+    """Tables of counts, a row for each bucket: of words, then of sequences of two words and more.
+
+    ``counts`` are the counts of counts of each order from two on, ``n`` is the number of buckets.
+    """
 
-    tokens: int
     words: Words
-    word_table: DataFrame
-    pair_table: DataFrame
-    pair_counts: list[int]
+    texts: int
+    n: int
+    tables: list[DataFrame]
+    counts: list[list[int]]
+
+    def score(self, docs: DataFrame, held_out: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """What ``train_and_score`` returns, for documents that the model need not have seen."""
+        marked = mark(docs, F.lit(False), F.lit(True) if held_out is None else held_out, key, text)
+        return _run(marked, len(self.tables), self, key, text)[1]
 
 
-def train_and_score(docs: DataFrame, train: Column, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mark(docs: DataFrame, train: Column, held_out: Column, key: str, text: str) -> DataFrame:
+    prepare(docs.sparkSession)
+    return docs.select(key, text, F.coalesce(train, F.lit(False)).alias("train"), held_out.alias("held_out"))
+
+
+def train_and_score(docs: DataFrame, train: Column, held_out: Column, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """``key``, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs``.
 
     The model learns from the rows where ``train``.
     """
-    return score(*learn(docs, train, held_out, key, text), key, text)
+    return _run(mark(docs, train, held_out, key, text), order, None, key, text)[1]
+
 
+def learn(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = ORDER) -> KatzModel:
+    """The model of the rows where ``train``."""
+    return _run(mark(docs.filter(train), F.lit(True), F.lit(False), key, text), order, None, key, text)[0]
 
-def learn(docs: DataFrame, train: Column, held_out: Column, key: str = "doc_id", text: str = "text"):
-    spark = prepare(docs.sparkSession)
-    marked = docs.select(key, text, F.coalesce(train, F.lit(False)).alias("train"), held_out.alias("held_out"))
+
+def _run(marked: DataFrame, order: int, known: KatzModel | None, key: str, text: str) -> tuple[KatzModel, DataFrame]:
+    """The model of the rows marked ``train`` and the scores of all; ``known`` is a model that is used as it is."""
+    if order < 1:
+        raise ValueError("order counts the words of the longest sequence, from one on")
     packed, n_batches = batches.pack(marked, [key, "train", "held_out", text], text)
-    n = batches.n_buckets(packed, n_batches)
+    n = known.n if known else batches.n_buckets(packed, n_batches)
 
     def ask_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for row in part.to_pylist():
                 batch = Batch(row["blob"], key, text)
                 order, present, bounds = batch.word_questions(n)
-                words, counts = batch.words[order], batch.counts[order].astype("<u4")
+                words, counts = batch.words[order], batch.counts[order].astype("<u8")
                 yield questions(
                     [(row["batch"], b, pack_array(words[i:j]), pack_array(counts[i:j]), b"", b"")
                      for b, i, j in zip(present.tolist(), bounds, bounds[1:])]
                 )
 
-    word_table = store(packed.mapInArrow(ask_words, QUESTION).groupBy("bucket").applyInArrow(add_words, ANSWER), "word-counts").table
-    tokens, types, *counts = sums_of(word_table, K + 3)
-    words = Words(tokens, types, counts)
-    texts = marked.filter("train").count()
-    answers = word_table.filter(F.col("batch") >= 0).select("batch", "bucket", "a", "b")
+    def add(asked: DataFrame, adder, name: str, level: int) -> DataFrame:
+        if known:
+            asked = asked.unionByName(known.tables[level].filter(F.col("batch") == TABLE).select(*asked.columns))
+        return store(asked.groupBy("bucket").applyInArrow(adder, ANSWER), name).table
 
-    def ask_pairs(rows: pa.Table, told: pa.Table) -> pa.Table:
-        out = []
-        for row in rows.to_pylist():
-            batch = Batch(row["blob"], key, text)
-            batch.set_words(told.to_pylist(), n)
-            batch.set_pairs(n, words, texts)
-            out.append(pair_questions(batch, row["batch"], n))
-        return pa.Table.from_batches(out, questions([]).schema)
-
-    asked = packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(ask_pairs, QUESTION)
-    pair_table = store(asked.groupBy("bucket").applyInArrow(add_pairs(words), ANSWER), "pair-counts").table
-    model = KatzModel(tokens, words, word_table, pair_table, sums_of(pair_table, K + 1))
-    return packed, model, n, texts
-
-
-def pair_layout(batch: Batch, n: int) -> list[tuple]:
-    """For each bucket: its whole histories, and its pairs in order of history."""
-    order = np.lexsort((batch.pair_word, batch.pair_history, batch.pair_bucket))
-    out = {}
-    present, begins = np.unique(batch.pair_bucket[order], return_index=True)
-    for b, i, j in zip(present.tolist(), begins, np.append(begins[1:], len(order))):
-        out[b] = [order[i:j], np.zeros(0, np.int64)]
-    at, present, bounds = batches.by_bucket(batch.whole_bucket, n)
-    for b, i, j in zip(present.tolist(), bounds, bounds[1:]):
-        out.setdefault(b, [np.zeros(0, np.int64), None])[1] = batch.whole[at[i:j]]
-    return [(b, *out[b]) for b in sorted(out)]
-
-
-def pair_questions(batch: Batch, number: int, n: int) -> pa.RecordBatch:
-    rows = []
-    for bucket, pairs, whole in pair_layout(batch, n):
-        heads = np.unique(np.concatenate([batch.pair_history[pairs], whole]))  # indices, in the order of the pairs
-        runs = np.bincount(np.searchsorted(heads, batch.pair_history[pairs]), minlength=len(heads))
-        marked = batch.history_ids[heads] << U64(1) | batch.split[heads].astype(U64)
-        numbers = np.concatenate([batch.pair_counts[pairs], batch.count[batch.pair_word[pairs]]]).astype("<u8")
-        rows.append(
-            (number, bucket, pack_array(marked), pack_array(runs.astype("<u4")), pack_array(batch.ids[batch.pair_word[pairs]]), pack_array(numbers))
-        )
-    return questions(rows)
-
-
-def score(packed: DataFrame, model: KatzModel, n: int, texts: int, key: str, text: str) -> DataFrame:
-    spark = packed.sparkSession
-    words, d = model.words, discounts(model.pair_counts)
-    shares: dict[int, np.ndarray] = {}
-    for row in model.pair_table.filter(F.col("batch") == SHARES).select("a", "b", "c").toLocalIterator():
-        whole = unpack_array(row["b"], "<u8").reshape(-1, K + 1).astype(float)
-        for h, sums in zip(unpack_array(row["a"], "<u8").tolist(), np.column_stack([whole, unpack_array(row["c"], "<f8")])):
-            shares[h] = shares.get(h, 0) + sums
-    split = spark.sparkContext.broadcast(shares)  # MOST_SHARES * 4 histories at most
-    answers = model.word_table.filter(F.col("batch") >= 0).select("batch", "bucket", "a", "b", "c", F.lit(True).alias("word")).unionByName(
-        model.pair_table.filter(F.col("batch") >= 0).select("batch", "bucket", "a", "b", "c", F.lit(False).alias("word"))
-    )
-
-    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        out = []
-        told = told.to_pylist()
+    tables = [add(packed.mapInArrow(ask_words, QUESTION), add_words, "word-counts", 0)]
+    tokens, types, *counts = sums_of(tables[0], K + 3)
+    words = Words(tokens, types, counts)
+    texts = known.texts if known else marked.filter("train").count()
+
+    def levels(row: dict, told: list[dict], upto: int, answered: int) -> tuple[Batch, list[Grams]]:
+        """The batch, and its sequences of orders from two to ``upto``, with the answers to those up to ``answered``."""
+        batch, grams = Batch(row["blob"], key, text), []
+        batch.set_words([t for t in told if t["level"] == 0], n)
+        for level in range(1, upto):
+            grams.append(grams[-1].longer(n, tokens) if grams else pairs_of(batch, n, words, texts))
+            if level < answered:
+                grams[-1].take([t for t in told if t["level"] == level])
+        return batch, grams
+
+    def ask_grams(upto: int):
+        def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+            told = told.to_pylist()
+            out = [levels(row, told, upto, upto - 1)[1][-1].questions(row["batch"]) for row in rows.to_pylist()]
+            return pa.Table.from_batches(out, questions([]).schema)
+
+        return run
+
+    def answers() -> DataFrame:
+        each = [t.filter(F.col("batch") >= 0).select("batch", "bucket", "a", "b", "c", F.lit(i).alias("level")) for i, t in enumerate(tables)]
+        return reduce(DataFrame.unionByName, each)
+
+    lower, of_order = words.d, []
+    for upto in range(2, order + 1):
+        asked = packed.groupBy("batch").cogroup(answers().groupBy("batch")).applyInArrow(ask_grams(upto), QUESTION)
+        tables.append(add(asked, add_grams(lower), "gram-counts", upto - 1))
+        of_order.append(sums_of(tables[-1], K + 1))
+        lower = discounts(of_order[-1])
+    model = KatzModel(words, texts, n, known.tables if known else tables, of_order)
+
+    kept_of = [discounts(c) for c in of_order]
+    split = packed.sparkSession.sparkContext.broadcast([shares_of(t) for t in tables[1:]])  # 4 * MOST_SHARES histories an order
+
+    def score(rows: pa.Table, told: pa.Table) -> pa.Table:
+        out, told = [], told.to_pylist()
         for row in rows.to_pylist():
-            batch = Batch(row["blob"], key, text)
-            batch.set_words([t for t in told if t["word"]], n)
-            batch.set_pairs(n, words, texts)
-            count, sums = np.zeros(len(batch.pairs), np.int64), np.zeros((len(batch.history_ids), K + 2))
-            by = {t["bucket"]: t for t in told if not t["word"]}
-            for bucket, pairs, whole in pair_layout(batch, n):
-                t = by[bucket]
-                count[pairs] = unpack_array(t["a"], "<u8")
-                heads = np.unique(np.concatenate([batch.pair_history[pairs], whole]))
-                heads = heads[~batch.split[heads]]
-                sums[heads, : K + 1] = unpack_array(t["b"], "<u8").reshape(-1, K + 1)
-                sums[heads, K + 1] = unpack_array(t["c"], "<f8")
-            for h in batch.histories[batch.split[batch.histories]].tolist():
-                sums[h] = split.value.get(int(batch.history_ids[h]) & ((1 << 63) - 1), sums[h])
-            scale, weight = backoff(sums[:, :K], sums[:, K], sums[:, K + 1], d)
+            batch, grams = levels(row, told, order, order)
             of_word = batch.count[batch.word]
-            logs = np.log10(words.probability(of_word))  # the shortest history
-            h = batch.histories[batch.history]
-            logs[batch.asked] += np.log10(weight[h])
-            pair = batch.pair[batch.asked]
-            r = np.where(pair >= 0, count[pair] if len(count) else 0, 0)
-            kept = d[np.minimum(r, K)] * (r <= K) + (r > K)
-            direct = np.log10(np.maximum(scale[h] * kept * r / np.maximum(sums[h, K], 1), 1e-300))
-            logs[batch.asked] = np.where(r > 0, direct, logs[batch.asked])
+            logs = np.log10(words.probability(of_word))  # after no history
+            factor = np.full(len(logs), words.scale / max(words.tokens, 1))  # probability for each count kept
+            for level, d, shares in zip(grams, kept_of, split.value):
+                for h in np.flatnonzero(level.split).tolist():
+                    level.sums[h] = shares.get(int(level.histories[h]), level.sums[h])
+                h, asked, total = level.history, level.asked, np.maximum(level.sums[:, K], 1)
+                scale, weight = backoff(level.sums[:, :K], total, level.sums[:, K + 1] * factor[asked][level.first], d)
+                r = level.counts()[asked]
+                factor[asked] = (scale / total)[h]
+                direct = np.log10(np.maximum(factor[asked] * kept(r, d), 1e-300))
+                logs[asked] = np.where(r > 0, direct, logs[asked] + np.log10(weight[h]))
             total = lambda x: np.add.reduceat(x, batch.begins)  # noqa: B023, E731
             out.append(
                 pa.table(
                     {
                         key: batch.keys, "held_out": batch.held, "n_tokens": batch.sizes.astype(np.int64),
-                        "n_known": total((of_word > 0).astype(np.int64)), "train_tokens": np.full(len(batch.sizes), model_tokens),
+                        "n_known": total((of_word > 0).astype(np.int64)), "train_tokens": np.full(len(batch.sizes), train_tokens),
                         "base_score": total(words.base(of_word)), "score": total(logs),
                     }
                 )
             )
         return pa.concat_tables(out) if out else empty
 
-    model_tokens, kind = int(model.tokens), pa.int64()
+    train_tokens, kind = int(tokens), pa.int64()
     empty = pa.schema(
         [(key, kind), ("held_out", pa.bool_()), ("n_tokens", kind), ("n_known", kind), ("train_tokens", kind), ("base_score", pa.float64()), ("score", pa.float64())]
     ).empty_table()
     schema = f"{key} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)
+    return model, packed.groupBy("batch").cogroup(answers().groupBy("batch")).applyInArrow(score, schema)
