@@ -43,7 +43,7 @@ ORDER = 3
 #: Histories of more than a bucket's share of tokens are split; no more shares than this are told apart.
 MOST_SHARES = 25_000
 END = U64(0x454E44454E44454E)  # stands for the end of a text among word hashes
-START = (1 << 64) - 1  # the history of a first token
+START = U64(1 << 62)  # the number of a first token's history
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -133,13 +133,14 @@ class Batch:
 
 
 class Grams:
-    """The sequences of one order in a batch: ``key`` names each token's history, which training saw ``seen`` times.
+    """The sequences of one order in a batch: ``key`` numbers each token's history, which training saw ``seen`` times.
 
-    ``lower`` are the counts of the tokens' sequences without their first word.
+    ``lower`` are the counts of the tokens' sequences without their first word. A history's number holds the bucket
+    that numbered it, and there its sequences go; those of a frequent history go to other buckets as well.
     """
 
     def __init__(self, batch: Batch, key: np.ndarray, seen: np.ndarray, lower: np.ndarray, n: int, tokens: int):
-        self.batch, self.key = batch, key
+        self.batch, self.n = batch, n
         self.asked = seen > 0
         known = self.asked & (lower > 0)
         self.histories, self.first, self.history = np.unique(key[self.asked], return_index=True, return_inverse=True)
@@ -152,12 +153,12 @@ class Grams:
         self.lower = lower[known][first]
         self.head, self.tail = (pairs >> U64(32)).astype(np.int64), batch.ids[(pairs & U64(0xFFFFFFFF)).astype(np.int64)]
         shares = np.maximum(1, -(-seen[self.asked][self.first] * min(n, MOST_SHARES) * 4 // max(tokens, 1)))
-        self.split = shares > 1
+        self.split, self.seen = shares > 1, seen[self.asked][self.first]
         share = mix(self.tail + U64(1)) % shares[self.head].astype(U64)
-        bucket = (mix(self.histories[self.head] + mix(share)) % U64(n)).astype(np.int64)
+        bucket = ((self.histories[self.head] + mix(share)) % U64(n)).astype(np.int64)
         # histories that aren't split are asked about even if none of their sequences are
         whole = np.flatnonzero(~self.split)
-        whole_bucket = (mix(self.histories[whole] + mix(np.zeros(len(whole), U64))) % U64(n)).astype(np.int64)
+        whole_bucket = (self.histories[whole] % U64(n)).astype(np.int64)
         order = np.lexsort((self.tail, self.head, bucket))
         present, begins = np.unique(bucket[order], return_index=True)
         layout = {b: [order[i:j], whole[:0]] for b, i, j in zip(present.tolist(), begins, np.append(begins[1:], len(order)))}
@@ -171,18 +172,20 @@ class Grams:
         rows = []
         for bucket, grams, heads in self.layout:
             runs = np.bincount(np.searchsorted(heads, self.head[grams]), minlength=len(heads))
-            rows.append((number, bucket, *gram_columns(self.histories[heads], self.split[heads], runs, self.tail[grams], self.own[grams], self.lower[grams])))
+            rows.append((number, bucket, *gram_columns(self.histories[heads], self.split[heads], runs, self.tail[grams], self.own[grams], self.lower[grams], self.n)))
         return questions(rows)
 
     def take(self, answers: list[dict]) -> None:
-        """Counts of the sequences, and what the backoff of each history needs, from the buckets' answers."""
-        self.count, self.sums = np.zeros(len(self.head), np.int64), np.zeros((len(self.histories), K + 2))
+        """Counts and numbers of the sequences, and what the backoff of each history needs, from the buckets' answers."""
+        self.count, self.sums = np.zeros(len(self.head), np.int64), np.zeros((len(self.histories), K + 1))
+        self.number = np.zeros(len(self.head), U64)
         by = {t["bucket"]: t for t in answers}
         for bucket, grams, heads in self.layout:
             self.count[grams] = unpack_array(by[bucket]["a"], "<u8")
             heads = heads[~self.split[heads]]
-            self.sums[heads, : K + 1] = unpack_array(by[bucket]["b"], "<u8").reshape(-1, K + 1)
-            self.sums[heads, K + 1] = unpack_array(by[bucket]["c"], "<f8")
+            self.sums[heads, :K] = unpack_array(by[bucket]["b"], "<u8").reshape(K, -1).T
+            self.sums[heads, K] = unpack_array(by[bucket]["c"], "<f8")
+            self.number[grams] = np.cumsum(unpack_array(by[bucket]["d"], "<u8")) * U64(self.n) + U64(bucket)
 
     def counts(self) -> np.ndarray:
         """How often training held the sequence that ends at each token."""
@@ -191,9 +194,8 @@ class Grams:
     def longer(self, n: int, tokens: int) -> Grams:
         """The sequences of one word more."""
         batch, counts = self.batch, self.counts()
-        key, seen = np.zeros(len(self.key), U64), np.zeros(len(self.key), np.int64)
-        key[1:] = mix(self.key[:-1] + mix(batch.ids[batch.word[:-1]] + U64(1))) & U64(START >> 1)
-        seen[1:] = counts[:-1]
+        key, seen = np.zeros(len(counts), U64), np.zeros(len(counts), np.int64)
+        key[1:], seen[1:] = np.append(self.number, U64(0))[self.gram[:-1]], counts[:-1]
         seen[batch.begins] = 0  # no history reaches over the start
         return Grams(batch, key, seen, counts, n, tokens)
 
@@ -201,7 +203,7 @@ class Grams:
 def pairs_of(batch: Batch, n: int, words: Words, texts: int) -> Grams:
     key, seen = np.empty(len(batch.word), U64), np.empty(len(batch.word), np.int64)
     key[1:], seen[1:] = batch.ids[batch.word[:-1]], batch.count[batch.word[:-1]]
-    key[batch.begins], seen[batch.begins] = U64(START >> 1), texts
+    key[batch.begins], seen[batch.begins] = START, texts
     return Grams(batch, key, seen, batch.count[batch.word], n, words.tokens)
 
 
@@ -212,10 +214,17 @@ ANSWER_SCHEMA = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), *((c,
 TABLE, SHARES = -1, -2
 
 
-def gram_columns(histories, split, runs, tails, counts, lower) -> tuple[bytes, ...]:
-    """Sequences as columns of a question: histories, marked if split, and their runs of last words with both counts."""
+def gram_columns(histories, split, runs, tails, counts, lower, n: int) -> tuple[bytes, ...]:
+    """Sequences as columns of a question: rising histories, marked if split, and their runs of last words with both counts."""
+    heads = np.concatenate([np.diff(histories // U64(n), prepend=U64(0)), histories % U64(n) << U64(1) | split.astype(U64)])
     numbers = np.concatenate([counts, lower]).astype("<u8")
-    return pack_array(histories << U64(1) | split.astype(U64)), pack_array(runs.astype("<u4")), pack_array(tails.astype("<u8")), pack_array(numbers)
+    return pack_array(heads), pack_array(runs.astype("<u4")), pack_array(tails.astype("<u8")), pack_array(numbers)
+
+
+def unpack_heads(packed: bytes, n: int) -> np.ndarray:
+    """Histories of a question, as twice their number and one more if split."""
+    steps, rest = unpack_array(packed, "<u8").reshape(2, -1)
+    return (np.cumsum(steps) * U64(n) + (rest >> U64(1))) << U64(1) | rest & U64(1)
 
 
 def counts_of_counts(total: np.ndarray) -> list[int]:
@@ -247,14 +256,14 @@ def add_words(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(rows, ANSWER_SCHEMA)
 
 
-def add_grams(d: np.ndarray):
-    """``d`` are the discounts of one order less."""
+def add_grams(d: np.ndarray, n: int):
+    """``d`` are the discounts of one order less, ``n`` is the number of buckets."""
 
     def run(group: pa.Table) -> pa.Table:
         """One bucket: counts of its sequences over all batches, and what each history's backoff weight needs."""
         asked = group.to_pylist()
         bucket = asked[0]["bucket"]
-        marked = [unpack_array(q["a"], "<u8") for q in asked]
+        marked = [unpack_heads(q["a"], n) for q in asked]
         runs = np.concatenate([unpack_array(q["b"], "<u4") for q in asked])
         tails = [unpack_array(q["c"], "<u8") for q in asked]
         numbers = [unpack_array(q["d"], "<u8") for q in asked]
@@ -265,34 +274,35 @@ def add_grams(d: np.ndarray):
         total = np.bincount(at, np.concatenate([x[: len(x) // 2] for x in numbers]).astype(float), len(grams)).astype(np.int64)
         lower = np.concatenate([x[len(x) // 2 :] for x in numbers])[first].astype(np.int64)
         h, seen = (grams >> U64(32)).astype(np.int64), total > 0
-        sums = np.zeros((len(history), K + 2))
+        number = np.maximum(np.cumsum(seen) - 1, 0)  # as with words
+        sums = np.zeros((len(history), K + 1))
         for r in range(1, K + 1):
             sums[:, r - 1] = np.bincount(h[total == r], minlength=len(history))
-        sums[:, K] = np.bincount(h, total, len(history))
-        sums[:, K + 1] = np.bincount(h[seen], kept(lower[seen], d), len(history))
+        sums[:, K] = np.bincount(h[seen], kept(lower[seen], d), len(history))
         rows, done, done_heads = [], 0, 0
         for q, mine, own in zip(asked, tails, marked):
-            reply, heads = total[at[done : done + len(mine)]], head[done_heads : done_heads + len(own)]
+            reply, heads = at[done : done + len(mine)], head[done_heads : done_heads + len(own)]
             told = sums[heads[~split[heads]]]
             done, done_heads = done + len(mine), done_heads + len(own)
             if q["batch"] != TABLE:
                 rows.append(
                     {
-                        "batch": q["batch"], "bucket": bucket, "a": pack_array(reply.astype("<u8")),
-                        "b": pack_array(told[:, : K + 1].astype("<u8").ravel()), "c": pack_array(told[:, K + 1].astype("<f8")),
+                        "batch": q["batch"], "bucket": bucket, "a": pack_array(total[reply].astype("<u8")),
+                        "b": pack_array(told[:, :K].T.astype("<u8").ravel()), "c": pack_array(told[:, K].astype("<f8")),
+                        "d": pack_array(np.diff(number[reply], prepend=0).astype("<u8")),
                     }
                 )
         of = np.bincount(h[seen], minlength=len(history))
         has = of > 0
         a, b, c, numbers = gram_columns(
-            history[has] >> U64(1), split[has], of[has], tail_ids[(grams[seen] & U64(0xFFFFFFFF)).astype(np.int64)], total[seen], lower[seen]
+            history[has] >> U64(1), split[has], of[has], tail_ids[(grams[seen] & U64(0xFFFFFFFF)).astype(np.int64)], total[seen], lower[seen], n
         )
         rows.append({"batch": TABLE, "bucket": bucket, "a": a, "b": b, "c": c, "d": numbers, "s": counts_of_counts(total)})
         part = sums[split]
         rows.append(
             {
                 "batch": SHARES, "bucket": bucket, "a": pack_array((history[split] >> U64(1)).astype("<u8")),
-                "b": pack_array(part[:, : K + 1].astype("<u8").ravel()), "c": pack_array(part[:, K + 1].astype("<f8")),
+                "b": pack_array(part[:, :K].T.astype("<u8").ravel()), "c": pack_array(part[:, K].astype("<f8")),
             }
         )
         return pa.Table.from_pylist(rows, ANSWER_SCHEMA)
@@ -314,7 +324,7 @@ def shares_of(table: DataFrame) -> dict[int, np.ndarray]:
     """Sums of the split histories, each frequent enough that their number is bounded."""
     shares: dict[int, np.ndarray] = {}
     for row in table.filter(F.col("batch") == SHARES).select("a", "b", "c").toLocalIterator():
-        whole = unpack_array(row["b"], "<u8").reshape(-1, K + 1).astype(float)
+        whole = unpack_array(row["b"], "<u8").reshape(K, -1).T.astype(float)
         for h, sums in zip(unpack_array(row["a"], "<u8").tolist(), np.column_stack([whole, unpack_array(row["c"], "<f8")])):
             shares[h] = shares.get(h, 0) + sums
     return shares
@@ -404,13 +414,13 @@ def _run(marked: DataFrame, order: int, known: KatzModel | None, key: str, text:
         return run
 
     def answers() -> DataFrame:
-        each = [t.filter(F.col("batch") >= 0).select("batch", "bucket", "a", "b", "c", F.lit(i).alias("level")) for i, t in enumerate(tables)]
+        each = [t.filter(F.col("batch") >= 0).select("batch", "bucket", "a", "b", "c", "d", F.lit(i).alias("level")) for i, t in enumerate(tables)]
         return reduce(DataFrame.unionByName, each)
 
     lower, of_order = words.d, []
     for upto in range(2, order + 1):
         asked = packed.groupBy("batch").cogroup(answers().groupBy("batch")).applyInArrow(ask_grams(upto), QUESTION)
-        tables.append(add(asked, add_grams(lower), "gram-counts", upto - 1))
+        tables.append(add(asked, add_grams(lower, n), "gram-counts", upto - 1))
         of_order.append(sums_of(tables[-1], K + 1))
         lower = discounts(of_order[-1])
     model = KatzModel(words, texts, n, known.tables if known else tables, of_order)
@@ -428,10 +438,10 @@ def _run(marked: DataFrame, order: int, known: KatzModel | None, key: str, text:
             for level, d, shares in zip(grams, kept_of, split.value):
                 for h in np.flatnonzero(level.split).tolist():
                     level.sums[h] = shares.get(int(level.histories[h]), level.sums[h])
-                h, asked, total = level.history, level.asked, np.maximum(level.sums[:, K], 1)
-                scale, weight = backoff(level.sums[:, :K], total, level.sums[:, K + 1] * factor[asked][level.first], d)
+                h, asked = level.history, level.asked
+                scale, weight = backoff(level.sums[:, :K], level.seen, level.sums[:, K] * factor[asked][level.first], d)
                 r = level.counts()[asked]
-                factor[asked] = (scale / total)[h]
+                factor[asked] = (scale / level.seen)[h]
                 direct = np.log10(np.maximum(factor[asked] * kept(r, d), 1e-300))
                 logs[asked] = np.where(r > 0, direct, logs[asked] + np.log10(weight[h]))
             total = lambda x: np.add.reduceat(x, batch.begins)  # noqa: B023, E731
