@@ -130,6 +130,10 @@ class Batch:
         local = np.concatenate([unpack_array(a["a"], "<u4") for a in answers]).astype(U64)
         self.ids[order] = local * U64(n) + np.repeat(present, [len(unpack_array(a["a"], "<u4")) for a in answers]).astype(U64)
         self.count[order] = np.concatenate([unpack_array(a["b"], "<u8") for a in answers]).astype(np.int64)
+        rise = np.argsort(self.ids, kind="stable")  # words in order of their numbers
+        place = np.empty(len(rise), np.int64)
+        place[rise] = np.arange(len(rise))
+        self.word, self.ids, self.count = place[self.word], self.ids[rise], self.count[rise]
 
 
 class Grams:
@@ -155,13 +159,13 @@ class Grams:
         shares = np.maximum(1, -(-seen[self.asked][self.first] * min(n, MOST_SHARES) * 4 // max(tokens, 1)))
         self.split, self.seen = shares > 1, seen[self.asked][self.first]
         share = mix(self.tail + U64(1)) % shares[self.head].astype(U64)
-        bucket = ((self.histories[self.head] + mix(share)) % U64(n)).astype(np.int64)
+        short = np.uint16 if n <= 1 << 16 else np.int64  # which numpy sorts by radix
+        bucket = ((self.histories[self.head] + mix(share)) % U64(n)).astype(short)
         # histories that aren't split are asked about even if none of their sequences are
         whole = np.flatnonzero(~self.split)
-        whole_bucket = (self.histories[whole] % U64(n)).astype(np.int64)
-        order = np.lexsort((self.tail, self.head, bucket))
-        present, begins = np.unique(bucket[order], return_index=True)
-        layout = {b: [order[i:j], whole[:0]] for b, i, j in zip(present.tolist(), begins, np.append(begins[1:], len(order)))}
+        whole_bucket = (self.histories[whole] % U64(n)).astype(short)
+        order, present, bounds = batches.by_bucket(bucket, n)  # inside a bucket by history, then by last word
+        layout = {b: [order[i:j], whole[:0]] for b, i, j in zip(present.tolist(), bounds, bounds[1:])}
         at, present, bounds = batches.by_bucket(whole_bucket, n)
         for b, i, j in zip(present.tolist(), bounds, bounds[1:]):
             layout.setdefault(b, [order[:0], None])[1] = whole[at[i:j]]
@@ -182,10 +186,12 @@ class Grams:
         by = {t["bucket"]: t for t in answers}
         for bucket, grams, heads in self.layout:
             self.count[grams] = unpack_array(by[bucket]["a"], "<u8")
-            heads = heads[~self.split[heads]]
-            self.sums[heads, :K] = unpack_array(by[bucket]["b"], "<u8").reshape(K, -1).T
-            self.sums[heads, K] = unpack_array(by[bucket]["c"], "<f8")
-            self.number[grams] = np.cumsum(unpack_array(by[bucket]["d"], "<u8")) * U64(self.n) + U64(bucket)
+            if by[bucket]["b"] is not None:
+                heads = heads[~self.split[heads]]
+                self.sums[heads, :K] = unpack_array(by[bucket]["b"], "<u8").reshape(K, -1).T
+                self.sums[heads, K] = unpack_few(by[bucket]["c"])
+            if by[bucket]["d"] is not None:
+                self.number[grams] = np.cumsum(unpack_array(by[bucket]["d"], "<u8")) * U64(self.n) + U64(bucket)
 
     def counts(self) -> np.ndarray:
         """How often training held the sequence that ends at each token."""
@@ -227,6 +233,18 @@ def unpack_heads(packed: bytes, n: int) -> np.ndarray:
     return (np.cumsum(steps) * U64(n) + (rest >> U64(1))) << U64(1) | rest & U64(1)
 
 
+def pack_few(x: np.ndarray) -> bytes:
+    """Numbers of which many are equal, as their distinct values and which of these each is."""
+    values, at = np.unique(x, return_inverse=True)
+    size = len(values).to_bytes(4, "little")
+    return size + values.astype("<f8").tobytes() + pack_array(at.astype("<u4"))
+
+
+def unpack_few(packed: bytes) -> np.ndarray:
+    end = 4 + 8 * int.from_bytes(packed[:4], "little")
+    return np.frombuffer(packed[4:end], "<f8")[unpack_array(packed[end:], "<u4")]
+
+
 def counts_of_counts(total: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()
 
@@ -256,8 +274,8 @@ def add_words(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(rows, ANSWER_SCHEMA)
 
 
-def add_grams(d: np.ndarray, n: int):
-    """``d`` are the discounts of one order less, ``n`` is the number of buckets."""
+def add_grams(d: np.ndarray, n: int, numbered: bool):
+    """``d`` are the discounts of one order less, ``n`` is the number of buckets; numbers are for longer sequences."""
 
     def run(group: pa.Table) -> pa.Table:
         """One bucket: counts of its sequences over all batches, and what each history's backoff weight needs."""
@@ -288,8 +306,8 @@ def add_grams(d: np.ndarray, n: int):
                 rows.append(
                     {
                         "batch": q["batch"], "bucket": bucket, "a": pack_array(total[reply].astype("<u8")),
-                        "b": pack_array(told[:, :K].T.astype("<u8").ravel()), "c": pack_array(told[:, K].astype("<f8")),
-                        "d": pack_array(np.diff(number[reply], prepend=0).astype("<u8")),
+                        "b": pack_array(told[:, :K].T.astype("<u8").ravel()), "c": pack_few(told[:, K]),
+                        "d": pack_array(np.diff(number[reply], prepend=0).astype("<u8")) if numbered else None,
                     }
                 )
         of = np.bincount(h[seen], minlength=len(history))
@@ -302,7 +320,7 @@ def add_grams(d: np.ndarray, n: int):
         rows.append(
             {
                 "batch": SHARES, "bucket": bucket, "a": pack_array((history[split] >> U64(1)).astype("<u8")),
-                "b": pack_array(part[:, :K].T.astype("<u8").ravel()), "c": pack_array(part[:, K].astype("<f8")),
+                "b": pack_array(part[:, :K].T.astype("<u8").ravel()), "c": pack_few(part[:, K]),
             }
         )
         return pa.Table.from_pylist(rows, ANSWER_SCHEMA)
@@ -325,7 +343,7 @@ def shares_of(table: DataFrame) -> dict[int, np.ndarray]:
     shares: dict[int, np.ndarray] = {}
     for row in table.filter(F.col("batch") == SHARES).select("a", "b", "c").toLocalIterator():
         whole = unpack_array(row["b"], "<u8").reshape(K, -1).T.astype(float)
-        for h, sums in zip(unpack_array(row["a"], "<u8").tolist(), np.column_stack([whole, unpack_array(row["c"], "<f8")])):
+        for h, sums in zip(unpack_array(row["a"], "<u8").tolist(), np.column_stack([whole, unpack_few(row["c"])])):
             shares[h] = shares.get(h, 0) + sums
     return shares
 
@@ -413,14 +431,20 @@ def _run(marked: DataFrame, order: int, known: KatzModel | None, key: str, text:
 
         return run
 
-    def answers() -> DataFrame:
-        each = [t.filter(F.col("batch") >= 0).select("batch", "bucket", "a", "b", "c", "d", F.lit(i).alias("level")) for i, t in enumerate(tables)]
+    def answers(*sums: str) -> DataFrame:
+        """Words' answers whole, and those of sequences with the columns ``sums`` if asked for."""
+        each = [
+            t.filter(F.col("batch") >= 0).select(
+                "batch", "bucket", "a", *(c if i == 0 or c in sums else F.lit(None).cast("binary").alias(c) for c in "bc"), "d", F.lit(i).alias("level")
+            )
+            for i, t in enumerate(tables)
+        ]
         return reduce(DataFrame.unionByName, each)
 
     lower, of_order = words.d, []
     for upto in range(2, order + 1):
         asked = packed.groupBy("batch").cogroup(answers().groupBy("batch")).applyInArrow(ask_grams(upto), QUESTION)
-        tables.append(add(asked, add_grams(lower, n), "gram-counts", upto - 1))
+        tables.append(add(asked, add_grams(lower, n, upto < order), "gram-counts", upto - 1))
         of_order.append(sums_of(tables[-1], K + 1))
         lower = discounts(of_order[-1])
     model = KatzModel(words, texts, n, known.tables if known else tables, of_order)
@@ -461,4 +485,4 @@ def _run(marked: DataFrame, order: int, known: KatzModel | None, key: str, text:
         [(key, kind), ("held_out", pa.bool_()), ("n_tokens", kind), ("n_known", kind), ("train_tokens", kind), ("base_score", pa.float64()), ("score", pa.float64())]
     ).empty_table()
     schema = f"{key} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return model, packed.groupBy("batch").cogroup(answers().groupBy("batch")).applyInArrow(score, schema)
+    return model, packed.groupBy("batch").cogroup(answers("b", "c").groupBy("batch")).applyInArrow(score, schema)
