@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from wireloom.plans import catalog
 from wireloom.schema import FLOW
 from wireloom.sources import files
 from wireloom.sources.order_flows import order_flows
@@ -34,6 +35,34 @@ def test_line_numbers_across_blocks(spark, tmp_path):
     assert headers == {(n, i) for n, text in lines.items() for i, line in enumerate(text, 1) if line.startswith("StartTime,")}
 
 
+def test_line_numbers_across_parts(spark, tmp_path):
+    """Parts of a folder follow each other by number, also beyond five digits; folders are apart."""
+    parts = {"a/part-00001-x.txt": "1\n2", "a/part-99999-x.txt": "3\nStartTime,", "a/part-100000-x.txt": "5\n6", "b/part-00000-x.txt": "1\nStartTime,\n3"}
+    for name, text in parts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    found = files.numbered_lines(spark, f"{tmp_path}/*", in_parts=True).collect()
+    assert {(r.file[-1], r.line, r.value) for r in found} == {
+        *(("a", i, "StartTime," if i == 4 else str(i)) for i in range(1, 7)), *(("b", i, "StartTime," if i == 2 else str(i)) for i in range(1, 4)),
+    }
+    assert {(r.file[-1], r.line) for r in files.header_lines(spark, f"{tmp_path}/*", in_parts=True).collect()} == {("a", 4), ("b", 2)}
+
+
+def test_no_task_writes_all_lines_of_a_sensor(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "scratch_path", lambda session, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {(r.SensorId, r.line) for r in catalog.queries()["header_line_numbers"](spark, folder).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    own = [p.parent.name for p in (tmp_path / "lines").glob("*/part-*")]
+    assert all(own.count(f"own_SensorId={k}") >= 2 for k in (1, 2, 3)) and len(own) >= 8
+    ports = {}
+    for r in order_flows(spark, folder).select("SensorId", "Sport").collect():
+        ports.setdefault(r.SensorId, []).append(r.Sport)
+    assert found == {(k, i) for k, ps in ports.items() for i, p in enumerate(sorted(ps), 1) if p % 50 == 0}
+
+
 COLUMNS = {
     "whole": (["1", "-20", "+3", None], "BIGINT", 0), "large": (["1", "99999999999999999999", "2"], "DOUBLE", 0),
     "mixed": (["1", "2.5", "1e3", "nan", "-.5"], "DOUBLE", 0), "words": (["a", "1", "2"], "VARCHAR", 1),

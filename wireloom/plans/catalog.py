@@ -114,16 +114,20 @@ def header_lines(spark, folder):
 
 @query
 def header_line_numbers(spark, folder):
-    """Where the header lines stand in three files, one for each sensor, whose lines are ordered by source port."""
+    """Where the header lines stand in three texts, one for each sensor, whose lines are ordered by source port.
+
+    A sensor's text is a folder of parts that follow each other: ranges of lines, so that no task writes a whole sensor.
+    """
     path = scratch_path(spark, "lines")
     cells = [F.coalesce(F.col(c), F.lit("")) for c in FLOW.names]
     lines = raw_text(spark, folder, ["SensorId", "Sport"]).select(
         "own_SensorId", "own_Sport", F.concat_ws(",", *cells).alias("value")
     )
-    ordered = lines.repartition("own_SensorId").sortWithinPartitions("own_SensorId", "own_Sport", "value")
+    order = ["own_SensorId", "own_Sport", "value"]
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.select("value", "own_SensorId").write.partitionBy("own_SensorId").text(path)
     sensor = F.regexp_extract("file", "own_SensorId=([0-9]+)", 1).cast("bigint").alias("SensorId")
-    return files.header_lines(spark, path).select(sensor, "line")
+    return files.header_lines(spark, path, in_parts=True).select(sensor, "line")
 
 
 @query

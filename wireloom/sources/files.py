@@ -113,30 +113,34 @@ def clean_report(raw: DataFrame, key: str = "StartTime") -> DataFrame:
     return raw.agg(F.count_if(~repeated).alias("kept"), F.count_if(repeated).alias("removed"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, in_parts: bool = False) -> DataFrame:
     """Every line of the text files with its ``file`` and its number in it, ``line``, from 1.
 
+    With ``in_parts`` a folder stands for one file, which Spark wrote in parts: they follow each other by their numbers.
+
     Lines are counted for each block that the scan splits a file into; the lines of earlier blocks are added to the place
     inside the block. Only blocks are ordered, one row each, and no line is shuffled. Both passes read one listing of the
     files and split them alike.
     """
+    text = F.regexp_replace("file", "/[^/]*$", "") if in_parts else F.col("file")
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("_at"),
     )
     counted = lines.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("_at").alias("_first"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    order = [F.length("file"), F.col("file"), F.col("block")]  # part numbers of over five digits make longer names
+    earlier = Window.partitionBy(text).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     blocks = store(
         counted.select("file", "block", "_first", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("_before"), "lines"), "blocks"
     )
     placed = attach(lines, blocks, ["file", "block"], "lines", how="inner")
     number = F.col("_before") + F.col("_at") - F.col("_first") + 1
-    return placed.select("file", number.alias("line"), "value")
+    return placed.select(text.alias("file"), number.alias("line"), "value")
 
 
-def header_lines(spark: SparkSession, path: str, key: str = "StartTime") -> DataFrame:
+def header_lines(spark: SparkSession, path: str, key: str = "StartTime", in_parts: bool = False) -> DataFrame:
     """Lines that look like the header, with the file they are in and their number there."""
-    return numbered_lines(spark, path).filter(F.col("value").startswith(f"{key},"))
+    return numbered_lines(spark, path, in_parts).filter(F.col("value").startswith(f"{key},"))
 
 
 def count_header_lines(spark: SparkSession, path: str, key: str = "StartTime") -> DataFrame:
