@@ -63,6 +63,14 @@ def test_no_task_writes_all_lines_of_a_sensor(spark, folder, tmp_path, monkeypat
     assert found == {(k, i) for k, ps in ports.items() for i, p in enumerate(sorted(ps), 1) if p % 50 == 0}
 
 
+def test_kinds_of_many_columns_are_compiled(spark):
+    wide = spark.range(50).select(*[F.col("id").cast("string").alias(f"c{i}") for i in range(60)])
+    counted = files.kind_counts(wide)
+    assert {(r.place, r.n, r.BIGINT) for r in counted.collect()} == {(i, 50, 50) for i in range(60)}
+    final = counted._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert all("*(" in line for line in final.splitlines() if "HashAggregate" in line or "Generate" in line)
+
+
 COLUMNS = {
     "whole": (["1", "-20", "+3", None], "BIGINT", 0), "large": (["1", "99999999999999999999", "2"], "DOUBLE", 0),
     "mixed": (["1", "2.5", "1e3", "nan", "-.5"], "DOUBLE", 0), "words": (["a", "1", "2"], "VARCHAR", 1),

@@ -160,29 +160,45 @@ KINDS = {
 }
 
 
+def kind_counts(texts: DataFrame) -> DataFrame:
+    """For each column, by its place: its texts, its nulls, and how many texts are of each kind.
+
+    A cell is a row here, so that the expressions are the same few for all columns, however many there are: Spark compiles
+    these, and doesn't compile an aggregate of over a hundred sums. Patterns that others include are tried after those.
+    """
+    text, long = F.col("text"), F.octet_length("text")
+    fits = {k: text.rlike(pattern) for k, (pattern, _) in KINDS.items()}
+    cells = texts.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in texts.columns])).alias("place", "text")).select(
+        "place", "text", fits["DOUBLE"].alias("number"), (long.between(10, 29) & fits["TIMESTAMP"]).alias("moment")
+    )
+    of = {
+        "BOOLEAN": long.between(4, 5) & fits["BOOLEAN"],
+        "BIGINT": F.col("number") & fits["BIGINT"],
+        "DOUBLE": F.col("number"),  # the pattern says it all
+        "DATE": F.col("moment") & (long == 10),
+        "TIMESTAMP": F.col("moment"),
+    }
+    converts = {k: text.try_cast(KINDS[k][1]).isNotNull() for k in ("BIGINT", "DATE", "TIMESTAMP")}
+    sums = [F.count_if(test & converts[k] if k in converts else test).alias(k) for k, test in of.items()]
+    return cells.groupBy("place").agg(F.count("text").alias("n"), F.count_if(text.isNull()).alias("none"), *sums)
+
+
 def type_report(texts: DataFrame) -> DataFrame:
-    """For each text column its narrowest type, from one aggregate over all columns.
+    """For each text column its narrowest type, from one aggregate over all cells.
 
     A column has a type if all its values do; dates are timestamps as well, and whole numbers are doubles. Columns without
     values, and those whose values agree on nothing, are text. ``values`` and ``nulls`` are counted, and ``conflicts``: the
     values that keep the column from the type that most of them have.
     """
-    sums = []
-    for i, name in enumerate(texts.columns):
-        text = F.col(f"`{name}`")
-        sums += [F.count(text).alias(f"n_{i}"), F.count_if(text.isNull()).alias(f"null_{i}")]
-        for kind, (pattern, target) in KINDS.items():
-            converts = F.lit(True) if kind == "BOOLEAN" else text.try_cast(target).isNotNull()
-            if kind == "DOUBLE":
-                converts = F.lit(True)  # the pattern says it all
-            sums.append(F.count_if(text.rlike(pattern) & converts).alias(f"{kind}_{i}"))
-    counts = texts.agg(*sums).first()
+    counts = {r["place"]: r.asDict() for r in kind_counts(texts).collect()}  # a row for each column
+    nothing = dict.fromkeys(["n", "none", *KINDS], 0)
     rows = []
     for i, name in enumerate(texts.columns):
-        n, fitting = counts[f"n_{i}"], {k: counts[f"{k}_{i}"] for k in KINDS}
+        found = counts.get(i, nothing)
+        n, fitting = found["n"], {k: found[k] for k in KINDS}
         kind = next((k for k in KINDS if n and fitting[k] == n), "VARCHAR")
         most = max(fitting.values())
-        rows.append((name, kind, n, counts[f"null_{i}"], 0 if kind != "VARCHAR" else (n - most) * (most > 0)))
+        rows.append((name, kind, n, found["none"], 0 if kind != "VARCHAR" else (n - most) * (most > 0)))
     schema = "`Column` string, `Type` string, `values` bigint, nulls bigint, conflicts bigint"
     return texts.sparkSession.createDataFrame(rows, schema)
 
