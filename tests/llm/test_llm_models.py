@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wireloom.llm import katz, language_mix, toxicity
+from wireloom.llm.common import distinct
 from wireloom.llm.folds import in_fold
 
 EN = "the of and that with from this have which was his they are were been would their there what about".split()
@@ -211,6 +212,32 @@ def test_katz_counts_pairs_of_rare_histories(docs_of):
     assert scores[30] > scores[31] + 0.1  # both tails are as frequent, but only the first was seen after rare1
 
 
+def test_katz_stores_what_scoring_needs(docs_of, monkeypatch):
+    """No table of sequences unless a model is asked for, sums only for histories that need them, and no texts."""
+    made, packs = [], []
+    store, pack = katz.store, katz.batches.pack
+    monkeypatch.setattr(katz, "store", lambda frame, name, **how: made.append((store(frame, name, **how), how)) or made[-1][0])
+    monkeypatch.setattr(katz.batches, "pack", lambda *given: packs.append(pack(*given)) or packs[-1])
+    docs = docs_of([(i, "one two three four " * 5 + f"own{i} end", "en") for i in range(30)])
+    assert katz.train_and_score(docs, F.lit(True), F.lit(False)).count() == 30
+    assert len(made) == 3 and all(how == {"tidy": True} for _, how in made)
+    for table, _ in made[1:]:
+        rows = table.table.collect()
+        assert all(r[c] is None for r in rows if r["batch"] == katz.TABLE for c in "abcd")
+        covered = [katz.unpack_few(r["c"]) for r in rows if r["batch"] >= 0]
+        assert covered and not sum(map(len, covered))  # all was learned, so nothing backs off
+    assert b"three" not in b"".join(katz.batches.expand(r.blob[8 : 8 + int.from_bytes(r.blob[:8], "little")]) for r in packs[0][0].collect())
+
+
+def test_distinct():
+    rng = np.random.default_rng(1)
+    for top in (1, 5, 1 << 20, 1 << 45, (1 << 64) - 1):
+        for n in (0, 1, 1000):
+            x = rng.integers(0, top, n, np.uint64, endpoint=True)
+            for got, want in zip(distinct(x), np.unique(x, return_index=True, return_inverse=True), strict=True):
+                assert (got == want).all()
+
+
 def worth(likely, shares):
     """Log-likelihood of one text less the price of the languages it has a share of."""
     words = likely.shape[1]

@@ -9,7 +9,7 @@ which a third of all texts hold reaches its bucket once for each batch.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +53,22 @@ def unpack_array(packed: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype)
 
 
-def pack(docs: DataFrame, columns: list[str], text: str = "text") -> tuple[DataFrame, int]:
-    """A table of batches (batch, blob) with ``columns`` of all rows, and about how many there are."""
+def whole(held: list[pa.RecordBatch]) -> bytes:
+    """The rows of a batch as they are, for ``unpack``."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, held[0].schema) as out:
+        for part in held:
+            out.write_batch(part)
+    return compress(sink.getvalue().to_pybytes(), 3)
+
+
+def pack(
+    docs: DataFrame, columns: list[str], text: str = "text", encode: Callable[[list[pa.RecordBatch]], bytes] = whole
+) -> tuple[DataFrame, int]:
+    """A table of batches (batch, blob) with ``columns`` of all rows, and about how many there are.
+
+    ``encode`` makes a blob of a batch's rows, which come in runs of about a megabyte.
+    """
     spark = docs.sparkSession
     size = text_bytes(docs, text)
     limit = min(max(SMALLEST, size // (2 * shuffle_partitions(spark))), LARGEST)
@@ -66,13 +80,8 @@ def pack(docs: DataFrame, columns: list[str], text: str = "text") -> tuple[DataF
         bytes_held = rows_held = 0
 
         def emit() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema) as out:
-                for part in held:
-                    out.write_batch(part)
             return pa.RecordBatch.from_arrays(
-                [pa.array([first + seen], pa.int64()), pa.array([compress(sink.getvalue().to_pybytes(), 3)], pa.binary())],
-                names=["batch", "blob"],
+                [pa.array([first + seen], pa.int64()), pa.array([encode(held)], pa.binary())], names=["batch", "blob"]
             )
 
         for part in slices(rows, text, SMALLEST):
@@ -130,5 +139,6 @@ def n_buckets(table: DataFrame, batches: int) -> int:
 def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order that groups entries by bucket, the buckets that have any, and their bounds in it."""
     order = np.argsort(bucket, kind="stable")
-    present, begins = np.unique(bucket[order], return_index=True)
-    return order, present, np.append(begins, len(order))
+    rising = bucket[order]
+    begins = np.flatnonzero(np.append(True, rising[1:] != rising[:-1])[: len(rising)])
+    return order, rising[begins], np.append(begins, len(order))

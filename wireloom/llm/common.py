@@ -45,6 +45,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct unsigned values, the first place of each, and which of them each entry is, as ``np.unique`` gives them.
+
+    Values that leave room for their places are sorted together with these, which numpy does several times as fast.
+    """
+    bits = len(x).bit_length()
+    if not len(x) or int(x.max()).bit_length() + bits > 64:
+        return np.unique(x, return_index=True, return_inverse=True)
+    rising = np.sort(x << U64(bits) | np.arange(len(x), dtype=U64))
+    order = (rising & U64((1 << bits) - 1)).astype(np.int64)
+    rising >>= U64(bits)
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = rising[1:] != rising[:-1]
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    return rising[fresh], order[fresh], which
+
+
 #: A random 64-bit value for each byte.
 BYTE_VALUES = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))
 

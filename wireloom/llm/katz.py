@@ -8,7 +8,7 @@ the score after the shorter one, and so on down to the single word. Sequences of
 rare; only a history that was never learned backs off wholly (weight one). A history does not reach over the start of
 a text.
 
-Texts are packed in batches (see ``batches``). Each batch asks for the counts of its distinct words, then of its
+Texts are packed in batches (see ``batches``), as distinct words and numbers of these. Each batch asks for the counts of its distinct words, then of its
 distinct sequences, a round for each order; buckets add up what all batches hold, keep the counts as tables, and
 answer. A table's row has the form of a question, so ``KatzModel.score`` lets the tables ask along with the batches of
 any other documents, and those are scored without training. Sequences of a frequent history are dealt over several
@@ -34,7 +34,7 @@ from wireloom.session import store
 
 from . import batches
 from .batches import pack_array, unpack_array
-from .common import BLANK, U64, flat, mix, prepare, word_hashes
+from .common import BLANK, U64, distinct, flat, mix, prepare, word_hashes
 
 #: Counts above this are not discounted.
 K = 5
@@ -98,24 +98,41 @@ def backoff(seen: np.ndarray, total: np.ndarray, covered: np.ndarray, d: np.ndar
     return (1 - missing) / (1 - freed), missing / np.maximum(1 - covered, 1e-12)
 
 
-class Batch:
-    """The tokens of one packed batch."""
-
-    def __init__(self, blob: bytes, key: str, text: str):
-        keys, held, train, tokens, sizes = [], [], [], [], []
-        for part in batches.unpack(blob):
+def encode(key: str, text: str):
+    def run(held: list[pa.RecordBatch]) -> bytes:
+        """A batch without its texts: its rows, the hashes of its words, frequent ones first, and each token's word."""
+        tokens, sizes = [], []
+        for part in held:
             hashes, firsts = word_hashes(*flat(part.column(text)), BLANK)
             tokens.append(np.insert(hashes, firsts[1:], END))
             sizes.append(np.diff(firsts) + 1)
-            keys.append(part.column(key))
-            held.append(part.column("held_out"))
-            train.append(part.column("train").to_numpy(zero_copy_only=False))
-        self.keys, self.held = pa.chunked_array(keys), pa.chunked_array(held)
-        self.sizes, self.train = np.concatenate(sizes), np.concatenate(train).astype(bool)
-        tokens = np.concatenate(tokens)
+        coded = pa.array(np.concatenate(tokens)).dictionary_encode()
+        words, word = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        order = np.argsort(-np.bincount(word), kind="stable")
+        place = np.empty(len(order), "<u4")
+        place[order] = np.arange(len(order))
+        rows = pa.Table.from_batches(held).select([key, "held_out", "train"]).append_column("n_tokens", pa.array(np.concatenate(sizes)))
+        parts = [batches.whole(rows.to_batches()), pack_array(words[order].astype("<u8")), pack_array(place[word])]
+        return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+    return run
+
+
+class Batch:
+    """The tokens of one packed batch."""
+
+    def __init__(self, blob: bytes, key: str):
+        parts, at = [], 0
+        while at < len(blob):
+            end = at + 8 + int.from_bytes(blob[at : at + 8], "little")
+            parts.append(blob[at + 8 : end])
+            at = end
+        rows = pa.Table.from_batches(batches.unpack(parts[0]))
+        self.keys, self.held = rows.column(key), rows.column("held_out")
+        self.sizes, self.train = rows.column("n_tokens").to_numpy(), rows.column("train").to_numpy().astype(bool)
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.learned = np.repeat(self.train, self.sizes)
-        self.words, self.word = np.unique(tokens, return_inverse=True)
+        self.words, self.word = unpack_array(parts[1], "<u8"), unpack_array(parts[2], "<u4")
         self.counts = np.bincount(self.word[self.learned], minlength=len(self.words))
 
     def word_questions(self, n: int):
@@ -137,59 +154,89 @@ class Batch:
 
 
 class Grams:
-    """The sequences of one order in a batch: ``key`` numbers each token's history, which training saw ``seen`` times.
+    """The sequences of one order in a batch: each token's history is one of ``numbers``, training saw it ``seen`` times.
 
-    ``lower`` are the counts of the tokens' sequences without their first word. A history's number holds the bucket
+    ``numbers`` tell histories apart, ``at`` is the place of each token's. ``asked`` are the tokens whose history was
+    learned, ``lower`` are the counts of the tokens' sequences without their first word. A history's number holds the bucket
     that numbered it, and there its sequences go; those of a frequent history go to other buckets as well.
     """
 
-    def __init__(self, batch: Batch, key: np.ndarray, seen: np.ndarray, lower: np.ndarray, n: int, tokens: int):
-        self.batch, self.n = batch, n
-        self.asked = seen > 0
-        known = self.asked & (lower > 0)
-        self.histories, self.first, self.history = np.unique(key[self.asked], return_index=True, return_inverse=True)
-        history = np.zeros(len(key), np.int64)
-        history[self.asked] = self.history
-        pairs, first, pair = np.unique(history[known].astype(U64) << U64(32) | batch.word[known].astype(U64), return_index=True, return_inverse=True)
-        self.gram = np.full(len(key), -1)
+    def __init__(self, batch: Batch, numbers: np.ndarray, seen: np.ndarray, at: np.ndarray, asked: np.ndarray, lower: np.ndarray, n: int, tokens: int):
+        self.batch, self.n, self.asked = batch, n, asked
+        known = asked & (lower > 0)
+        used = np.zeros(len(numbers), bool)
+        used[at[asked]] = True
+        used = np.flatnonzero(used)
+        self.histories, rise, _ = distinct(numbers[used])
+        used = used[rise]
+        place = np.empty(len(numbers), np.int64)
+        place[used] = np.arange(len(used))
+        history = place[at]  # of no use where not asked
+        self.history = history[asked]
+        self.any = np.empty(len(used), np.int64)  # a token after each history, among those asked
+        self.any[self.history] = np.arange(len(self.history))
+        bits = len(batch.ids).bit_length()
+        pairs, first, pair = distinct(history[known].astype(U64) << U64(bits) | batch.word[known].astype(U64))
+        self.gram = np.full(len(at), -1)
         self.gram[known] = pair
         self.own = np.bincount(pair[batch.learned[known]], minlength=len(pairs))
         self.lower = lower[known][first]
-        self.head, self.tail = (pairs >> U64(32)).astype(np.int64), batch.ids[(pairs & U64(0xFFFFFFFF)).astype(np.int64)]
-        shares = np.maximum(1, -(-seen[self.asked][self.first] * min(n, MOST_SHARES) * 4 // max(tokens, 1)))
-        self.split, self.seen = shares > 1, seen[self.asked][self.first]
-        share = mix(self.tail + U64(1)) % shares[self.head].astype(U64)
+        self.head, self.tail = (pairs >> U64(bits)).astype(np.int64), batch.ids[(pairs & U64((1 << bits) - 1)).astype(np.int64)]
+        self.seen = seen[used]
+        shares = np.maximum(1, -(-self.seen * min(n, MOST_SHARES) * 4 // max(tokens, 1)))
+        self.split = shares > 1
+        self.open = np.zeros(len(self.histories), bool)  # a token here backs off, whatever the answers
+        self.open[history[asked & ~known]] = True
         short = np.uint16 if n <= 1 << 16 else np.int64  # which numpy sorts by radix
-        bucket = ((self.histories[self.head] + mix(share)) % U64(n)).astype(short)
+        home = (self.histories % U64(n)).astype(short)
+        bucket = home[self.head]
+        dealt = np.flatnonzero(self.split[self.head])
+        share = mix(self.tail[dealt] + U64(1)) % shares[self.head[dealt]].astype(U64)
+        bucket[dealt] = ((self.histories[self.head[dealt]] + mix(share)) % U64(n)).astype(short)
         # histories that aren't split are asked about even if none of their sequences are
         whole = np.flatnonzero(~self.split)
-        whole_bucket = (self.histories[whole] % U64(n)).astype(short)
         order, present, bounds = batches.by_bucket(bucket, n)  # inside a bucket by history, then by last word
         layout = {b: [order[i:j], whole[:0]] for b, i, j in zip(present.tolist(), bounds, bounds[1:])}
-        at, present, bounds = batches.by_bucket(whole_bucket, n)
+        at, present, bounds = batches.by_bucket(home[whole], n)
         for b, i, j in zip(present.tolist(), bounds, bounds[1:]):
             layout.setdefault(b, [order[:0], None])[1] = whole[at[i:j]]
         #: For each bucket its sequences, in order of history, and the histories asked about.
-        self.layout = [(b, grams, np.unique(np.concatenate([self.head[grams], whole]))) for b, (grams, whole) in sorted(layout.items())]
+        self.layout = [(b, grams, self.heads(grams, whole)) for b, (grams, whole) in sorted(layout.items())]
+
+    def heads(self, grams: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """The histories of a bucket's sequences and those that are asked about there, rising."""
+        split = self.head[grams]
+        split = split[self.split[split]]
+        return np.union1d(whole, split) if len(split) else whole
 
     def questions(self, number: int) -> pa.RecordBatch:
-        rows = []
+        rows, of = [], np.bincount(self.head, minlength=len(self.histories))
         for bucket, grams, heads in self.layout:
-            runs = np.bincount(np.searchsorted(heads, self.head[grams]), minlength=len(heads))
-            rows.append((number, bucket, *gram_columns(self.histories[heads], self.split[heads], runs, self.tail[grams], self.own[grams], self.lower[grams], self.n)))
+            runs, split = of[heads], np.flatnonzero(self.split[heads])
+            if len(split):  # of these, the sequences that go here
+                here = self.head[grams]
+                runs[split] = np.bincount(np.searchsorted(heads[split], here[self.split[here]]), minlength=len(split))
+            rows.append(
+                (number, bucket, *gram_columns(self.histories[heads], self.open[heads], self.split[heads], runs, self.tail[grams], self.own[grams], self.lower[grams], self.n))
+            )
         return questions(rows)
 
     def take(self, answers: list[dict]) -> None:
-        """Counts and numbers of the sequences, and what the backoff of each history needs, from the buckets' answers."""
+        """Counts and numbers of the sequences, and what the backoff of each history needs, from the buckets' answers.
+
+        A history seen once has one sequence, of count one; what its sequences cover is told where a token backs off.
+        """
         self.count, self.sums = np.zeros(len(self.head), np.int64), np.zeros((len(self.histories), K + 1))
         self.number = np.zeros(len(self.head), U64)
-        by = {t["bucket"]: t for t in answers}
+        by, backs_off = {t["bucket"]: t for t in answers}, self.open.copy()
         for bucket, grams, heads in self.layout:
-            self.count[grams] = unpack_array(by[bucket]["a"], "<u8")
+            self.count[grams] = count = unpack_array(by[bucket]["a"], "<u8").astype(np.int64)
             if by[bucket]["b"] is not None:
-                heads = heads[~self.split[heads]]
-                self.sums[heads, :K] = unpack_array(by[bucket]["b"], "<u8").reshape(K, -1).T
-                self.sums[heads, K] = unpack_few(by[bucket]["c"])
+                backs_off[self.head[grams[count == 0]]] = True  # all sequences of an unsplit history are here
+                whole, once = ~self.split[heads], self.seen[heads] == 1
+                self.sums[heads[whole & once], 0] = 1
+                self.sums[heads[whole & ~once], :K] = unpack_array(by[bucket]["b"], "<u8").reshape(K, -1).T
+                self.sums[heads[whole & backs_off[heads]], K] = unpack_few(by[bucket]["c"])
             if by[bucket]["d"] is not None:
                 self.number[grams] = np.cumsum(unpack_array(by[bucket]["d"], "<u8")) * U64(self.n) + U64(bucket)
 
@@ -199,18 +246,18 @@ class Grams:
 
     def longer(self, n: int, tokens: int) -> Grams:
         """The sequences of one word more."""
-        batch, counts = self.batch, self.counts()
-        key, seen = np.zeros(len(counts), U64), np.zeros(len(counts), np.int64)
-        key[1:], seen[1:] = np.append(self.number, U64(0))[self.gram[:-1]], counts[:-1]
-        seen[batch.begins] = 0  # no history reaches over the start
-        return Grams(batch, key, seen, counts, n, tokens)
+        counts, asked, at = self.counts(), np.zeros(len(self.gram), bool), np.zeros(len(self.gram), np.int64)
+        asked[1:] = counts[:-1] > 0
+        asked[self.batch.begins] = False  # no history reaches over the start
+        at[1:] = np.maximum(self.gram[:-1], 0)
+        return Grams(self.batch, np.append(self.number, U64(0)), np.append(self.count, 0), at, asked, counts, n, tokens)
 
 
 def pairs_of(batch: Batch, n: int, words: Words, texts: int) -> Grams:
-    key, seen = np.empty(len(batch.word), U64), np.empty(len(batch.word), np.int64)
-    key[1:], seen[1:] = batch.ids[batch.word[:-1]], batch.count[batch.word[:-1]]
-    key[batch.begins], seen[batch.begins] = START, texts
-    return Grams(batch, key, seen, batch.count[batch.word], n, words.tokens)
+    numbers, seen, at = np.append(batch.ids, START), np.append(batch.count, texts), np.empty(len(batch.word), np.int64)
+    at[1:] = batch.word[:-1]
+    at[batch.begins] = len(batch.ids)
+    return Grams(batch, numbers, seen, at, (seen > 0)[at], batch.count[batch.word], n, words.tokens)
 
 
 QUESTION = "batch long, bucket int, a binary, b binary, c binary, d binary"
@@ -220,17 +267,25 @@ ANSWER_SCHEMA = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), *((c,
 TABLE, SHARES = -1, -2
 
 
-def gram_columns(histories, split, runs, tails, counts, lower, n: int) -> tuple[bytes, ...]:
-    """Sequences as columns of a question: rising histories, marked if split, and their runs of last words with both counts."""
-    heads = np.concatenate([np.diff(histories // U64(n), prepend=U64(0)), histories % U64(n) << U64(1) | split.astype(U64)])
+def gram_columns(histories, backs_off, split, runs, tails, counts, lower, n: int) -> tuple[bytes, ...]:
+    """Sequences as columns of a question: rising histories with two marks, and their runs of last words with both counts."""
+    marks = backs_off.astype(U64) << U64(1) | split.astype(U64)
+    heads = np.concatenate([np.diff(histories // U64(n), prepend=U64(0)), histories % U64(n) << U64(2) | marks])
     numbers = np.concatenate([counts, lower]).astype("<u8")
     return pack_array(heads), pack_array(runs.astype("<u4")), pack_array(tails.astype("<u8")), pack_array(numbers)
 
 
-def unpack_heads(packed: bytes, n: int) -> np.ndarray:
-    """Histories of a question, as twice their number and one more if split."""
+def unpack_heads(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Histories of a question, as twice their number and one more if split, and which surely back off."""
     steps, rest = unpack_array(packed, "<u8").reshape(2, -1)
-    return (np.cumsum(steps) * U64(n) + (rest >> U64(1))) << U64(1) | rest & U64(1)
+    return (np.cumsum(steps) * U64(n) + (rest >> U64(2))) << U64(1) | rest & U64(1), rest & U64(2) > 0
+
+
+def unseen(head: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` histories have a sequence that training didn't see; only these need the backoff weight."""
+    found = np.zeros(n, bool)
+    found[head[count == 0]] = True
+    return found
 
 
 def pack_few(x: np.ndarray) -> bytes:
@@ -249,73 +304,81 @@ def counts_of_counts(total: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()
 
 
-def add_words(group: pa.Table) -> pa.Table:
-    """One bucket: counts of its words over all batches; an answer for each batch, and the table."""
-    asked = group.to_pylist()
-    bucket = asked[0]["bucket"]
-    words = [unpack_array(q["a"], "<u8") for q in asked]
-    counts = np.concatenate([unpack_array(q["b"], "<u8") for q in asked])
-    found, at = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(at, counts, len(found)).astype(np.int64)
-    seen = total > 0
-    number = np.maximum(np.cumsum(seen) - 1, 0)  # words that weren't learned need none
-    rows, done = [], 0
-    for q, mine in zip(asked, words):
-        local = at[done : done + len(mine)]
-        done += len(mine)
-        if q["batch"] != TABLE:
-            rows.append({"batch": q["batch"], "bucket": bucket, "a": pack_array(number[local].astype("<u4")), "b": pack_array(total[local].astype("<u8"))})
-    rows.append(
-        {
-            "batch": TABLE, "bucket": bucket, "a": pack_array(found[seen].astype("<u8")), "b": pack_array(total[seen].astype("<u8")),
-            "s": [int(total.sum()), int(seen.sum()), *counts_of_counts(total)],
-        }
-    )
-    return pa.Table.from_pylist(rows, ANSWER_SCHEMA)
-
-
-def add_grams(d: np.ndarray, n: int, numbered: bool):
-    """``d`` are the discounts of one order less, ``n`` is the number of buckets; numbers are for longer sequences."""
+def add_words(keep: bool):
+    """``keep``: the table holds the words, not their sums alone."""
+
+    def run(group: pa.Table) -> pa.Table:
+        """One bucket: counts of its words over all batches; an answer for each batch, and the table."""
+        asked = group.to_pylist()
+        bucket = asked[0]["bucket"]
+        words = [unpack_array(q["a"], "<u8") for q in asked]
+        counts = np.concatenate([unpack_array(q["b"], "<u8") for q in asked])
+        found, at = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.bincount(at, counts, len(found)).astype(np.int64)
+        seen = total > 0
+        number = np.empty(len(found), np.int64)  # frequent words get low ones, which take less room
+        number[np.argsort(-total, kind="stable")] = np.arange(len(found))
+        rows, done = [], 0
+        for q, mine in zip(asked, words):
+            local = at[done : done + len(mine)]
+            done += len(mine)
+            if q["batch"] != TABLE:
+                rows.append({"batch": q["batch"], "bucket": bucket, "a": pack_array(number[local].astype("<u4")), "b": pack_array(total[local].astype("<u8"))})
+        table = {"a": pack_array(found[seen].astype("<u8")), "b": pack_array(total[seen].astype("<u8"))} if keep else {}
+        rows.append({"batch": TABLE, "bucket": bucket, **table, "s": [int(total.sum()), int(seen.sum()), *counts_of_counts(total)]})
+        return pa.Table.from_pylist(rows, ANSWER_SCHEMA)
+
+    return run
+
+
+def add_grams(d: np.ndarray, n: int, numbered: bool, keep: bool):
+    """``d`` are the discounts of one order less, ``n`` is the number of buckets; numbers are for longer sequences.
+
+    ``keep``: the table holds the sequences, not their counts of counts alone.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         """One bucket: counts of its sequences over all batches, and what each history's backoff weight needs."""
         asked = group.to_pylist()
         bucket = asked[0]["bucket"]
-        marked = [unpack_heads(q["a"], n) for q in asked]
-        runs = np.concatenate([unpack_array(q["b"], "<u4") for q in asked])
+        marked, backs_off = zip(*(unpack_heads(q["a"], n) for q in asked))
+        runs = [unpack_array(q["b"], "<u4") for q in asked]
         tails = [unpack_array(q["c"], "<u8") for q in asked]
         numbers = [unpack_array(q["d"], "<u8") for q in asked]
-        history, first, head = np.unique(np.concatenate(marked), return_index=True, return_inverse=True)
+        history, _, head = distinct(np.concatenate(marked))
         split = history & U64(1) == 1
-        tail_ids, tail = np.unique(np.concatenate(tails), return_inverse=True)
-        grams, first, at = np.unique(np.repeat(head, runs).astype(U64) << U64(32) | tail.astype(U64), return_index=True, return_inverse=True)
+        tail_ids, _, tail = distinct(np.concatenate(tails))
+        bits = len(tail_ids).bit_length()
+        grams, first, at = distinct(np.repeat(head, np.concatenate(runs)).astype(U64) << U64(bits) | tail.astype(U64))
         total = np.bincount(at, np.concatenate([x[: len(x) // 2] for x in numbers]).astype(float), len(grams)).astype(np.int64)
         lower = np.concatenate([x[len(x) // 2 :] for x in numbers])[first].astype(np.int64)
-        h, seen = (grams >> U64(32)).astype(np.int64), total > 0
-        number = np.maximum(np.cumsum(seen) - 1, 0)  # as with words
+        h, seen = (grams >> U64(bits)).astype(np.int64), total > 0
+        number = np.maximum(np.cumsum(seen) - 1, 0)  # those that weren't learned need none
         sums = np.zeros((len(history), K + 1))
         for r in range(1, K + 1):
             sums[:, r - 1] = np.bincount(h[total == r], minlength=len(history))
         sums[:, K] = np.bincount(h[seen], kept(lower[seen], d), len(history))
+        once = np.bincount(h, total, len(history)) == 1  # so often training saw the history: its only sequence has count one
         rows, done, done_heads = [], 0, 0
-        for q, mine, own in zip(asked, tails, marked):
+        for q, mine, own, lengths in zip(asked, tails, backs_off, runs):
             reply, heads = at[done : done + len(mine)], head[done_heads : done_heads + len(own)]
-            told = sums[heads[~split[heads]]]
             done, done_heads = done + len(mine), done_heads + len(own)
+            needs = own | unseen(np.repeat(np.arange(len(own)), lengths), total[reply], len(own))
+            told, covered = sums[heads[~split[heads] & ~once[heads]], :K], sums[heads[~split[heads] & needs], K]
             if q["batch"] != TABLE:
                 rows.append(
                     {
                         "batch": q["batch"], "bucket": bucket, "a": pack_array(total[reply].astype("<u8")),
-                        "b": pack_array(told[:, :K].T.astype("<u8").ravel()), "c": pack_few(told[:, K]),
+                        "b": pack_array(told.T.astype("<u8").ravel()), "c": pack_few(covered),
                         "d": pack_array(np.diff(number[reply], prepend=0).astype("<u8")) if numbered else None,
                     }
                 )
-        of = np.bincount(h[seen], minlength=len(history))
-        has = of > 0
-        a, b, c, numbers = gram_columns(
-            history[has] >> U64(1), split[has], of[has], tail_ids[(grams[seen] & U64(0xFFFFFFFF)).astype(np.int64)], total[seen], lower[seen], n
-        )
-        rows.append({"batch": TABLE, "bucket": bucket, "a": a, "b": b, "c": c, "d": numbers, "s": counts_of_counts(total)})
+        table = {}
+        if keep:
+            of = np.bincount(h[seen], minlength=len(history))
+            has, last = of > 0, tail_ids[(grams[seen] & U64((1 << bits) - 1)).astype(np.int64)]
+            table = dict(zip("abcd", gram_columns(history[has] >> U64(1), np.zeros(has.sum(), bool), split[has], of[has], last, total[seen], lower[seen], n)))
+        rows.append({"batch": TABLE, "bucket": bucket, **table, "s": counts_of_counts(total)})
         part = sums[split]
         rows.append(
             {
@@ -364,7 +427,7 @@ class KatzModel:
     def score(self, docs: DataFrame, held_out: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
         """What ``train_and_score`` returns, for documents that the model need not have seen."""
         marked = mark(docs, F.lit(False), F.lit(True) if held_out is None else held_out, key, text)
-        return _run(marked, len(self.tables), self, key, text)[1]
+        return _run(marked, len(self.tables), self, key, text, False)[1]
 
 
 def mark(docs: DataFrame, train: Column, held_out: Column, key: str, text: str) -> DataFrame:
@@ -377,25 +440,28 @@ def train_and_score(docs: DataFrame, train: Column, held_out: Column, key: str =
 
     The model learns from the rows where ``train``.
     """
-    return _run(mark(docs, train, held_out, key, text), order, None, key, text)[1]
+    return _run(mark(docs, train, held_out, key, text), order, None, key, text, False)[1]
 
 
 def learn(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = ORDER) -> KatzModel:
     """The model of the rows where ``train``."""
-    return _run(mark(docs.filter(train), F.lit(True), F.lit(False), key, text), order, None, key, text)[0]
+    return _run(mark(docs.filter(train), F.lit(True), F.lit(False), key, text), order, None, key, text, True)[0]
+
 
+def _run(marked: DataFrame, order: int, known: KatzModel | None, key: str, text: str, keep: bool) -> tuple[KatzModel, DataFrame]:
+    """The model of the rows marked ``train`` and the scores of all; ``known`` is a model that is used as it is.
 
-def _run(marked: DataFrame, order: int, known: KatzModel | None, key: str, text: str) -> tuple[KatzModel, DataFrame]:
-    """The model of the rows marked ``train`` and the scores of all; ``known`` is a model that is used as it is."""
+    ``keep``: the model will score other documents, so its tables are written as well.
+    """
     if order < 1:
         raise ValueError("order counts the words of the longest sequence, from one on")
-    packed, n_batches = batches.pack(marked, [key, "train", "held_out", text], text)
+    packed, n_batches = batches.pack(marked, [key, "train", "held_out", text], text, encode(key, text))
     n = known.n if known else batches.n_buckets(packed, n_batches)
 
     def ask_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for row in part.to_pylist():
-                batch = Batch(row["blob"], key, text)
+                batch = Batch(row["blob"], key)
                 order, present, bounds = batch.word_questions(n)
                 words, counts = batch.words[order], batch.counts[order].astype("<u8")
                 yield questions(
@@ -406,16 +472,16 @@ def _run(marked: DataFrame, order: int, known: KatzModel | None, key: str, text:
     def add(asked: DataFrame, adder, name: str, level: int) -> DataFrame:
         if known:
             asked = asked.unionByName(known.tables[level].filter(F.col("batch") == TABLE).select(*asked.columns))
-        return store(asked.groupBy("bucket").applyInArrow(adder, ANSWER), name).table
+        return store(asked.groupBy("bucket").applyInArrow(adder, ANSWER), name, tidy=True).table
 
-    tables = [add(packed.mapInArrow(ask_words, QUESTION), add_words, "word-counts", 0)]
+    tables = [add(packed.mapInArrow(ask_words, QUESTION), add_words(keep), "word-counts", 0)]
     tokens, types, *counts = sums_of(tables[0], K + 3)
     words = Words(tokens, types, counts)
     texts = known.texts if known else marked.filter("train").count()
 
     def levels(row: dict, told: list[dict], upto: int, answered: int) -> tuple[Batch, list[Grams]]:
         """The batch, and its sequences of orders from two to ``upto``, with the answers to those up to ``answered``."""
-        batch, grams = Batch(row["blob"], key, text), []
+        batch, grams = Batch(row["blob"], key), []
         batch.set_words([t for t in told if t["level"] == 0], n)
         for level in range(1, upto):
             grams.append(grams[-1].longer(n, tokens) if grams else pairs_of(batch, n, words, texts))
@@ -444,7 +510,7 @@ def _run(marked: DataFrame, order: int, known: KatzModel | None, key: str, text:
     lower, of_order = words.d, []
     for upto in range(2, order + 1):
         asked = packed.groupBy("batch").cogroup(answers().groupBy("batch")).applyInArrow(ask_grams(upto), QUESTION)
-        tables.append(add(asked, add_grams(lower, n, upto < order), "gram-counts", upto - 1))
+        tables.append(add(asked, add_grams(lower, n, upto < order, keep), "gram-counts", upto - 1))
         of_order.append(sums_of(tables[-1], K + 1))
         lower = discounts(of_order[-1])
     model = KatzModel(words, texts, n, known.tables if known else tables, of_order)
@@ -457,24 +523,24 @@ def _run(marked: DataFrame, order: int, known: KatzModel | None, key: str, text:
         for row in rows.to_pylist():
             batch, grams = levels(row, told, order, order)
             of_word = batch.count[batch.word]
-            logs = np.log10(words.probability(of_word))  # after no history
+            logs = np.log10(words.probability(batch.count))[batch.word]  # after no history
             factor = np.full(len(logs), words.scale / max(words.tokens, 1))  # probability for each count kept
             for level, d, shares in zip(grams, kept_of, split.value):
                 for h in np.flatnonzero(level.split).tolist():
                     level.sums[h] = shares.get(int(level.histories[h]), level.sums[h])
                 h, asked = level.history, level.asked
-                scale, weight = backoff(level.sums[:, :K], level.seen, level.sums[:, K] * factor[asked][level.first], d)
+                scale, weight = backoff(level.sums[:, :K], level.seen, level.sums[:, K] * factor[asked][level.any], d)
                 r = level.counts()[asked]
                 factor[asked] = (scale / level.seen)[h]
                 direct = np.log10(np.maximum(factor[asked] * kept(r, d), 1e-300))
-                logs[asked] = np.where(r > 0, direct, logs[asked] + np.log10(weight[h]))
+                logs[asked] = np.where(r > 0, direct, logs[asked] + np.log10(weight)[h])
             total = lambda x: np.add.reduceat(x, batch.begins)  # noqa: B023, E731
             out.append(
                 pa.table(
                     {
                         key: batch.keys, "held_out": batch.held, "n_tokens": batch.sizes.astype(np.int64),
                         "n_known": total((of_word > 0).astype(np.int64)), "train_tokens": np.full(len(batch.sizes), train_tokens),
-                        "base_score": total(words.base(of_word)), "score": total(logs),
+                        "base_score": total(words.base(batch.count)[batch.word]), "score": total(logs),
                     }
                 )
             )

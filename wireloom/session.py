@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
+#: Lets Spark delete a query's shuffle files as soon as it ends, instead of when the driver collects its garbage.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "wireloom", **conf: str) -> SparkSession:
     """A session with adaptive execution on; cluster settings come from spark-submit or ``conf``."""
@@ -60,9 +63,21 @@ class Stored:
         return self._rows
 
 
-def store(frame: DataFrame, name: str) -> Stored:
-    """Write ``frame`` once and read it back: later plans start here and survive lost executors."""
+def store(frame: DataFrame, name: str, tidy: bool = False) -> Stored:
+    """Write ``frame`` once and read it back: later plans start here and survive lost executors.
+
+    ``tidy``: the shuffle files of this write go with its end. Not for writes that run side by side.
+    """
     spark = frame.sparkSession
     path = scratch_path(spark, name)
-    frame.write.parquet(path)
+    before = spark.conf.get(FILE_CLEANUP, None)
+    if tidy:
+        spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        if tidy and before is None:
+            spark.conf.unset(FILE_CLEANUP)
+        elif tidy:
+            spark.conf.set(FILE_CLEANUP, before)
     return Stored(spark.read.schema(frame.schema).parquet(path))
