@@ -238,6 +238,30 @@ def test_distinct():
                 assert (got == want).all()
 
 
+def test_packed_numbers_leave_out_high_bytes_that_are_zero():
+    """The work on a packed array goes by the bytes its numbers need, not by the width of their type."""
+    pack_array, unpack_array = katz.batches.pack_array, katz.batches.unpack_array
+    for top, used in ((0, 1), (255, 1), (256, 2), (70_000, 3), ((1 << 40) - 1, 5), ((1 << 63) - 1, 8)):
+        x = np.array([0, top // 3, top] * 50, "<u8")
+        assert len(katz.batches.expand(pack_array(x))) == 1 + used * len(x)
+        for kind in ("<u8", "<i8"):
+            assert (unpack_array(pack_array(x.astype(kind)), kind) == x.astype(kind)).all()
+    for x in (np.array([3, -1, 1 << 40], "<i8"), np.zeros(0, "<u4"), np.array([(1 << 64) - 1], "<u8"), np.arange(300).astype("<u2")[::3], np.array([7], np.uint8)):
+        got = unpack_array(pack_array(x), x.dtype)
+        assert got.dtype == x.dtype and got.tolist() == x.tolist()
+
+
+def test_by_bucket_keeps_the_order_inside_a_bucket():
+    rng = np.random.default_rng(2)
+    for top in (1, 200, 1 << 40):
+        for n in (0, 1, 1000):
+            bucket = rng.integers(0, top, n)
+            order, present, bounds = katz.batches.by_bucket(bucket, top)
+            assert (order == np.argsort(bucket, kind="stable")).all()
+            assert present.tolist() == sorted(set(bucket.tolist())) and len(bounds) == len(present) + 1
+            assert all((bucket[order[i:j]] == b).all() and j > i for b, i, j in zip(present, bounds, bounds[1:]))
+
+
 def worth(likely, shares):
     """Log-likelihood of one text less the price of the languages it has a share of."""
     words = likely.shape[1]

@@ -8,6 +8,7 @@ which a third of all texts hold reaches its bucket once for each batch.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql.types import StructType
 
 from wireloom.session import scratch_path
 
-from .common import flat, shuffle_partitions, slices, text_bytes
+from .common import U64, flat, grouped, shuffle_partitions, slices, text_bytes
 
 SMALLEST, LARGEST = 1 << 19, 6 << 20
 #: Rows of a batch, nearly; a row's number is its batch and its place there.
@@ -32,25 +33,47 @@ PLACE_BITS = 20
 MOST_FILES = 50_000
 
 
+_coders = threading.local()  # which are not for threads to share
+
+
 def compress(raw: bytes, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(raw)
+    coder = _coders.__dict__.get(level)
+    if coder is None:
+        coder = _coders.__dict__[level] = zstandard.ZstdCompressor(level=level)
+    return coder.compress(raw)
 
 
 def expand(packed: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(packed)
+    coder = _coders.__dict__.get("expand")
+    if coder is None:
+        coder = _coders.__dict__["expand"] = zstandard.ZstdDecompressor()
+    return coder.decompress(packed)
 
 
 def pack_array(x: np.ndarray) -> bytes:
-    """Numbers as compressed bytes, first bytes first: the high ones are mostly equal."""
+    """Integers as compressed bytes, first bytes first; high bytes that are zero in all of them are left out."""
     x = np.ascontiguousarray(x)
-    planes = x.view(np.uint8).reshape(-1, x.dtype.itemsize).T if len(x) else np.zeros(0, np.uint8)
-    return compress(np.ascontiguousarray(planes).tobytes())
+    used = x.dtype.itemsize
+    if not len(x):
+        used = 1
+    elif x.dtype.kind == "u" or x.min() >= 0:
+        used = max(1, -(-int(x.max()).bit_length() // 8))
+    out = np.empty(1 + used * len(x), np.uint8)
+    out[0] = used
+    planes, held = out[1:].reshape(used, len(x)), x.view(np.uint8).reshape(len(x), x.dtype.itemsize)
+    for i in range(used):
+        planes[i] = held[:, i]
+    return compress(out)
 
 
 def unpack_array(packed: bytes, dtype) -> np.ndarray:
     raw = np.frombuffer(expand(packed), np.uint8)
-    dtype = np.dtype(dtype)
-    return np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype)
+    planes = raw[1:].reshape(int(raw[0]), -1)
+    out = planes[0].astype(dtype)
+    held = out.view(np.uint8).reshape(len(out), out.dtype.itemsize)
+    for i in range(1, len(planes)):
+        held[:, i] = planes[i]
+    return out
 
 
 def whole(held: list[pa.RecordBatch]) -> bytes:
@@ -138,7 +161,5 @@ def n_buckets(table: DataFrame, batches: int) -> int:
 
 def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order that groups entries by bucket, the buckets that have any, and their bounds in it."""
-    order = np.argsort(bucket, kind="stable")
-    rising = bucket[order]
-    begins = np.flatnonzero(np.append(True, rising[1:] != rising[:-1])[: len(rising)])
-    return order, rising[begins], np.append(begins, len(order))
+    present, order, begins = grouped(bucket.astype(U64))
+    return order, present.astype(np.int64), np.append(begins, len(order))

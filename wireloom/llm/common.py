@@ -45,22 +45,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct unsigned values, the first place of each, and which of them each entry is, as ``np.unique`` gives them.
+def grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct unsigned values, a stable order that brings equal entries together, and where each value begins in it.
 
     Values that leave room for their places are sorted together with these, which numpy does several times as fast.
     """
-    bits = len(x).bit_length()
-    if not len(x) or int(x.max()).bit_length() + bits > 64:
-        return np.unique(x, return_index=True, return_inverse=True)
-    rising = np.sort(x << U64(bits) | np.arange(len(x), dtype=U64))
-    order = (rising & U64((1 << bits) - 1)).astype(np.int64)
-    rising >>= U64(bits)
+    room = len(x).bit_length()
+    width = int(x.max()).bit_length() + room if len(x) else 65
+    if width > 64:
+        order = np.argsort(x, kind="stable")
+        rising = x[order]
+    else:
+        kind = np.uint32 if width <= 32 else U64
+        rising = x.astype(kind) << kind(room) | np.arange(len(x), dtype=kind)
+        rising.sort()
+        order = (rising & kind((1 << room) - 1)).astype(np.int64)
+        rising >>= kind(room)
     fresh = np.ones(len(x), bool)
     fresh[1:] = rising[1:] != rising[:-1]
+    begins = np.flatnonzero(fresh)
+    return rising[begins].astype(x.dtype), order, begins
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct unsigned values, the first place of each, and which of them each entry is, as ``np.unique`` gives them."""
+    values, order, begins = grouped(x)
     which = np.empty(len(x), np.int64)
-    which[order] = np.cumsum(fresh) - 1
-    return rising[fresh], order[fresh], which
+    which[order] = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(x)))
+    return values, order[begins], which
 
 
 #: A random 64-bit value for each byte.

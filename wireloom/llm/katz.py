@@ -34,7 +34,7 @@ from wireloom.session import store
 
 from . import batches
 from .batches import pack_array, unpack_array
-from .common import BLANK, U64, distinct, flat, mix, prepare, word_hashes
+from .common import BLANK, U64, distinct, flat, grouped, mix, prepare, word_hashes
 
 #: Counts above this are not discounted.
 K = 5
@@ -90,10 +90,9 @@ class Words:
 
 
 def backoff(seen: np.ndarray, total: np.ndarray, covered: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Factor of seen shares, and weight of the rest, for histories: ``seen`` are their sequences of count 1..K."""
-    r = np.arange(1, K + 1)
+    """Factor of seen shares, and weight of the rest, for histories: ``seen`` are their sequences of count 1..K, a row each."""
     total = np.maximum(total, 1).astype(float)
-    freed = ((1 - d[1:]) * r * seen).sum(axis=1) / total
+    freed = sum((1 - d[r]) * r * seen[r - 1] for r in range(1, K + 1)) / total
     missing = np.maximum(freed, 1 / (total + 1))
     return (1 - missing) / (1 - freed), missing / np.maximum(1 - covered, 1e-12)
 
@@ -131,9 +130,11 @@ class Batch:
         self.keys, self.held = rows.column(key), rows.column("held_out")
         self.sizes, self.train = rows.column("n_tokens").to_numpy(), rows.column("train").to_numpy().astype(bool)
         self.begins = np.cumsum(self.sizes) - self.sizes
-        self.learned = np.repeat(self.train, self.sizes)
         self.words, self.word = unpack_array(parts[1], "<u8"), unpack_array(parts[2], "<u4")
-        self.counts = np.bincount(self.word[self.learned], minlength=len(self.words))
+
+    def learned(self) -> np.ndarray:
+        """Which tokens training sees."""
+        return np.repeat(self.train, self.sizes)
 
     def word_questions(self, n: int):
         return batches.by_bucket((self.words % U64(n)).astype(np.int64), n)
@@ -144,13 +145,13 @@ class Batch:
         answers = sorted(answers, key=lambda a: a["bucket"])
         assert [a["bucket"] for a in answers] == present.tolist()
         self.ids, self.count = np.zeros(len(self.words), U64), np.zeros(len(self.words), np.int64)
-        local = np.concatenate([unpack_array(a["a"], "<u4") for a in answers]).astype(U64)
-        self.ids[order] = local * U64(n) + np.repeat(present, [len(unpack_array(a["a"], "<u4")) for a in answers]).astype(U64)
-        self.count[order] = np.concatenate([unpack_array(a["b"], "<u8") for a in answers]).astype(np.int64)
-        rise = np.argsort(self.ids, kind="stable")  # words in order of their numbers
+        local = [unpack_array(a["a"], "<u8") for a in answers]
+        self.ids[order] = np.concatenate(local) * U64(n) + np.repeat(present, [len(x) for x in local]).astype(U64)
+        self.count[order] = np.concatenate([unpack_array(a["b"], "<i8") for a in answers])
+        self.ids, rise, _ = grouped(self.ids)  # words in order of their numbers
         place = np.empty(len(rise), np.int64)
         place[rise] = np.arange(len(rise))
-        self.word, self.ids, self.count = place[self.word], self.ids[rise], self.count[rise]
+        self.word, self.count = place[self.word], self.count[rise]
 
 
 class Grams:
@@ -162,63 +163,67 @@ class Grams:
     """
 
     def __init__(self, batch: Batch, numbers: np.ndarray, seen: np.ndarray, at: np.ndarray, asked: np.ndarray, lower: np.ndarray, n: int, tokens: int):
-        self.batch, self.n, self.asked = batch, n, asked
-        known = asked & (lower > 0)
+        self.batch, self.n, self.lower, self.asked = batch, n, lower, np.flatnonzero(asked)
+        mine = at[self.asked]
         used = np.zeros(len(numbers), bool)
-        used[at[asked]] = True
+        used[mine] = True
         used = np.flatnonzero(used)
-        self.histories, rise, _ = distinct(numbers[used])
+        self.histories, rise, _ = grouped(numbers[used])
         used = used[rise]
         place = np.empty(len(numbers), np.int64)
         place[used] = np.arange(len(used))
-        history = place[at]  # of no use where not asked
-        self.history = history[asked]
-        self.any = np.empty(len(used), np.int64)  # a token after each history, among those asked
-        self.any[self.history] = np.arange(len(self.history))
+        self.history = place[mine]
+        known = lower[self.asked] > 0
+        self.open = np.zeros(len(used), bool)  # a token here backs off, whatever the answers
+        self.open[self.history[~known]] = True
+        known = np.flatnonzero(known)
+        #: Tokens in order of their sequences, and where each sequence begins among them.
+        self.token = self.asked[known]
         bits = len(batch.ids).bit_length()
-        pairs, first, pair = distinct(history[known].astype(U64) << U64(bits) | batch.word[known].astype(U64))
+        pairs, order, self.begins = grouped(self.history[known].astype(U64) << U64(bits) | batch.word[self.token].astype(U64))
+        self.token = self.token[order]
         self.gram = np.full(len(at), -1)
-        self.gram[known] = pair
-        self.own = np.bincount(pair[batch.learned[known]], minlength=len(pairs))
-        self.lower = lower[known][first]
-        self.head, self.tail = (pairs >> U64(bits)).astype(np.int64), batch.ids[(pairs & U64((1 << bits) - 1)).astype(np.int64)]
+        self.gram[self.token] = np.repeat(np.arange(len(pairs)), np.diff(self.begins, append=len(order)))
+        self.head, self.tail = (pairs >> U64(bits)).astype(np.int64), (pairs & U64((1 << bits) - 1)).astype(np.int64)
         self.seen = seen[used]
         shares = np.maximum(1, -(-self.seen * min(n, MOST_SHARES) * 4 // max(tokens, 1)))
         self.split = shares > 1
-        self.open = np.zeros(len(self.histories), bool)  # a token here backs off, whatever the answers
-        self.open[history[asked & ~known]] = True
-        short = np.uint16 if n <= 1 << 16 else np.int64  # which numpy sorts by radix
-        home = (self.histories % U64(n)).astype(short)
-        bucket = home[self.head]
-        dealt = np.flatnonzero(self.split[self.head])
-        share = mix(self.tail[dealt] + U64(1)) % shares[self.head[dealt]].astype(U64)
-        bucket[dealt] = ((self.histories[self.head[dealt]] + mix(share)) % U64(n)).astype(short)
-        # histories that aren't split are asked about even if none of their sequences are
-        whole = np.flatnonzero(~self.split)
-        order, present, bounds = batches.by_bucket(bucket, n)  # inside a bucket by history, then by last word
-        layout = {b: [order[i:j], whole[:0]] for b, i, j in zip(present.tolist(), bounds, bounds[1:])}
-        at, present, bounds = batches.by_bucket(home[whole], n)
-        for b, i, j in zip(present.tolist(), bounds, bounds[1:]):
-            layout.setdefault(b, [order[:0], None])[1] = whole[at[i:j]]
-        #: For each bucket its sequences, in order of history, and the histories asked about.
-        self.layout = [(b, grams, self.heads(grams, whole)) for b, (grams, whole) in sorted(layout.items())]
-
-    def heads(self, grams: np.ndarray, whole: np.ndarray) -> np.ndarray:
-        """The histories of a bucket's sequences and those that are asked about there, rising."""
-        split = self.head[grams]
-        split = split[self.split[split]]
-        return np.union1d(whole, split) if len(split) else whole
+        del mine, place, known, order, pairs
+        self.deal(shares)
+
+    def deal(self, shares: np.ndarray) -> None:
+        """Which bucket each sequence goes to: ``order`` are the sequences by bucket, ``heads`` the histories asked about there.
+
+        A history that isn't split is asked about even if none of its sequences are. Inside a bucket histories rise, and
+        sequences rise by history, then by last word; ``runs`` are how many follow each history there.
+        """
+        home = self.histories - self.histories // U64(self.n) * U64(self.n)
+        of = np.bincount(self.head, minlength=len(self.histories))
+        bucket = np.repeat(home, of)
+        dealt = np.flatnonzero(np.repeat(self.split, of))
+        share = mix(self.batch.ids[self.tail[dealt]] + U64(1)) % shares[self.head[dealt]].astype(U64)
+        bucket[dealt] = (self.histories[self.head[dealt]] + mix(share)) % U64(self.n)
+        self.order = grouped(bucket)[1]
+        bits, whole = U64(len(self.histories).bit_length()), np.flatnonzero(~self.split)
+        parts, _, begins = grouped(bucket[dealt] << bits | self.head[dealt].astype(U64))
+        places, rise, _ = grouped(np.append(home[whole] << bits | whole.astype(U64), parts))
+        self.runs = np.append(of[whole], np.diff(begins, append=len(dealt)))[rise]
+        self.heads = (places & ((U64(1) << bits) - U64(1))).astype(np.int64)
+        places >>= bits
+        begins = np.flatnonzero(np.append(True, places[1:] != places[:-1])[: len(places)])
+        self.buckets = places[begins].astype(np.int64)
+        #: Bounds of the buckets among ``heads``, and among the sequences.
+        self.bounds = np.append(begins, len(places))
+        self.gram_bounds = np.append(0, np.cumsum(self.runs))[self.bounds]
 
     def questions(self, number: int) -> pa.RecordBatch:
-        rows, of = [], np.bincount(self.head, minlength=len(self.histories))
-        for bucket, grams, heads in self.layout:
-            runs, split = of[heads], np.flatnonzero(self.split[heads])
-            if len(split):  # of these, the sequences that go here
-                here = self.head[grams]
-                runs[split] = np.bincount(np.searchsorted(heads[split], here[self.split[here]]), minlength=len(split))
-            rows.append(
-                (number, bucket, *gram_columns(self.histories[heads], self.open[heads], self.split[heads], runs, self.tail[grams], self.own[grams], self.lower[grams], self.n))
-            )
+        own, first = self.batch.learned()[self.token].astype(np.int64), self.token[self.begins]
+        own, lower, tails = np.add.reduceat(own, self.begins)[self.order], self.lower[first][self.order], self.batch.ids[self.tail][self.order]
+        histories, backs_off, split = self.histories[self.heads], self.open[self.heads], self.split[self.heads]
+        rows = []
+        for k, bucket in enumerate(self.buckets.tolist()):
+            at, of = slice(*self.bounds[k : k + 2]), slice(*self.gram_bounds[k : k + 2])
+            rows.append((number, bucket, *gram_columns(histories[at], backs_off[at], split[at], self.runs[at], tails[of], own[of], lower[of], self.n)))
         return questions(rows)
 
     def take(self, answers: list[dict]) -> None:
@@ -226,19 +231,26 @@ class Grams:
 
         A history seen once has one sequence, of count one; what its sequences cover is told where a token backs off.
         """
-        self.count, self.sums = np.zeros(len(self.head), np.int64), np.zeros((len(self.histories), K + 1))
-        self.number = np.zeros(len(self.head), U64)
-        by, backs_off = {t["bucket"]: t for t in answers}, self.open.copy()
-        for bucket, grams, heads in self.layout:
-            self.count[grams] = count = unpack_array(by[bucket]["a"], "<u8").astype(np.int64)
-            if by[bucket]["b"] is not None:
-                backs_off[self.head[grams[count == 0]]] = True  # all sequences of an unsplit history are here
-                whole, once = ~self.split[heads], self.seen[heads] == 1
-                self.sums[heads[whole & once], 0] = 1
-                self.sums[heads[whole & ~once], :K] = unpack_array(by[bucket]["b"], "<u8").reshape(K, -1).T
-                self.sums[heads[whole & backs_off[heads]], K] = unpack_few(by[bucket]["c"])
-            if by[bucket]["d"] is not None:
-                self.number[grams] = np.cumsum(unpack_array(by[bucket]["d"], "<u8")) * U64(self.n) + U64(bucket)
+        answers = sorted(answers, key=lambda a: a["bucket"])
+        assert [a["bucket"] for a in answers] == self.buckets.tolist()
+        self.count, self.number = np.zeros(len(self.head), np.int64), np.zeros(len(self.head), U64)
+        if not answers:
+            self.sums = np.zeros((K + 1, len(self.histories)))
+            return
+        self.count[self.order] = count = np.concatenate([unpack_array(a["a"], "<i8") for a in answers])
+        if answers[0]["b"] is not None:
+            self.sums, backs_off = np.zeros((K + 1, len(self.histories))), self.open.copy()
+            backs_off[self.head[self.order[count == 0]]] = True  # all sequences of an unsplit history are here
+            whole, once = self.heads[~self.split[self.heads]], self.seen == 1
+            self.sums[0, whole[once[whole]]] = 1
+            told = whole[~once[whole]]
+            for r, of in enumerate(np.concatenate([unpack_array(a["b"], "<u8").reshape(K, -1) for a in answers], axis=1)):
+                self.sums[r, told] = of
+            self.sums[K, whole[backs_off[whole]]] = np.concatenate([unpack_few(a["c"]) for a in answers])
+        if answers[0]["d"] is not None:
+            numbers = [np.cumsum(unpack_array(a["d"], "<u8")) * U64(self.n) + U64(a["bucket"]) for a in answers]
+            self.number[self.order] = np.concatenate(numbers)
+        del self.token, self.begins, self.tail, self.lower, self.order, self.heads, self.runs  # were for asking
 
     def counts(self) -> np.ndarray:
         """How often training held the sequence that ends at each token."""
@@ -270,7 +282,8 @@ TABLE, SHARES = -1, -2
 def gram_columns(histories, backs_off, split, runs, tails, counts, lower, n: int) -> tuple[bytes, ...]:
     """Sequences as columns of a question: rising histories with two marks, and their runs of last words with both counts."""
     marks = backs_off.astype(U64) << U64(1) | split.astype(U64)
-    heads = np.concatenate([np.diff(histories // U64(n), prepend=U64(0)), histories % U64(n) << U64(2) | marks])
+    high = histories // U64(n)  # numpy divides several times as fast as it takes remainders
+    heads = np.concatenate([np.diff(high, prepend=U64(0)), histories - high * U64(n) << U64(2) | marks])
     numbers = np.concatenate([counts, lower]).astype("<u8")
     return pack_array(heads), pack_array(runs.astype("<u4")), pack_array(tails.astype("<u8")), pack_array(numbers)
 
@@ -281,16 +294,10 @@ def unpack_heads(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(steps) * U64(n) + (rest >> U64(2))) << U64(1) | rest & U64(1), rest & U64(2) > 0
 
 
-def unseen(head: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
-    """Which of ``n`` histories have a sequence that training didn't see; only these need the backoff weight."""
-    found = np.zeros(n, bool)
-    found[head[count == 0]] = True
-    return found
-
-
 def pack_few(x: np.ndarray) -> bytes:
     """Numbers of which many are equal, as their distinct values and which of these each is."""
-    values, at = np.unique(x, return_inverse=True)
+    coded = pa.array(x, pa.float64()).dictionary_encode()
+    values, at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
     size = len(values).to_bytes(4, "little")
     return size + values.astype("<f8").tobytes() + pack_array(at.astype("<u4"))
 
@@ -347,43 +354,54 @@ def add_grams(d: np.ndarray, n: int, numbered: bool, keep: bool):
         numbers = [unpack_array(q["d"], "<u8") for q in asked]
         history, _, head = distinct(np.concatenate(marked))
         split = history & U64(1) == 1
-        tail_ids, _, tail = distinct(np.concatenate(tails))
-        bits = len(tail_ids).bit_length()
-        grams, first, at = distinct(np.repeat(head, np.concatenate(runs)).astype(U64) << U64(bits) | tail.astype(U64))
-        total = np.bincount(at, np.concatenate([x[: len(x) // 2] for x in numbers]).astype(float), len(grams)).astype(np.int64)
-        lower = np.concatenate([x[len(x) // 2 :] for x in numbers])[first].astype(np.int64)
+        lengths, tail = np.concatenate(runs), np.concatenate(tails)
+        bits, tail_ids = int(tail.max(initial=0)).bit_length(), None
+        if bits + len(history).bit_length() + len(tail).bit_length() > 64:  # no room for last words as they are
+            tail_ids, _, tail = distinct(tail)
+            bits, tail = len(tail_ids).bit_length(), tail.astype(U64)
+        grams, order, begins = grouped(np.repeat(head, lengths).astype(U64) << U64(bits) | tail)
+        sizes = np.diff(begins, append=len(order))
+        total = np.add.reduceat(np.concatenate([x[: len(x) // 2] for x in numbers])[order], begins).astype(np.int64)
+        lower = np.concatenate([x[len(x) // 2 :] for x in numbers])[order[begins]].astype(np.int64)
         h, seen = (grams >> U64(bits)).astype(np.int64), total > 0
-        number = np.maximum(np.cumsum(seen) - 1, 0)  # those that weren't learned need none
-        sums = np.zeros((len(history), K + 1))
-        for r in range(1, K + 1):
-            sums[:, r - 1] = np.bincount(h[total == r], minlength=len(history))
-        sums[:, K] = np.bincount(h[seen], kept(lower[seen], d), len(history))
-        once = np.bincount(h, total, len(history)) == 1  # so often training saw the history: its only sequence has count one
-        rows, done, done_heads = [], 0, 0
-        for q, mine, own, lengths in zip(asked, tails, backs_off, runs):
-            reply, heads = at[done : done + len(mine)], head[done_heads : done_heads + len(own)]
-            done, done_heads = done + len(mine), done_heads + len(own)
-            needs = own | unseen(np.repeat(np.arange(len(own)), lengths), total[reply], len(own))
-            told, covered = sums[heads[~split[heads] & ~once[heads]], :K], sums[heads[~split[heads] & needs], K]
+        # how many sequences of count 1..K each history has, what all cover, and if training saw it once: its only one has count one then
+        cells = np.bincount(np.minimum(total, K + 1) * len(history) + h, minlength=(K + 2) * len(history)).reshape(K + 2, -1)[1 : K + 1]
+        cover = np.bincount(h[seen], kept(lower[seen], d), len(history))
+        once = np.bincount(h, total, len(history)) == 1
+        count = np.empty(len(order), U64)
+        count[order] = np.repeat(total, sizes)
+        if numbered:
+            number = np.empty(len(order), np.int64)
+            number[order] = np.repeat(np.maximum(np.cumsum(seen) - 1, 0), sizes)  # those that weren't learned need none
+        needs = np.concatenate(backs_off)
+        needs[np.repeat(np.arange(len(head)), lengths)[count == 0]] = True
+        # the counts of a split history are not whole here
+        tells, covers = np.flatnonzero(~(split | once)[head]), np.flatnonzero(~split[head] & needs)
+        told, covered = cells[:, head[tells]], cover[head[covers]]
+        heads, ends = (np.append(0, np.cumsum([len(x) for x in xs])) for xs in (backs_off, tails))
+        rows = []
+        for k, q in enumerate(asked):
             if q["batch"] != TABLE:
+                mine = slice(*ends[k : k + 2])
+                tell, covering = (slice(*np.searchsorted(x, heads[k : k + 2])) for x in (tells, covers))
                 rows.append(
                     {
-                        "batch": q["batch"], "bucket": bucket, "a": pack_array(total[reply].astype("<u8")),
-                        "b": pack_array(told.T.astype("<u8").ravel()), "c": pack_few(covered),
-                        "d": pack_array(np.diff(number[reply], prepend=0).astype("<u8")) if numbered else None,
+                        "batch": q["batch"], "bucket": bucket, "a": pack_array(count[mine]),
+                        "b": pack_array(told[:, tell].astype("<u8").ravel()), "c": pack_few(covered[covering]),
+                        "d": pack_array(np.diff(number[mine], prepend=0).astype("<u8")) if numbered else None,
                     }
                 )
         table = {}
         if keep:
             of = np.bincount(h[seen], minlength=len(history))
-            has, last = of > 0, tail_ids[(grams[seen] & U64((1 << bits) - 1)).astype(np.int64)]
+            has, last = of > 0, grams[seen] & U64((1 << bits) - 1)
+            last = last if tail_ids is None else tail_ids[last.astype(np.int64)]
             table = dict(zip("abcd", gram_columns(history[has] >> U64(1), np.zeros(has.sum(), bool), split[has], of[has], last, total[seen], lower[seen], n)))
         rows.append({"batch": TABLE, "bucket": bucket, **table, "s": counts_of_counts(total)})
-        part = sums[split]
         rows.append(
             {
                 "batch": SHARES, "bucket": bucket, "a": pack_array((history[split] >> U64(1)).astype("<u8")),
-                "b": pack_array(part[:, :K].T.astype("<u8").ravel()), "c": pack_few(part[:, K]),
+                "b": pack_array(cells[:, split].astype("<u8").ravel()), "c": pack_few(cover[split]),
             }
         )
         return pa.Table.from_pylist(rows, ANSWER_SCHEMA)
@@ -463,7 +481,8 @@ def _run(marked: DataFrame, order: int, known: KatzModel | None, key: str, text:
             for row in part.to_pylist():
                 batch = Batch(row["blob"], key)
                 order, present, bounds = batch.word_questions(n)
-                words, counts = batch.words[order], batch.counts[order].astype("<u8")
+                counts = np.bincount(batch.word[batch.learned()], minlength=len(batch.words))
+                words, counts = batch.words[order], counts[order].astype("<u8")
                 yield questions(
                     [(row["batch"], b, pack_array(words[i:j]), pack_array(counts[i:j]), b"", b"")
                      for b, i, j in zip(present.tolist(), bounds, bounds[1:])]
@@ -527,13 +546,16 @@ def _run(marked: DataFrame, order: int, known: KatzModel | None, key: str, text:
             factor = np.full(len(logs), words.scale / max(words.tokens, 1))  # probability for each count kept
             for level, d, shares in zip(grams, kept_of, split.value):
                 for h in np.flatnonzero(level.split).tolist():
-                    level.sums[h] = shares.get(int(level.histories[h]), level.sums[h])
-                h, asked = level.history, level.asked
-                scale, weight = backoff(level.sums[:, :K], level.seen, level.sums[:, K] * factor[asked][level.any], d)
-                r = level.counts()[asked]
-                factor[asked] = (scale / level.seen)[h]
-                direct = np.log10(np.maximum(factor[asked] * kept(r, d), 1e-300))
-                logs[asked] = np.where(r > 0, direct, logs[asked] + np.log10(weight)[h])
+                    level.sums[:, h] = shares.get(int(level.histories[h]), level.sums[:, h])
+                asked, after = level.asked, np.empty(len(level.histories), np.int64)
+                after[level.history] = asked  # a token after each history
+                scale, weight = backoff(level.sums[:K], level.seen, level.sums[K] * factor[after], d)
+                share = scale / level.seen
+                direct = np.log10(np.maximum(share[level.head] * kept(level.count, d), 1e-300))
+                direct[level.count == 0] = -np.inf  # not seen
+                direct = np.append(direct, -np.inf)[level.gram[asked]]
+                factor[asked] = share[level.history]
+                logs[asked] = np.where(direct == -np.inf, logs[asked] + np.log10(weight)[level.history], direct)
             total = lambda x: np.add.reduceat(x, batch.begins)  # noqa: B023, E731
             out.append(
                 pa.table(
